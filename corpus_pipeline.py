@@ -1,18 +1,68 @@
-"""The corpus pipeline: quality, lines, near duplicates, benchmark leaks, tokens."""
+"""The corpus pipeline: quality, lines, near duplicates, benchmark leaks, tokens.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; its result
+is written and read again as the next stage's ``docs``.  All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, cotrain, latent_leaks
+from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.store import table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained quality classifier rejects go."""
+    model = cotrain.train(docs, table(spark, sf_dir, "labels"))
+    scored = cotrain.score(docs, model, keep_text=True)
+    return scored.where(F.col("quality_score") >= cotrain.THRESHOLD).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one of them only; ``n_chars`` follows the kept text."""
+    kept = dedup_lines(docs).withColumn("text", F.col("kept_text"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
 
-STAGES: list = []
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = latent_leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep_text=True)
+    return found.where(F.size("leaks") == 0).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every kept text, and the proof that they decode to it."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", lines),
+    ("simhash", near_dedup),
+    ("decontaminate", decontaminate),
+    ("bpe", tokens),
+]
+#: SQL cannot express trained models and tokenizers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written and read again in between."""
-    from tidemark.llm.store import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
