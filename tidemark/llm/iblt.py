@@ -17,6 +17,8 @@ gathered over documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from .store import written
 #: Cells of the printed sketch and of the first try.
 CELLS = 60
 #: Peeling steps of one try, each over one third of the cells.
-STEPS = 12
+STEPS = 9
 MAX_TRIES = 8
 #: A passage runs inside one paragraph (line) for at least so many characters, up to a sentence mark.
 PASSAGE_CHARS = 100
@@ -46,12 +48,10 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(F.lit("check"), digest)
 
 
-def _cell(i: int, digest: Column, third: Column) -> Column:
-    return (F.pmod(F.xxhash64(F.lit(i), digest), third) + F.lit(i) * third).cast("int")
-
-
-def _entry(c: Column, n: Column, d: Column, k: Column) -> Column:
-    return F.struct(c.cast("int").alias("c"), n.cast("long").alias("n"), d.alias("d"), k.alias("k"))
+def _cell(i: Column, digest: Column, third: Column) -> Column:
+    """The cell of a digest in the ``i``-th third: 20 of its bits, modulo the third."""
+    part = F.call_function("shiftrightunsigned", digest, (i * 20).cast("int")).bitwiseAND(F.lit(0xFFFFF).cast("long"))
+    return (F.pmod(part, third) + i * third).cast("int")
 
 
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,28 +66,42 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
 def sketches(sides: DataFrame, keys: list[str]) -> DataFrame:
     """``sides(*keys, third, digests)`` -> sparse sketches ``(*keys, third, c, n, d, k)``."""
     each = sides.select(*keys, "third", F.explode("digests").alias("d"))
-    third = F.col("third").cast("long")
-    entries = each.select(
-        *keys,
-        "third",
-        F.explode(F.array(*[_entry(_cell(i, F.col("d"), third), F.lit(1), F.col("d"), _check(F.col("d"))) for i in range(3)])).alias("e"),
+    entries = each.select(*keys, "third", "d", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i"))
+    return _summed(
+        entries.select(
+            *keys,
+            "third",
+            _cell(F.col("i"), F.col("d"), F.col("third").cast("long")).alias("c"),
+            F.lit(1).cast("long").alias("n"),
+            "d",
+            _check(F.col("d")).alias("k"),
+        ),
+        [*keys, "third"],
     )
-    return _summed(entries.select(*keys, "third", "e.*"), [*keys, "third"])
 
 
 def peeled(cells: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
     """Subtracted sketches -> ``(*keys, only_a, only_b, stuck)``: digests only one side has, cells left over."""
-    third, d, k, n = F.col("third").cast("long"), F.col("d"), F.col("k"), F.col("n")
+    third, c, n, d, k, i = F.col("third").cast("long"), *(F.col(x) for x in ("c", "n", "d", "k", "i"))
+    stays, marks = F.lit(-9), F.lit(-1)
     for step in range(steps):
         t = step % 3
-        pure = (F.col("c") >= t * third) & (F.col("c") < (t + 1) * third) & (F.abs(n) == 1) & (k == _check(d))
-        zero = F.lit(0).cast("long")
-        gone = F.array(
-            *[_entry(_cell(i, d, third), -n, d, k) for i in range(3) if i != t],
-            _entry(F.when(n > 0, F.lit(-1)).otherwise(F.lit(-2)), F.lit(1), zero, zero),
+        pure = (c >= t * third) & (c < (t + 1) * third) & (F.abs(n) == 1) & (k == _check(d))
+        # A pure cell turns into what its digest takes out of the other two thirds, and a marker that counts it.
+        into = F.when(pure, F.array(*[F.lit(x) for x in range(3) if x != t], marks)).otherwise(F.array(stays))
+        rows = cells.select(*keys, "third", "c", "n", "d", "k", F.explode(into).alias("i"))
+        moved = rows.select(
+            *keys,
+            "third",
+            F.when(i == stays, c).when(i == marks, F.when(n > 0, F.lit(-1)).otherwise(F.lit(-2))).otherwise(_cell(i, d, third)).alias("c"),
+            F.when(i == stays, n).when(i == marks, F.lit(1)).otherwise(-n).cast("long").alias("n"),
+            F.when(i == marks, F.lit(0)).otherwise(d).cast("long").alias("d"),
+            F.when(i == marks, F.lit(0)).otherwise(k).cast("long").alias("k"),
         )
-        rows = cells.select(*keys, "third", F.explode(F.when(pure, gone).otherwise(F.array(_entry(F.col("c"), n, d, k)))).alias("e"))
-        cells = _summed(rows.select(*keys, "third", "e.*"), [*keys, "third"])
+        cells = _summed(moved, [*keys, "third"])
+        # Observing the cells left also ends the generated-code stage: one compiled unit of all steps
+        # would be too large for the JIT compiler's memory.
+        cells = cells.observe(f"cells_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("left"))
     return cells.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("c") == -1, F.col("n"))), F.lit(0)).alias("only_a"),
         F.coalesce(F.sum(F.when(F.col("c") == -2, F.col("n"))), F.lit(0)).alias("only_b"),
