@@ -31,8 +31,9 @@ BLOCK_ITEMS = 2048
 RANK = 96
 OVERSAMPLE = 16
 STEP = 16  # words of half a window
-MIN_COSINE = 0.3
-MIN_IDF = 1.5  # commoner words do not take part in the search (the checks use all words)
+MIN_COSINE = 0.4
+MIN_COVER = 0.2  # share of a passage's own strength that a window must hold (it may hold half of the passage)
+MIN_IDF = 3.0  # commoner words do not take part in the search (the checks use all words)
 MIN_LCS = 0.6
 SURE_LCS = 0.8
 MIN_ANSWER = 0.5
@@ -65,7 +66,8 @@ def best_match(item: list[bytes], words: list[bytes], at: int) -> tuple[float, f
     """``(lcs, answer)`` shares of the best stretch of ``words`` near the window that starts at ``at``."""
     n = len(item)
     lo, hi = max(0, at - n), min(len(words), at + 2 * STEP + n)
-    if lcs(item, words[lo:hi]) < MIN_LCS * n:
+    # No subsequence is longer than the number of the item's words that occur at all.
+    if sum(map(set(words[lo:hi]).__contains__, item)) < MIN_LCS * n or lcs(item, words[lo:hi]) < MIN_LCS * n:
         return 0.0, 0.0
     answer = item[-ANSWER_WORDS:]
     best = (0.0, 0.0)
@@ -88,10 +90,11 @@ def document_frequencies(docs: DataFrame, text: str, vocabulary: dict[bytes, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
+        known = frozenset(of)
         counts: Counter[int] = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                counts.update([of[w] for w in of.keys() & set(words_of(t))])
+                counts.update([of[w] for w in known.intersection(words_of(t))])
                 counts[-1] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
@@ -154,7 +157,7 @@ def _search_job(shared, keep: int, names: list[str]):
     leak_type = pa.list_(pa.struct([("item_id", pa.int64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("cosine", pa.float64())]))
 
     def search(words_by_doc: list[list[bytes]], model) -> list[list[dict]]:
-        of, vectors, informative, items, latent, item_ids = model
+        of, vectors, informative, items, latent, strength, item_ids = model
         found: list[dict[int, tuple]] = [{} for _ in words_by_doc]
         ids = np.concatenate([np.fromiter(map(of.get, ws, repeat(-1)), dtype=np.int32, count=len(ws)) for ws in words_by_doc])
         lengths = np.fromiter(map(len, words_by_doc), dtype=np.int64, count=len(words_by_doc))
@@ -181,18 +184,18 @@ def _search_job(shared, keep: int, names: list[str]):
         for at in range(0, len(live), 4096):
             part = live[at : at + 4096]
             w = windows[part]
-            w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-            cosine = w @ latent.T
-            for i, j in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
-                b = part[i]
-                d = int(np.searchsorted(first_block, b, side="right") - 1)
-                place = int(b - first_block[d]) * STEP
-                item = int(j)
+            size = np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+            dots = w @ latent.T
+            rows, columns = np.nonzero(dots >= np.maximum(MIN_COSINE * size, MIN_COVER * strength))
+            docs_of = np.searchsorted(first_block, part[rows], side="right") - 1
+            places = (part[rows] - first_block[docs_of]) * STEP
+            cosines = dots[rows, columns] / size[rows, 0]
+            for d, place, item, cosine in zip(docs_of.tolist(), places.tolist(), columns.tolist(), cosines.tolist(), strict=True):
                 if leaked(*found[d].get(item, (0.0, 0.0, 0.0))[:2]):
                     continue
                 share, answer = best_match(items[item], words_by_doc[d], place)
                 if leaked(share, answer):
-                    found[d][item] = (share, answer, float(cosine[i, j]))
+                    found[d][item] = (share, answer, cosine)
         return [
             [{"item_id": item_ids[k], "lcs": v[0], "answer": v[1], "cosine": v[2]} for k, v in sorted(f.items())] for f in found
         ]
@@ -268,8 +271,9 @@ def find_leaks(
                 latent[i] = vectors[chosen].sum(axis=0)
             else:  # an item of common words only is searched by all of them
                 informative[[vocabulary[w] for w in ws]] = True
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        model = (vocabulary, vectors, informative, [ws for _, _, ws in rows], latent.astype(np.float32), [i for i, _, _ in rows])
+        strength = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
+        latent = (latent / strength[:, None]).astype(np.float32)
+        model = (vocabulary, vectors, informative, [ws for _, _, ws in rows], latent, strength.astype(np.float32), [i for i, _, _ in rows])
         shared = spark.sparkContext.broadcast(model)
         kept = result.select(*[F.col(f"`{c}`") for c in columns], F.col("leaks").alias("__before"), "__text")
         if blocks == 1:
