@@ -90,7 +90,8 @@ def v0_baseline(scored: DataFrame, speaker: str, features: list[str], is_baselin
         .groupBy(speaker)
         .agg(
             F.count("*").alias("n_base"),
-            *[F.round(F.avg(f), 4).alias(f"mean_{f}") for f in features],
+            # A hair above the mean: exact ties then round up whatever the order of the sum.
+            *[F.round(F.avg(f) + 1e-9, 4).alias(f"mean_{f}") for f in features],
             *[F.round(F.greatest(F.stddev_samp(f), F.lit(V0_FLOOR)), 4).alias(f"sd_{f}") for f in features],
         )
         .where("n_base >= 2")

@@ -21,7 +21,8 @@ def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EV = f"""{V.EVENTS}, ce as (select * from ev where "window" <> 'out_of_coverage' and value is not null and k is not null)"""
-_V0 = f"""{_EV}, b0 as (select speaker, count(*) as n_base, round(avg(value), 4) as mv, round(avg(k), 4) as mk,
+# Means of a few two-decimal values can end in an exact five: SQL rounds such a tie down, Spark up, hence the 1e-9.
+_V0 = f"""{_EV}, b0 as (select speaker, count(*) as n_base, round(avg(value) + 1e-9, 4) as mv, round(avg(k) + 1e-9, 4) as mk,
     round(greatest(stddev_samp(value), 0.12), 4) as sv, round(greatest(stddev_samp(k), 0.12), 4) as sk
     from ce where "window" = 'baseline' group by 1 having count(*) >= 2)"""
 

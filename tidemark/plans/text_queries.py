@@ -191,10 +191,10 @@ def q_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.query(
-    f"""with {V.CALENDAR}, {V.STATEMENTS}, r as (select id, speaker, text, date from st where date >= date '2024-01-01' order by date, id limit 400)
+    f"""with {V.CALENDAR}, {V.STATEMENTS}, r as (select id, speaker, text, date from st where date >= date '2022-06-01' order by date, id limit 400)
     select r.id, r.speaker, date, cal."window", next_event, days_to_event from r join cal on date = day
     where greatest(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')), 1) >= 400"""
 )
 def q_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = V.statements(spark, sf_dir).select("id", "speaker", "text", "date")
-    return H.ingest(st, meetings(spark), "2024-01-01", 400).drop("text")
+    return H.ingest(st, meetings(spark), "2022-06-01", 400).drop("text")

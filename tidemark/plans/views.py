@@ -14,12 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as statements: speaker = source, one in five constrained, a date by id."""
+    """``documents`` as statements: speaker = source, one in seven constrained, a date by id."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("speaker"),
         "text",
-        F.when(F.col("doc_id") % 5 == 0, "constrained").otherwise("baseline").alias("window"),
+        F.when(F.col("doc_id") % 7 == 0, "constrained").otherwise("baseline").alias("window"),
         F.date_add(F.lit("2021-02-01").cast("date"), (F.col("doc_id") % 2000).cast("int")).alias("date"),
     )
 
@@ -52,7 +52,7 @@ cal as (select day, case when own is not null then 'constrained' else 'baseline'
         from (select day, (select max(m) from wn where day between s and e) as own, (select min(m) from wn where m >= day) as nxt from spine))
 """
 STATEMENTS = """
-st as (select doc_id as id, source as speaker, text, case when doc_id % 5 = 0 then 'constrained' else 'baseline' end as "window",
+st as (select doc_id as id, source as speaker, text, case when doc_id % 7 = 0 then 'constrained' else 'baseline' end as "window",
        date '2021-02-01' + cast(doc_id % 2000 as integer) as date from documents)
 """
 EVENTS = f"""{CALENDAR},
