@@ -93,7 +93,7 @@ def dedup_lines(
     batches: int = BATCHES,
     fanout: int = FANOUT,
 ) -> DataFrame:
-    """``docs`` (all columns) with ``kept_text``, ``n_lines`` and ``n_dropped``.
+    """``docs`` (all columns; clashing ones are replaced) with ``kept_text``, ``n_lines`` and ``n_dropped``.
 
     Null and empty texts have one empty line.  Each row is a document, repeated
     ids included; rows with a null id are counted, never named as the largest
@@ -114,7 +114,8 @@ def dedup_lines(
     index = LineIndex(fanout)
     for b in range(batches):
         index.add(lines.where(F.col("batch") == b).select("h1", "h2", "doc_id"))
-    frequent = index.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id")
+    # Written, so that the join below has a plain shuffle on both sides and AQE can split a hot line.
+    frequent = written(index.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "frequent")
     drops = (
         lines.join(frequent, ["h1", "h2"])
         .where(F.col("doc_id") < F.col("last_id"))
@@ -127,13 +128,15 @@ def dedup_lines(
         lines_of,
         lambda x: ~((F.length(x) >= min_chars) & (F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("__drop"), line_hash(line_key(x)))),
     )
+    results = ("kept_text", "n_lines", "n_dropped")
+    kept_columns = [c for c in docs.columns if c.lower() not in results]
     joined = docs.join(drops, F.col(f"`{doc_id}`").cast("long") == F.col("__drop_id"), "left")
     return joined.select(
-        *[docs[f"`{c}`"] for c in docs.columns],
+        *[docs[f"`{c}`"] for c in kept_columns],
         F.when(F.col("__drop").isNull(), lines_of).otherwise(kept).alias("__kept"),
         F.size(lines_of).cast("long").alias("n_lines"),
     ).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")],
+        *[F.col(f"`{c}`") for c in kept_columns],
         F.array_join("__kept", "\n").alias("kept_text"),
         "n_lines",
         (F.col("n_lines") - F.size("__kept")).alias("n_dropped"),
