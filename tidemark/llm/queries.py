@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, ctw, latent_leaks, pii, toxicity
+from . import bpe, cotrain, ctw, latent_leaks, pii, sql, toxicity
 from .iblt import edited_pairs
 from .line_dedup import dedup_lines
 from .secrets import scan
@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_iblt_fingerprints": op10_iblt_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": sql.LINE_DEDUP, "op6_secret_ownership": sql.SECRETS}
