@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, cotrain, latent_leaks
 from tidemark.llm.line_dedup import dedup_lines
-from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.similar import similar_texts
 from tidemark.llm.store import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,9 +33,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    first = similar_texts(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(first.distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,34 +47,41 @@ FULL_REFERENCES = 16
 _CHUNK = 1 << 16
 
 
-def fingerprint_of(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one UTF-8 text; 0 for null, empty or blank texts."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle (of the whole sequence if there are fewer words; none for blank texts)."""
     import xxhash
 
     words = (text or b"").lower().split()  # bytes: exactly A-Z and \x20 \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        digest = xxhash.xxh64_intdigest
-        last = len(words) - shingle + 1
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    digest = xxhash.xxh64_intdigest
+    last = len(words) - shingle + 1
+    found = [digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return np.array(found, dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        part = np.array(hashes[at : at + _CHUNK], dtype="<u8")
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
-    set_bits = np.nonzero(ones * 2 > len(hashes))[0]
-    return int(sum(1 << int(i) for i in set_bits))
+    return int(sum(1 << int(i) for i in np.nonzero(ones * 2 > len(hashes))[0]))
+
+
+def fingerprint_of(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of one UTF-8 text; 0 for null, empty or blank texts."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` plus ``fp``: the fingerprint as a signed 64-bit integer (other columns but the text stay)."""
+    """``docs`` without the text, plus ``fp`` (``_fp`` if that is taken): the fingerprint as a signed 64-bit integer."""
     keep = [c for c in docs.columns if c != text]
     name = free_name(docs, "fp")
 
@@ -89,7 +96,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
 
     wanted = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias(name)).schema
-    return wanted.mapInArrow(run, schema).withColumnRenamed(name, "fp") if name == "fp" else wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- references
