@@ -33,9 +33,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays.
+
+    Rows of one id are one document and stay together; rows without an id stay.
+    """
     first = similar_texts(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    kept = docs.join(first.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
