@@ -42,7 +42,7 @@ def with_probabilities(terms: DataFrame, models: DataFrame, bg: DataFrame, alpha
     shape = bg.agg(F.sum("c_bg").alias("n_bg"), F.count("*").alias("v_bg"))
     p_bg = (F.coalesce("c_bg", F.lit(0)) + 0.5) / (F.col("n_bg") + 0.5 * F.col("v_bg") + 1)
     return (
-        terms.join(F.broadcast(totals), "speaker")  # one row for each speaker model
+        terms.join(totals, "speaker")
         .join(models, ["speaker", "word"], "left")
         .join(bg, "word", "left")
         .crossJoin(F.broadcast(shape))  # one row
@@ -83,7 +83,7 @@ def surprisal(statements: DataFrame, text: str = "text", alpha: float = ALPHA, m
     terms = term_counts(statements, text=text)
     scored = with_probabilities(terms, speaker_counts(terms), background(terms), alpha)
     each = statement_surprise(scored)
-    joined = each.join(F.broadcast(baseline_entropy(each)), "speaker")  # one row for each speaker
+    joined = each.join(baseline_entropy(each), "speaker")
     short = F.col("n_tokens") < min_tokens
     z = (F.col("ce") - F.col("baseline_ce")) / F.greatest(F.col("baseline_ce_sd"), F.lit(MIN_SD))
     found = joined.select(
@@ -125,10 +125,10 @@ def against_all_speakers(texts: DataFrame, statements: DataFrame, alpha: float =
     words = asked.select("word").distinct()
     own = models.join(F.broadcast(words), "word", "left_semi")
     common = bg.join(F.broadcast(words), "word", "left_semi")
-    grid = asked.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(shape))
+    grid = totals.crossJoin(asked).crossJoin(F.broadcast(shape))
     p_bg = (F.coalesce("c_bg", F.lit(0)) + 0.5) / (F.col("n_bg") + 0.5 * F.col("v_bg") + 1)
     return (
-        grid.join(F.broadcast(own), ["speaker", "word"], "left")
+        grid.join(own, ["speaker", "word"], "left")
         .join(F.broadcast(common), "word", "left")
         .withColumn("p", (F.coalesce("c_s", F.lit(0)) + alpha * p_bg) / (F.col("n_s") + alpha))
         .groupBy("text_id", "speaker")

@@ -1,8 +1,8 @@
 """Rank statistics, calibration, and resampling that is the same under any partitioning.
 
 Randomness is a hash of (replicate, row id, seed), never a stream: replicates
-are identical wherever they run.  Ranks over large inputs are cumulative counts
-over distinct values, so no window ever spans the whole table.
+are identical wherever they run.  Ranks are cumulative counts over distinct values,
+range by range, so no window ever spans a large table.
 """
 
 from __future__ import annotations
@@ -11,13 +11,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _ranges(df: DataFrame, value: str) -> Column:
+    """A range number for each value: as many ranges of about equal weight as there are shuffle partitions (1,024 at most)."""
+    n = min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda b: b < F.col(value)))
+
+
 def average_ranks(df: DataFrame, value: str, out: str, groups: list[str] | None = None) -> DataFrame:
-    """``df`` plus the average rank of ``value`` within ``groups`` (ties share the mean rank)."""
+    """``df`` plus the average rank of ``value`` within ``groups`` (ties share the mean rank).
+
+    Over the whole table, ranges of values are counted first and each range is
+    ranked by itself: no task sorts all distinct values.
+    """
     keys = groups or []
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
-    below = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(*keys, value, (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
+    if keys:
+        part, start = keys, F.lit(0)
+    else:
+        counts = counts.withColumn("_range", _ranges(df, value))
+        sums = counts.groupBy("_range").agg(F.sum("_n").alias("_in"))
+        before = F.sum("_in").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        starts = sums.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+        counts = counts.join(F.broadcast(starts), "_range")  # one row for each range
+        part, start = ["_range"], F.col("_start")
+    below = F.sum("_n").over(Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.select(*keys, value, (start + F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
     return df.join(ranks, [*keys, value])
 
 
