@@ -41,7 +41,7 @@ def load_corpus(spark: SparkSession, path: str, with_corrupt: bool = False) -> D
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.json$", 1)
     rows = raw.withColumn("id", F.coalesce("id", stem))
     rows = rows if with_corrupt else rows.where("_corrupt_record is null").drop("_corrupt_record")
-    if rows.isEmpty():
+    if not rows.select("id").take(1):  # (Spark refuses to read the corrupt-record column alone)
         raise ValueError(f"no transcripts under {path}")
     return rows
 
