@@ -32,14 +32,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import written
+
 # The pre-token pattern of the byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point Python and the tokenizers library classify characters alike (tested);
 #: texts with any other character are cut by the tokenizers library itself.
 SAFE_BELOW = "ɐ"
-LEXICON_SIZE = 1 << 16
-MEMO = 1 << 20
+LEXICON_SIZE = 1 << 18
+MEMO = 1 << 18
 _MEMO_BYTES = 4096
+_ROWS = 2048  # documents that are counted at once
 
 
 def byte_letters() -> dict[str, int]:
@@ -309,14 +312,15 @@ def _groups(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
 
 
 def frequent_pieces(docs: DataFrame, text: str = "text", size: int = LEXICON_SIZE) -> DataFrame:
-    """``(piece, n)``: the ``size`` pieces counted most often over all documents.
+    """``(piece, n)``: the pieces that make up at least one in ``size`` of all counted ones (so at most ``size``).
 
-    A piece that occurs once in a batch of documents is not counted there: it
-    cannot matter to which pieces are frequent, and the lexicon never changes ids.
+    A piece that occurs once in a few thousand documents is not counted there:
+    it cannot matter to which pieces are frequent, and the lexicon never
+    changes ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             counts: Counter[str] = Counter()
             for t in batch.column(0).to_pylist():
                 counts.update(pieces_of(t or ""))
@@ -326,7 +330,9 @@ def frequent_pieces(docs: DataFrame, text: str = "text", size: int = LEXICON_SIZ
             )
 
     counted = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "piece string, n long")
-    return counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
+    counted = written(counted.groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counted.where(F.col("n") * size >= F.lit(total))
 
 
 def _ship(spark: SparkSession, data: bytes) -> str:

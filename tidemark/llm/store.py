@@ -41,6 +41,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def least_hashes(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """At most ``k`` rows, those with the least hashes of ``column``: the same rows under any partitioning.
+
+    A bound on the hash, from the number of rows, leaves about ``2 k`` of them,
+    so that the final cut does not gather ``k`` rows of every partition.
+    """
+    from pyspark.sql import functions as F
+
+    n, h = rows.count(), F.xxhash64(column)
+    if n > 8 * k:
+        rows = rows.where(h <= F.lit(-(1 << 63) + (1 << 64) * 2 * k // n))
+    return rows.orderBy(h, column).limit(k)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not use yet."""
     taken = {c.lower() for c in df.columns}
