@@ -29,15 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import least_hashes
+
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS = 16_000
 BUCKETS = 1 << 15
 LEXICON_SIZE = 2048
 LEXICON_VOTERS = 16
 MIN_TOXIC_DOCS = 4
-MIN_SHARE = 0.8
+MIN_SHARE = 0.95
 THRESHOLD = 0.3
-MEMO = 1 << 20
+MEMO = 1 << 17
 PREFIXES = (4, 5, 6)
 # Insults that one voter each looks for.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -129,17 +131,23 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.n
 # -------------------------------------------------------------- classifier
 
 
+def values_of(ids: np.ndarray) -> np.ndarray:
+    """Values of a row's features: words share their weight, so that length says little; votes count in full."""
+    words = ids < BUCKETS
+    return np.where(words, 1 / np.sqrt(max(int(words.sum()), 1)), 1.0)
+
+
 def fit_linear(rows: list[np.ndarray], labels: np.ndarray, size: int, epochs: int = 12, l2: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse binary rows by AdaGrad over soft labels."""
+    """Logistic regression on sparse rows by AdaGrad over soft labels."""
     rng = np.random.default_rng(5)
+    values = [values_of(ids) for ids in rows]
     weight, seen, bias, bias_seen = np.zeros(size), np.full(size, 1e-6), 0.0, 1e-6
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            ids = rows[i]
-            scale = 1 / np.sqrt(max(len(ids), 1))
-            z = np.clip(weight[ids].sum() * scale + bias, -30, 30)
+            ids, x = rows[i], values[i]
+            z = np.clip(weight[ids] @ x + bias, -30, 30)
             error = 1 / (1 + np.exp(-z)) - labels[i]
-            g = error * scale + l2 * weight[ids]
+            g = error * x + l2 * weight[ids]
             seen[ids] += g * g
             weight[ids] -= 0.3 * g / np.sqrt(seen[ids])
             bias_seen += error * error
@@ -179,7 +187,7 @@ class Toxicity:
         return np.concatenate([np.fromiter(ids, dtype=np.int64, count=len(ids)), votes_at.astype(np.int64)]), votes
 
     def logit(self, ids: np.ndarray) -> float:
-        return float(self.weight[ids].sum() / np.sqrt(max(len(ids), 1)) + self.bias)
+        return float(self.weight[ids] @ values_of(ids) + self.bias)
 
     def score(self, text: str | None) -> float:
         a, b = self.calibration
@@ -238,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__label")).where(
         F.col("__id").isNotNull() & F.col("__label").isNotNull() & ~held_out(F.col("__id"))
     )
-    chosen = known.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    chosen = least_hashes(known.groupBy("__id").agg(F.max("__label").alias("__label")), "__id", sample_rows)
     sample = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "__id").select("text", "__label")
     lexicon = _lexicon(sample)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
