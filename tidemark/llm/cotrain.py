@@ -10,8 +10,8 @@ views are calibrated on labelled rows that took no part in training and joined
 by a logistic combination, which scores every document.
 
 Models are fitted on at most ``LABELLED`` labelled and ``UNLABELLED`` unlabelled
-rows (documented bounds; rows with the least hashes of their id), a few dozen
-MB on the driver; scoring holds one Arrow batch a task.
+rows (documented bounds; rows with the least hashes of their id), about 36 MB
+on the driver; scoring holds one Arrow batch a task.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABELLED, UNLABELLED = 6000, 6000
+from .store import least_hashes
+
+LABELLED, UNLABELLED = 4000, 2500
 ROUNDS = 4
 SURE = 0.97
 SHARE_PER_ROUND = 0.08
@@ -106,7 +108,8 @@ class Logistic:
         if self.mean is None:
             self.mean = x.mean(axis=0)
             self.scale = 1 / np.maximum(x.std(axis=0), 0.02)
-        z = (x - self.mean) * self.scale
+        z = x - self.mean
+        z *= self.scale
         m, v = np.zeros(len(self.weight) + 1), np.zeros(len(self.weight) + 1)
         for t in range(1, steps + 1):
             p = self._p(z)
@@ -190,9 +193,16 @@ def _views(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             )
 
     got = sample.mapInArrow(run, "t binary, m binary, label int").toArrow()
-    text = np.frombuffer(b"".join(got.column(0).to_pylist()), dtype=np.float32).reshape(-1, TEXT_SIZE)
-    meta = np.frombuffer(b"".join(got.column(1).to_pylist()), dtype=np.float32).reshape(-1, META_SIZE)
-    return text, meta, got.column(2).to_numpy().astype(float)
+    out = []
+    for i, size in enumerate((TEXT_SIZE, META_SIZE)):
+        rows = np.empty((got.num_rows, size), dtype=np.float32)
+        at = 0
+        for chunk in got.column(i).chunks:
+            for cell in chunk:
+                rows[at] = np.frombuffer(cell.as_buffer(), dtype=np.float32)
+                at += 1
+        out.append(rows)
+    return out[0], out[1], got.column(2).to_numpy().astype(float)
 
 
 def _pages(docs: DataFrame, text: str, lang: str, source: str) -> list:
@@ -221,9 +231,8 @@ def train(
     known = labels.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__label")).where("__id is not null and __label is not null")
     known = known.groupBy("__id").agg(F.max("__label").alias("__label"))
     ids = docs.select(F.col(f"`{doc_id}`").alias("__id")).where("__id is not null").distinct()
-    order = [F.xxhash64("__id"), F.col("__id")]
-    chosen = ids.join(known, "__id").orderBy(*order).limit(labelled)
-    others = ids.join(known, "__id", "left_anti").orderBy(*order).limit(unlabelled).withColumn("__label", F.lit(-1))
+    chosen = least_hashes(ids.join(known, "__id"), "__id", labelled)
+    others = least_hashes(ids.join(known, "__id", "left_anti"), "__id", unlabelled).withColumn("__label", F.lit(-1))
     pages = docs.select(F.col(f"`{doc_id}`").alias("__id"), *_pages(docs, text, lang, source))
     sample = pages.join(F.broadcast(chosen.unionByName(others)), "__id")
     # In a fixed order, whatever the partitioning: the last fifth calibrates.
