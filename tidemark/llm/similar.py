@@ -118,6 +118,19 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, max_total: int
     return edges
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """The same components with far fewer edges: every node hangs on its least neighbour, and those are linked.
+
+    A dense group gives each member as many edges as it has buckets; their
+    least neighbours are few.
+    """
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    up = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "up")
+    of_b = up.select(F.col("a").alias("b"), F.col("up").alias("up_b"))
+    over = edges.join(up, "a").join(of_b, "b").select(F.col("up").alias("a"), F.col("up_b").alias("b")).where("a <> b").distinct()
+    return up.select("a", F.col("up").alias("b")).where("a <> b").union(over)
+
+
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, component_id`` (the smallest id of its group of near copies).
 
@@ -128,7 +141,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     kind = own.schema["doc_id"].dataType.simpleString()
     marked = written(own.mapInArrow(_pairs_job(shingle), f"doc_id {kind}, f1 long, f2 long"), "pairs")
     distinct = written(marked.groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.xxhash64("f1", "f2")), "distinct")
-    found = components(links(distinct.select("f1", "f2")))
+    found = components(contracted(written(links(distinct.select("f1", "f2")).distinct(), "links")))
     rooted = distinct.join(found, "node", "left").select("f1", "f2", F.coalesce("root", "node").alias("root"), "first_id")
     classes = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_pair = written(rooted.join(classes, "root").select("f1", "f2", "component_id"), "classes")
