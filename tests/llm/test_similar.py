@@ -80,3 +80,52 @@ def test_edges(frame):
     rows = [(3, None), (2, ""), (None, " \n"), (7, "one two"), (7, "ONE two"), (9, "x " * 3000)]
     assert result(frame(rows)) == brute(rows)
     assert result(frame([])) == []
+
+
+def by_jaccard(rows):
+    """Components of all pairs with Jaccard similarity 0.8 or more of their distinct five-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(((d, least[find(i)]) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def test_against_brute_force_jaccard(frame, docs):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(r["doc_id"] + 10_000, r["text"]) for r in docs.collect()]
+    # One block of n words replaced changes n + 4 shingles: similarities from 0.6 to 0.95 around the threshold.
+    for g in range(120):
+        size = rng.choice([20, 60, 150, 400])
+        base = [rng.choice(words) for _ in range(size)]
+        rows.append((4 * g, " ".join(base)))
+        for k in range(1, 4):
+            n = max(1, round(rng.uniform(0.03, 0.25) * size) - 4)
+            at = rng.randrange(size - n)
+            rows.append((4 * g + k, " ".join(base[:at] + [rng.choice(words) for _ in range(n)] + base[at + n :])))
+    # A dense group, and repeats that count once.
+    base = [rng.choice(words) for _ in range(100)]
+    for k in range(60):
+        copy = list(base)
+        copy[rng.randrange(100)] = rng.choice(words)
+        rows.append((1000 + k, " ".join(copy)))
+    rows += [(2000, " ".join(base[:50] + ["x"] * 300)), (2001, " ".join(base[50:] + ["x"] * 300))]
+    found, right = dict(result(frame(rows))), dict(by_jaccard(rows))
+    assert all(right[c] == right[d] for d, c in found.items())  # no link below the threshold
+    assert sum(found[d] != right[d] for d in found) <= 1  # in 5,000 pairs at the threshold one does not meet

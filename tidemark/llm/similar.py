@@ -1,17 +1,20 @@
-"""Near copies by the same fingerprints at a stated similarity of texts.
-
-``simhash.near_duplicates`` links fingerprints at a fixed small distance.  Texts
-that share four fifths of their word shingles lie about ten bits apart, so here
-two independent 64-bit fingerprints stand for a text: the pivot tables of either
-one propose pairs within ``MAX_DISTANCE`` bits (two of twelve zones with
-coordinate difference zero), and a pair is linked if both fingerprints together
-differ in at most ``MAX_TOTAL`` of 128 bits, the distance at which the expected
-similarity is 0.8 less one standard error.  Unrelated texts pass both with odds
-below 10^-13.
-
-Exact copies are one member.  A bucket yields spanning stars, never its pairs;
-one with more than ``BUCKET_LIMIT`` members is dealt in chunks and compared
-chunk by chunk, so that no task holds more than two of them.
+"""Near copies at a stated similarity of texts: distinct five-word shingles, Jaccard 0.8 or more.
+
+``simhash.near_duplicates`` links fingerprints at a fixed small distance.  Here
+fingerprints only propose.  Two independent 64-bit fingerprints stand for a set
+of shingles; pairs meet where two of twelve zones of either one have coordinate
+difference zero (at similarity 0.8 a zone agrees with odds of 0.42, so 0.9998 of
+the pairs meet) and are proposed if both fingerprints together differ in at most
+``MAX_TOTAL`` of 128 bits (at 0.8 the mean is 19.4, its deviation 4.1) and the
+sizes of the sets allow the similarity.  A proposed pair becomes a link only if
+the sets themselves reach it.
+
+Equal sets are one member.  First every member proposes its nearest ones, and
+the links among those make groups; then all proposed pairs of two different
+groups are checked, so a dense group costs no more than its members while no
+pair that could still join two groups is passed over.  A bucket with more than
+``BUCKET_LIMIT`` members is dealt in chunks and compared chunk by chunk, so that
+no task holds more than two of them.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import majority, pivot_table, shingle_hashes
+from .simhash import SEED, majority, pivot_table, shingle_hashes
 from .store import written
 
 SHINGLE = 5
 MAX_DISTANCE = 10
-MAX_TOTAL = 22
+MAX_TOTAL = 38
+#: Similarity 0.8 or more, as whole numbers.
+SIMILAR = (4, 5)
 ZONES = 12
 BUCKET_LIMIT = 4096
 _ROWS = 256
@@ -44,78 +49,125 @@ def second(hashes: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text, as sorted hashes."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
 def fingerprint_pair(text: bytes | None, shingle: int = SHINGLE) -> tuple[int, int]:
-    hashes = shingle_hashes(text, shingle)
+    hashes = shingle_set(text, shingle)
     return majority(hashes), majority(second(hashes))
 
 
-def _pairs_job(shingle: int):
+def _marks_job(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            found = np.array([fingerprint_pair(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in (0, 1))], names=["doc_id", "f1", "f2"]
-            )
+            found = np.zeros((batch.num_rows, 3), dtype=np.uint64)
+            sizes = np.zeros(batch.num_rows, dtype=np.int32)
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                hashes = shingle_set(t, shingle)
+                found[i] = majority(hashes), majority(second(hashes)), xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+                sizes[i] = len(hashes)
+            f1, f2, node = (pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), f1, f2, node, pa.array(sizes)], names=["doc_id", "key", "f1", "f2", "node", "size"])
+
+    return run
+
+
+def _sets_job(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "own"])
 
     return run
 
 
-def stars(f1: np.ndarray, f2: np.ndarray, max_distance: int, max_total: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(member, least member of its component)`` as indexes, for members that are not the least."""
+def proposed(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, group: np.ndarray | None, max_total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indexes within ``max_total`` bits whose sizes allow the similarity.
+
+    Without groups, of each member its nearest and its nearest earlier one; else all pairs of different groups.
+    """
     n = len(f1)
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        for at in range(0, n, _ROWS):
-            one = np.bitwise_count(f1[at : at + _ROWS, None] ^ f1[None, :])
-            two = np.bitwise_count(f2[at : at + _ROWS, None] ^ f2[None, :])
-            linked = ((one <= max_distance) | (two <= max_distance)) & (one + two <= max_total)
-            label[at : at + _ROWS] = np.where(linked, label[None, :], n).min(axis=1)
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = np.nonzero(label != np.arange(n))[0]
-    return moved, label[moved]
-
-
-def _stars_job(max_distance: int, max_total: int):
+    left, right = [], []
+    for at in range(0, n, _ROWS):
+        own = slice(at, at + _ROWS)
+        total = np.bitwise_count(f1[own, None] ^ f1[None, :]) + np.bitwise_count(f2[own, None] ^ f2[None, :])
+        small, large = np.minimum(size[own, None], size[None, :]), np.maximum(size[own, None], size[None, :])
+        far = (total > max_total) | (small * SIMILAR[1] < large * SIMILAR[0])
+        i = np.arange(at, at + len(total))
+        earlier = np.arange(n)[None, :] < i[:, None]
+        if group is None:
+            far[i - at, i] = True
+            for hidden in (far, far | ~earlier):
+                cost = np.where(hidden, 255, total)
+                nearest = cost.argmin(axis=1)
+                found = cost[i - at, nearest] < 255
+                left.append(i[found])
+                right.append(nearest[found])
+        else:
+            x, y = np.nonzero(~far & earlier & (group[own, None] != group[None, :]))
+            left.append(x + at)
+            right.append(y)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _proposals_job(max_total: int, grouped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(i) for i in (0, 1)]
-            offsets = lists[0].offsets.to_numpy()
-            f1, f2 = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in lists)
-            left, right = [], []
+            offsets = batch.column(0).offsets.to_numpy()
+            f1, f2, size, node, group = (batch.column(i).values.to_numpy(zero_copy_only=False) for i in range(5))
+            f1, f2, size = f1.view(np.uint64), f2.view(np.uint64), size.astype(np.int64)
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                m, r = stars(f1[a:b], f2[a:b], max_distance, max_total)
-                left.append(m + a)
-                right.append(r + a)
-            i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (f1[i], f2[i], f1[j], f2[j])], names=["a1", "a2", "b1", "b2"])
+                if grouped and (group[a:b] == group[a]).all():
+                    continue
+                order = a + np.argsort(node[a:b])
+                i, j = proposed(f1[order], f2[order], size[order], group[order] if grouped else None, max_total)
+                if len(i):
+                    x, y = node[order[i]], node[order[j]]
+                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
 
-def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, max_total: int = MAX_TOTAL, zones: int = ZONES, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """``distinct(f1, f2)`` -> edges ``(a, b)`` between hashes of the pairs."""
+def proposals(members: DataFrame, grouped: bool, max_distance: int, max_total: int, zones: int, bucket_limit: int) -> DataFrame:
+    """``members(f1, f2, size, node, group)`` -> distinct pairs of nodes ``(a, b)``, ``a < b``."""
     choices = list(combinations(range(zones), zones - max_distance))
-    edges = None
+    own = ("f1", "f2", "size", "node", "group")
+    found = None
     for plane in ("f1", "f2"):
-        table = distinct.select("f1", "f2", *[c.alias(f"z{j}") for j, c in enumerate(pivot_table(F.col(plane), zones))])
+        table = members.select(*own, *[c.alias(f"z{j}") for j, c in enumerate(pivot_table(F.col(plane), zones))])
         keys = [F.struct(F.lit(c).cast("short").alias("c"), F.xxhash64(*[F.col(f"z{j}") for j in chosen]).alias("k")) for c, chosen in enumerate(choices)]
-        filed = table.select("f1", "f2", F.explode(F.array(*keys)).alias("e")).select("e.c", "e.k", "f1", "f2")
+        filed = table.select(*own, F.explode(F.array(*keys)).alias("e")).select("e.c", "e.k", *own)
         large = filed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > bucket_limit)
         large = written(large, "large")  # few rows, if any
         chunks = F.coalesce(F.ceil(F.col("n") / bucket_limit), F.lit(1)).cast("int")
-        own = F.pmod(F.xxhash64(F.lit("chunk"), "f1", "f2"), F.col("chunks")).cast("int")
-        dealt = filed.join(large, ["c", "k"], "left").withColumn("chunks", chunks).withColumn("own", own)
+        chunk = F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int")
+        dealt = filed.join(large, ["c", "k"], "left").withColumn("chunks", chunks).withColumn("chunk", chunk)
         paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-            "c", "k", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "f1", "f2"
+            "c", "k", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), *own
         )
-        grouped = paired.groupBy("c", "k", "x", "y").agg(F.collect_list(F.struct("f1", "f2")).alias("m")).where(F.size("m") > 1)
-        found = grouped.select("m.f1", "m.f2").mapInArrow(_stars_job(max_distance, max_total), "a1 long, a2 long, b1 long, b2 long")
-        found = found.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b")).distinct()
-        edges = found if edges is None else edges.union(found)
-    return edges
+        grouping = paired.groupBy("c", "k", "x", "y").agg(F.collect_list(F.struct(*own)).alias("m")).where(F.size("m") > 1)
+        some = grouping.select(*[f"m.{c}" for c in own]).mapInArrow(_proposals_job(max_total, grouped), "a long, b long")
+        found = some if found is None else found.union(some)
+    return found.distinct()
+
+
+def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, max_total: int = MAX_TOTAL, zones: int = ZONES, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``distinct(f1, f2)`` -> all pairs ``(a, b)`` that the fingerprints propose, between hashes of the fingerprints."""
+    node = F.xxhash64("f1", "f2")
+    members = distinct.select("f1", "f2", F.lit(1).alias("size"), node.alias("node"), node.alias("group"))
+    return proposals(members, True, max_distance, max_total, zones, bucket_limit)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose sets ``sets(node, own)`` are similar enough."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared * SIMILAR[1] >= (F.size("x") + F.size("y") - shared) * SIMILAR[0]).select("a", "b")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -134,15 +186,27 @@ def contracted(edges: DataFrame) -> DataFrame:
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, component_id`` (the smallest id of its group of near copies).
 
-    Blank and null texts are copies of each other; rows with a null id take
+    Groups are the components of the pairs whose sets of distinct shingles have a
+    Jaccard similarity of 0.8 or more.  Blank and null texts are copies of each other; rows with a null id take
     part; repeated rows stay repeated; an empty table gives an empty result.
     """
-    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text")).select("doc_id", F.xxhash64("text").alias("key"), "text")
     kind = own.schema["doc_id"].dataType.simpleString()
-    marked = written(own.mapInArrow(_pairs_job(shingle), f"doc_id {kind}, f1 long, f2 long"), "pairs")
-    distinct = written(marked.groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.xxhash64("f1", "f2")), "distinct")
-    found = components(contracted(written(links(distinct.select("f1", "f2")).distinct(), "links")))
-    rooted = distinct.join(found, "node", "left").select("f1", "f2", F.coalesce("root", "node").alias("root"), "first_id")
+    marked = written(own.mapInArrow(_marks_job(shingle), f"doc_id {kind}, key long, f1 long, f2 long, node long, size int"), "marks")
+    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in ("f1", "f2", "size")]), "distinct")
+    bounds = (MAX_DISTANCE, MAX_TOTAL, ZONES, BUCKET_LIMIT)
+    # Every member of any proposed pair is in one of these.
+    nearest = written(proposals(distinct.select("f1", "f2", "size", "node", F.col("node").alias("group")), False, *bounds), "nearest")
+    wanted = nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "key"), "node")
+    texts = own.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("node", "text")
+    sets = written(texts.mapInArrow(_sets_job(shingle), "node long, own array<long>"), "sets")
+    near = written(verified(nearest, sets), "near")
+    groups = written(components(contracted(near)), "groups")
+    members = distinct.join(groups, "node", "left").select("f1", "f2", "size", "node", F.coalesce("root", "node").alias("group"))
+    others = proposals(members.join(sets.select("node"), "node", "left_semi"), True, *bounds).join(nearest, ["a", "b"], "left_anti")
+    edges = written(near.union(verified(written(others, "others"), sets)), "links")
+    found = components(contracted(edges))
+    rooted = distinct.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     classes = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_pair = written(rooted.join(classes, "root").select("f1", "f2", "component_id"), "classes")
-    return marked.join(by_pair, ["f1", "f2"]).select("doc_id", "component_id")
+    by_node = written(rooted.join(classes, "root").select("node", "component_id"), "classes")
+    return marked.join(by_node, "node").select("doc_id", "component_id")
