@@ -93,14 +93,12 @@ def _permutation_sql(n: int, block: bool, seed: int = 7) -> str:
 
 
 def _tested(spark: SparkSession, sf_dir: str, block: str | None) -> DataFrame:
-    own = _constrained(spark, sf_dir).where("speaker < 25")
-    t = S.permutation_test(own, "value", "k", "id", 200, block)
+    t = S.permutation_test(_constrained(spark, sf_dir), "value", "k", "id", 200, block)
     return t.select(F.round("observed", 6).alias("observed"), "p_value", F.round("null_mean", 6).alias("null_mean"), F.round("null_sd", 6).alias("null_sd"), "n_perm")
 
 
 @REGISTRY.query(_permutation_sql(200, False))
 def q_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speakers under 25 are the studied group."""
     return _tested(spark, sf_dir, None)
 
 
@@ -117,8 +115,7 @@ def q_permutation_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     select round(quantile_cont(rho, 0.025), 6) as lo, round(quantile_cont(rho, 0.975), 6) as hi, count(*) as n_boot from rh"""
 )
 def q_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _constrained(spark, sf_dir).where("speaker < 25")
-    return S.bootstrap_ci(own, "value", "k", "id", 100).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n_boot")
+    return S.bootstrap_ci(_constrained(spark, sf_dir), "value", "k", "id", 100).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n_boot")
 
 
 @REGISTRY.query(
