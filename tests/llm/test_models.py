@@ -354,7 +354,32 @@ def test_views_exchange_pseudo_labels():
     ty, ta, tb = views(800)
     error = {}
     for rounds in (0, 4):
-        m1, m2, w = cotrain.co_train(a, b, y, fa, fb, rounds)
-        z = w[0] * m1.logit(ta) + w[1] * m2.logit(tb) + w[2]
+        z = cotrain.co_train(a, b, y, fa, fb, rounds).logits(ta, tb)[0]
         error[rounds] = ((z > 0) != (ty > 0.5)).mean()
     assert error[4] <= error[0] + 0.01 and error[4] < 0.12
+
+
+def test_training_equals_the_version_in_memory(larger):
+    docs, labels = larger
+    pages = docs.withColumn("key", cotrain.page_key(F.col("text").cast("binary"), F.col("lang"), F.col("source")))
+    rows = pages.join(labels.select("doc_id", "quality"), "doc_id", "left").withColumn("at", F.xxhash64("doc_id", F.lit("order"))).orderBy("at").collect()
+    views = lambda some: (np.stack([cotrain.text_view(r["text"].encode()) for r in some]), np.stack([cotrain.meta_view(r["text"].encode(), r["lang"], r["source"]) for r in some]))
+    known, free = [r for r in rows if r["quality"] is not None], {}
+    for r in rows:
+        if r["quality"] is None:
+            free.setdefault(r["key"], r)
+    spark = docs.sparkSession
+    ranks = spark.createDataFrame([(k,) for k in free], "key long").select("key", cotrain.rank(F.col("key")).alias("r")).collect()
+    order = {r["key"]: r["r"] for r in ranks}
+    right = cotrain.co_train(*views(known), np.array([float(r["quality"]) for r in known]), *views(list(free.values())), rounds=1, per_round=60, order=np.array([order[k] for k in free]))
+    for parts in (1, 7):
+        got = cotrain.train(docs.repartition(parts), labels, rounds=1, per_round=60)
+        assert np.allclose(got.weights, right.weights, atol=1e-3)
+        for x, y in zip(got.models, right.models):
+            assert np.allclose(x.weight, y.weight, atol=1e-3) and abs(x.slope - y.slope) < 1e-3
+
+
+def test_quality_replaces_clashing_columns_and_reads_long_texts(spark):
+    df = spark.createDataFrame([(1, "plain words here " * 60000, "x", 7.0), (1, "plain words here " * 60000, "x", 7.0)], "doc_id long, text string, lang string, Quality_Score double")
+    got = cotrain.score(df, cotrain.Views())
+    assert got.columns == ["doc_id", "lang", "quality_score", "text_score", "meta_score"] and got.count() == 2

@@ -8,7 +8,7 @@ import corpus_pipeline
 from tidemark.llm.store import table
 
 from .test_lines_secrets_pii_prints import slow_dedup
-from .test_similar import brute
+from .test_similar import by_jaccard
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_lines_against_brute_force(stages):
 
 def test_one_of_each_group_stays(stages):
     before, after = stages["simhash"]
-    assert rows(after).keys() == {d for d, c in brute(list(rows(before).items())) if d == c}
+    assert rows(after).keys() == {d for d, c in by_jaccard(list(rows(before).items())) if d == c}
 
 
 def test_leaks_and_low_quality_go(stages, labels):

@@ -1,77 +1,119 @@
 """Near copies at a stated similarity of texts: distinct five-word shingles, Jaccard 0.8 or more.
 
 ``simhash.near_duplicates`` links fingerprints at a fixed small distance.  Here
-fingerprints only propose.  Two independent 64-bit fingerprints stand for a set
-of shingles; pairs meet where two of twelve zones of either one have coordinate
-difference zero (at similarity 0.8 a zone agrees with odds of 0.42, so 0.9998 of
-the pairs meet) and are proposed if both fingerprints together differ in at most
-``MAX_TOTAL`` of 128 bits (at 0.8 the mean is 19.4, its deviation 4.1) and the
-sizes of the sets allow the similarity.  A proposed pair becomes a link only if
-the sets themselves reach it.
-
-Equal sets are one member.  First every member proposes its nearest ones, and
-the links among those make groups; then all proposed pairs of two different
-groups are checked, so a dense group costs no more than its members while no
-pair that could still join two groups is passed over.  A bucket with more than
-``BUCKET_LIMIT`` members is dealt in chunks and compared chunk by chunk, so that
-no task holds more than two of them.
+fingerprints only propose, and a proposed pair becomes a link only if the sets
+of shingles themselves reach the similarity.
+
+At similarity 0.8 two SimHashes are 27 degrees apart, 19.4 of 128 bits on
+average, so no zone of them is selective enough to meet on whatever the number
+of documents.  Members therefore meet on the least of their shingles under
+``KEYS`` permutations (each agrees with odds equal to the similarity: at 0.8 all
+eight fail once in 390,000 pairs), which unrelated texts do not share.  Inside
+a bucket the distances of every fingerprint to reference fingerprints, drawn
+from the bucket itself, make a pivot table; pairs are discarded by the maximum
+coordinate difference, and the survivors by exact distance (``MAX_TOTAL`` of
+128 bits, 4.5 deviations), by size, and by the share of equal least shingles in
+``BINS`` ranges of the hash (``LEAST_SHARE``, 4.5 deviations).
+
+Equal sets are one member.  First every member proposes its nearest earlier
+one, and the links among those make groups; then all surviving pairs of two
+different groups are checked, so a dense group costs no more than its members
+while no pair that could still join two groups is passed over.  A bucket over
+``BUCKET_LIMIT`` is dealt in cells of at most two chunks.  Its members of the
+largest group meet only members of other groups, so that the cells of a dense
+group grow with its size, not with its square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import SEED, majority, pivot_table, shingle_hashes
+from .simhash import majority
 from .store import written
 
 SHINGLE = 5
-MAX_DISTANCE = 10
 MAX_TOTAL = 38
 #: Similarity 0.8 or more, as whole numbers.
 SIMILAR = (4, 5)
-ZONES = 12
-BUCKET_LIMIT = 4096
+KEYS = 8
+BINS = 128
+LEAST_SHARE = 0.64
+REFERENCES = 8
+BUCKET_LIMIT = 32768
 _ROWS = 256
+_EMPTY = 255
+_MEMBER = ("node", "f1", "f2", "size", "sketch", "group", "spread")
 
 
-def second(hashes: np.ndarray) -> np.ndarray:
-    """Hashes mixed again (a published 64-bit finaliser), as good as independent of the first."""
-    z = hashes + np.uint64(0x9E3779B97F4A7C15)
+def mixed(hashes: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes mixed again (a published 64-bit finaliser), as good as independent for each salt."""
+    z = hashes + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & ((1 << 64) - 1))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles of a text, as sorted hashes."""
-    return np.unique(shingle_hashes(text, shingle))
+    """The distinct shingles of a text (of its whole words if there are fewer), as sorted 64-bit hashes; none for blank texts."""
+    import xxhash
 
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    width = min(shingle, len(own))
+    found = np.full(len(own) - width + 1, width, dtype=np.uint64)
+    for j in range(width):
+        found = mixed(found ^ own[j : len(own) - width + 1 + j], j)
+    return np.unique(found)
 
-def fingerprint_pair(text: bytes | None, shingle: int = SHINGLE) -> tuple[int, int]:
-    hashes = shingle_set(text, shingle)
-    return majority(hashes), majority(second(hashes))
+
+def fingerprint_pair(hashes: np.ndarray) -> tuple[int, int]:
+    """Two independent SimHashes of a set of shingles."""
+    return majority(hashes), majority(mixed(hashes, 100))
+
+
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One byte of the least hash in each of ``BINS`` equal ranges; ``_EMPTY`` where a range has none."""
+    at = np.append(np.searchsorted(hashes, _EDGES), len(hashes))
+    out = np.full(BINS, _EMPTY, dtype=np.uint8)
+    full = at[1:] > at[:-1]
+    out[full] = hashes[at[:-1][full]] % np.uint64(_EMPTY)
+    return out
+
+
+def meeting_keys(hashes: np.ndarray) -> np.ndarray:
+    """The least shingle under each permutation; texts without any meet on zero."""
+    return np.array([mixed(hashes, 200 + k).min() if len(hashes) else 0 for k in range(KEYS)], dtype=np.uint64)
 
 
 def _marks_job(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            found = np.zeros((batch.num_rows, 3), dtype=np.uint64)
-            sizes = np.zeros(batch.num_rows, dtype=np.int32)
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
+            found = np.zeros((batch.num_rows, 3 + KEYS), dtype=np.uint64)
+            sizes, sketches = np.zeros(batch.num_rows, dtype=np.int32), []
             for i, t in enumerate(batch.column(2).to_pylist()):
                 hashes = shingle_set(t, shingle)
-                found[i] = majority(hashes), majority(second(hashes)), xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+                found[i, :2] = fingerprint_pair(hashes)
+                found[i, 2] = xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+                found[i, 3:] = meeting_keys(hashes)
                 sizes[i] = len(hashes)
+                sketches.append(sketch(hashes).tobytes())
             f1, f2, node = (pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), f1, f2, node, pa.array(sizes)], names=["doc_id", "key", "f1", "f2", "node", "size"])
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(found[:, 3:]).view(np.int64).ravel()), KEYS)
+            columns = [batch.column(0), batch.column(1), node, f1, f2, pa.array(sizes), pa.array(sketches, pa.binary()), keys.cast(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "f1", "f2", "size", "sketch", "keys"])
 
     return run
 
@@ -85,82 +127,131 @@ def _sets_job(shingle: int):
     return run
 
 
-def proposed(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, group: np.ndarray | None, max_total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indexes within ``max_total`` bits whose sizes allow the similarity.
-
-    Without groups, of each member its nearest and its nearest earlier one; else all pairs of different groups.
+def survivors(prints: np.ndarray, size: np.ndarray, own: slice, coordinates: np.ndarray, max_total: int) -> np.ndarray:
+    """Of the rows ``own`` against all: which pairs pass the pivot table, the exact distance and the sizes."""
+    near = np.ones((len(prints[own]), len(prints)), dtype=bool)
+    for c in coordinates.T:
+        near &= np.abs(c[own, None] - c[None, :]) <= max_total
+    if near.all():
+        i, j = slice(None), slice(None)
+        total = np.bitwise_count(prints[own, None, 0] ^ prints[None, :, 0]) + np.bitwise_count(prints[own, None, 1] ^ prints[None, :, 1])
+        near = (total <= max_total) & (np.minimum(size[own, None], size[None, :]) * SIMILAR[1] >= np.maximum(size[own, None], size[None, :]) * SIMILAR[0])
+        return near
+    i, j = np.nonzero(near)
+    x, y = prints[own][i], prints[j]
+    a, b = size[own][i], size[j]
+    near[i, j] = (np.bitwise_count(x ^ y).sum(axis=1) <= max_total) & (np.minimum(a, b) * SIMILAR[1] >= np.maximum(a, b) * SIMILAR[0])
+    return near
+
+
+def shares(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The share of equal bytes among the ranges that are not empty in both: an estimate of the similarity."""
+    out = np.ones(len(i))
+    for at in range(0, len(i), 1 << 15):
+        x, y = sketches[i[at : at + (1 << 15)]], sketches[j[at : at + (1 << 15)]]
+        void = ((x == _EMPTY) & (y == _EMPTY)).sum(axis=1)
+        out[at : at + len(x)] = ((x == y).sum(axis=1) - void) / np.maximum(BINS - void, 1)
+        out[at : at + len(x)][void == BINS] = 1
+    return out
+
+
+def proposed(prints: np.ndarray, size: np.ndarray, sketches: np.ndarray, group: np.ndarray | None, spread: np.ndarray, across: bool, max_total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indexes of one cell that may be similar.
+
+    Without groups, of each member its nearest earlier one; else all pairs of
+    different groups, in a cell ``across`` two chunks only those between a
+    spread member and one that is not.
     """
-    n = len(f1)
+    n = len(prints)
+    references = prints[:: max(1, n // REFERENCES)][:REFERENCES]
+    coordinates = np.stack([np.bitwise_count(prints ^ r).sum(axis=1).astype(np.int16) for r in references], axis=1) if n > _ROWS else np.zeros((n, 0), dtype=np.int16)
     left, right = [], []
     for at in range(0, n, _ROWS):
         own = slice(at, at + _ROWS)
-        total = np.bitwise_count(f1[own, None] ^ f1[None, :]) + np.bitwise_count(f2[own, None] ^ f2[None, :])
-        small, large = np.minimum(size[own, None], size[None, :]), np.maximum(size[own, None], size[None, :])
-        far = (total > max_total) | (small * SIMILAR[1] < large * SIMILAR[0])
-        i = np.arange(at, at + len(total))
-        earlier = np.arange(n)[None, :] < i[:, None]
-        if group is None:
-            far[i - at, i] = True
-            for hidden in (far, far | ~earlier):
-                cost = np.where(hidden, 255, total)
-                nearest = cost.argmin(axis=1)
-                found = cost[i - at, nearest] < 255
-                left.append(i[found])
-                right.append(nearest[found])
-        else:
-            x, y = np.nonzero(~far & earlier & (group[own, None] != group[None, :]))
-            left.append(x + at)
-            right.append(y)
+        near = survivors(prints, size, own, coordinates, max_total)
+        i = np.arange(at, at + len(near))
+        near &= np.arange(n)[None, :] < i[:, None]
+        if group is not None:
+            near &= group[own, None] != group[None, :]
+            if across:
+                near &= spread[own, None] != spread[None, :]
+        x, y = np.nonzero(near)
+        share = shares(sketches, x + at, y)
+        kept = share >= LEAST_SHARE
+        x, y, share = x[kept] + at, y[kept], share[kept]
+        if group is None and len(x):
+            order = np.lexsort((y, -share, x))
+            first = np.append(True, np.diff(x[order]) > 0)
+            x, y = x[order][first], y[order][first]
+        left.append(x)
+        right.append(y)
     return np.concatenate(left), np.concatenate(right)
 
 
 def _proposals_job(max_total: int, grouped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets = batch.column(0).offsets.to_numpy()
-            f1, f2, size, node, group = (batch.column(i).values.to_numpy(zero_copy_only=False) for i in range(5))
-            f1, f2, size = f1.view(np.uint64), f2.view(np.uint64), size.astype(np.int64)
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                if grouped and (group[a:b] == group[a]).all():
-                    continue
-                order = a + np.argsort(node[a:b])
-                i, j = proposed(f1[order], f2[order], size[order], group[order] if grouped else None, max_total)
-                if len(i):
-                    x, y = node[order[i]], node[order[j]]
-                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            members, across = batch.column(0), batch.column(1).to_pylist()
+            offsets, rows = members.offsets.to_numpy(), members.values
+            node, f1, f2, size, group, spread = (rows.field(rows.type.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("node", "f1", "f2", "size", "group", "spread"))
+            marks = rows.field(rows.type.get_field_index("sketch"))
+            prints = np.stack([f1.view(np.uint64), f2.view(np.uint64)], axis=1)
+            left, right = [], []
+            for a, b, x in zip(offsets[:-1].tolist(), offsets[1:].tolist(), across, strict=True):
+                order = a + np.argsort(node[a:b], kind="stable")
+                sketches = np.frombuffer(b"".join(marks.slice(a, b - a).to_pylist()), dtype=np.uint8).reshape(b - a, BINS)[order - a]
+                i, j = proposed(prints[order], size[order].astype(np.int64), sketches, group[order] if grouped else None, spread[order], x, max_total)
+                left.append(node[order[i]])
+                right.append(node[order[j]])
+            if left:
+                x, y = np.concatenate(left), np.concatenate(right)
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
 
-def proposals(members: DataFrame, grouped: bool, max_distance: int, max_total: int, zones: int, bucket_limit: int) -> DataFrame:
-    """``members(f1, f2, size, node, group)`` -> distinct pairs of nodes ``(a, b)``, ``a < b``."""
-    choices = list(combinations(range(zones), zones - max_distance))
-    own = ("f1", "f2", "size", "node", "group")
-    found = None
-    for plane in ("f1", "f2"):
-        table = members.select(*own, *[c.alias(f"z{j}") for j, c in enumerate(pivot_table(F.col(plane), zones))])
-        keys = [F.struct(F.lit(c).cast("short").alias("c"), F.xxhash64(*[F.col(f"z{j}") for j in chosen]).alias("k")) for c, chosen in enumerate(choices)]
-        filed = table.select(*own, F.explode(F.array(*keys)).alias("e")).select("e.c", "e.k", *own)
-        large = filed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > bucket_limit)
-        large = written(large, "large")  # few rows, if any
-        chunks = F.coalesce(F.ceil(F.col("n") / bucket_limit), F.lit(1)).cast("int")
-        chunk = F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int")
-        dealt = filed.join(large, ["c", "k"], "left").withColumn("chunks", chunks).withColumn("chunk", chunk)
-        paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-            "c", "k", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), *own
-        )
-        grouping = paired.groupBy("c", "k", "x", "y").agg(F.collect_list(F.struct(*own)).alias("m")).where(F.size("m") > 1)
-        some = grouping.select(*[f"m.{c}" for c in own]).mapInArrow(_proposals_job(max_total, grouped), "a long, b long")
-        found = some if found is None else found.union(some)
-    return found.distinct()
-
-
-def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, max_total: int = MAX_TOTAL, zones: int = ZONES, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """``distinct(f1, f2)`` -> all pairs ``(a, b)`` that the fingerprints propose, between hashes of the fingerprints."""
-    node = F.xxhash64("f1", "f2")
-    members = distinct.select("f1", "f2", F.lit(1).alias("size"), node.alias("node"), node.alias("group"))
-    return proposals(members, True, max_distance, max_total, zones, bucket_limit)
+def _chunk(salt: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
+
+
+def proposals(held: DataFrame, members: DataFrame, grouped: bool, max_total: int = MAX_TOTAL, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Distinct pairs of nodes ``(a, b)``, ``a < b``, that buckets propose.
+
+    ``held(c, k, node, n)`` are the members of the buckets and the bucket's size,
+    ``members(node, f1, f2, size, sketch, group)`` what is known of them.
+    """
+    filed = held.join(members, "node")
+    if grouped:
+        mixed_ones = filed.groupBy("c", "k").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("c", "k")
+        filed = written(filed.join(mixed_ones, ["c", "k"], "left_semi"), "filed")
+    usual = filed.where(F.col("n") <= bucket_limit).withColumn("spread", F.lit(False))
+    cells = usual.groupBy("c", "k").agg(F.collect_list(F.struct(*_MEMBER)).alias("m")).select("m", F.lit(False).alias("across"))
+    large = filed.where(F.col("n") > bucket_limit)
+    # Of a large bucket the members of its largest group (without groups: all but its least member) meet only the others.
+    if grouped:
+        counted = large.groupBy("c", "k", "group").agg(F.count("*").alias("own"))
+        main = counted.groupBy("c", "k").agg(F.max_by("group", F.struct("own", "group")).alias("main"), F.max("own").alias("inside"))
+    else:
+        main = large.groupBy("c", "k").agg(F.min("node").alias("main"), (F.count("*") - 1).alias("inside"))
+    spread = F.col("group") != F.col("main") if grouped else F.col("node") == F.col("main")
+    per = F.lit(bucket_limit)
+    dealt = (
+        large.join(main, ["c", "k"])
+        .withColumn("spread", spread)
+        .withColumn("u", F.greatest(F.ceil(F.col("inside") / per), F.lit(1)).cast("int"))
+        .withColumn("f", F.ceil((F.col("n") - F.col("inside")) / per).cast("int"))
+        .withColumn("u_own", _chunk("u", F.col("u")))
+        .withColumn("f_own", _chunk("f", F.col("f")))
+    )
+    inside = F.transform(F.sequence(F.lit(0), F.col("f") - 1), lambda j: F.struct(F.lit(True).alias("across"), F.col("u_own").alias("x"), j.alias("y")))
+    outside = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("u") - 1), lambda i: F.struct(F.lit(True).alias("across"), i.alias("x"), F.col("f_own").alias("y"))),
+        F.transform(F.sequence(F.lit(0), F.col("f") - 1), lambda j: F.struct(F.lit(False).alias("across"), F.least("f_own", j).alias("x"), F.greatest("f_own", j).alias("y"))),
+    )
+    placed = dealt.select("c", "k", *_MEMBER, F.explode(F.when(F.col("spread"), outside).otherwise(inside)).alias("at"))
+    split = placed.groupBy("c", "k", "at").agg(F.collect_list(F.struct(*_MEMBER)).alias("m")).select("m", F.col("at.across").alias("across"))
+    return cells.union(split).where(F.size("m") > 1).mapInArrow(_proposals_job(max_total, grouped), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,43 +261,39 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * SIMILAR[1] >= (F.size("x") + F.size("y") - shared) * SIMILAR[0]).select("a", "b")
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """The same components with far fewer edges: every node hangs on its least neighbour, and those are linked.
-
-    A dense group gives each member as many edges as it has buckets; their
-    least neighbours are few.
-    """
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    up = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "up")
-    of_b = up.select(F.col("a").alias("b"), F.col("up").alias("up_b"))
-    over = edges.join(up, "a").join(of_b, "b").select(F.col("up").alias("a"), F.col("up_b").alias("b")).where("a <> b").distinct()
-    return up.select("a", F.col("up").alias("b")).where("a <> b").union(over)
-
-
-def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, component_id`` (the smallest id of its group of near copies).
 
     Groups are the components of the pairs whose sets of distinct shingles have a
-    Jaccard similarity of 0.8 or more.  Blank and null texts are copies of each other; rows with a null id take
-    part; repeated rows stay repeated; an empty table gives an empty result.
+    Jaccard similarity of 0.8 or more.  Blank and null texts are copies of each
+    other; rows with a null id take part; repeated rows stay repeated; other
+    columns are ignored; texts of any length are taken whole; an empty table
+    gives an empty result.
     """
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text")).select("doc_id", F.xxhash64("text").alias("key"), "text")
     kind = own.schema["doc_id"].dataType.simpleString()
-    marked = written(own.mapInArrow(_marks_job(shingle), f"doc_id {kind}, key long, f1 long, f2 long, node long, size int"), "marks")
-    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in ("f1", "f2", "size")]), "distinct")
-    bounds = (MAX_DISTANCE, MAX_TOTAL, ZONES, BUCKET_LIMIT)
-    # Every member of any proposed pair is in one of these.
-    nearest = written(proposals(distinct.select("f1", "f2", "size", "node", F.col("node").alias("group")), False, *bounds), "nearest")
-    wanted = nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "key"), "node")
+    marked = written(own.mapInArrow(_marks_job(shingle), f"doc_id {kind}, key long, node long, f1 long, f2 long, size int, sketch binary, keys array<long>"), "marks")
+    known = ("key", "f1", "f2", "size", "sketch", "keys")
+    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in known]), "distinct")
+    filed = distinct.select("node", F.posexplode("keys").alias("c", "k")).select(F.col("c").cast("short").alias("c"), "k", "node")
+    shared = filed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
+    held = written(filed.join(shared, ["c", "k"]), "buckets")
+    members = distinct.select("node", "f1", "f2", "size", "sketch", F.col("node").alias("group"))
+    nearest = written(proposals(held, members, False, MAX_TOTAL, bucket_limit), "nearest")
+    # Every member of a proposed pair shares a bucket, and so is earlier or later than some member of it.
+    wanted = distinct.select("node", "key").join(held.select("node").distinct(), "node", "left_semi")
     texts = own.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("node", "text")
     sets = written(texts.mapInArrow(_sets_job(shingle), "node long, own array<long>"), "sets")
     near = written(verified(nearest, sets), "near")
-    groups = written(components(contracted(near)), "groups")
-    members = distinct.join(groups, "node", "left").select("f1", "f2", "size", "node", F.coalesce("root", "node").alias("group"))
-    others = proposals(members.join(sets.select("node"), "node", "left_semi"), True, *bounds).join(nearest, ["a", "b"], "left_anti")
-    edges = written(near.union(verified(written(others, "others"), sets)), "links")
-    found = components(contracted(edges))
-    rooted = distinct.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
+    groups = written(components(near), "groups")
+    grouped = members.drop("group").join(groups, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+    others = written(proposals(held, grouped, True, MAX_TOTAL, bucket_limit).join(nearest, ["a", "b"], "left_anti"), "others")
+    # Groups are contracted: a link between two members is a link between their roots.
+    root_of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    crossing = verified(others, sets).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    joined = components(crossing.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    inner = grouped.select("node", F.col("group").alias("root")).join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    rooted = distinct.select("node", "first_id").join(inner.select("node", F.coalesce("top", "root").alias("root")), "node")
     classes = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_node = written(rooted.join(classes, "root").select("node", "component_id"), "classes")
-    return marked.join(by_node, "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
