@@ -2,9 +2,10 @@ import glob
 import hashlib
 import os
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,13 +56,32 @@ def test_line_dedup_keeps_other_columns(spark):
     assert got.agg(F.sum("n_dropped")).first()[0] == 4
 
 
-def test_runs_compact(spark):
-    index = LineIndex(fanout=2)
+def test_runs_compact_and_hold_every_line_once(spark):
+    index = LineIndex(spark, fanout=2)
     for b in range(5):
         index.add(spark.createDataFrame([(1, 1, b), (2, b, b)], "h1 long, h2 long, doc_id long"))
-    assert [len(level) for level in index.levels] == [1, 0, 1]
-    got = {(r["h1"], r["h2"]): (r["n_docs"], r["last_id"]) for r in index.merged().collect()}
-    assert got[(1, 1)] == (5, 4) and got[(2, 3)] == (1, 3)
+        lines = [(r["h1"], r["h2"]) for level in index.lines for run in level for r in run.plain.collect()]
+        assert sorted(lines) == [(1, 1), *[(2, i) for i in range(b + 1)]]  # the anti-join lets new lines in only
+    assert [len(level) for level in index.lines] == [1, 0, 1]
+    got = {(r["h1"], r["h2"]): (r["n_docs"], r["last_id"]) for r in index.counts().collect()}
+    assert got[(1, 1)] == (5, 4) and got[(2, 3)] == (1, 3) and len(got) == 6
+    index.drop()
+
+
+def test_runs_meet_a_batch_without_another_exchange(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = LineIndex(spark, fanout=9)
+        for b in range(2):
+            index.add(spark.createDataFrame([(1, 1, b), (2, b, b)], "h1 long, h2 long, doc_id long"))
+        (first,), (second,) = index.lines[0][:1], index.lines[0][1:2]
+        joined = first.joined.join(second.joined.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        index.drop()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 @pytest.fixture(scope="module")
@@ -204,3 +224,43 @@ def test_edited_pairs_edges(frame):
     assert one["edited_sha256"] == hashlib.sha256(b"abc.abc.").hexdigest()
     rows = iblt.edited_pairs(frame([(1, None), (None, "q"), (2, "a"), (2, "a")])).collect()
     assert len(rows) == 4
+
+
+def test_ranges_follow_the_order_whatever_the_ids(spark):
+    rng = np.random.default_rng(3)
+    ids = [int(x) for x in rng.integers(0, 5000, 3000)] + [2**62] + [77] * 3000 + [None] * 2500
+    rows = [(d, f"text {i}") for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = iblt.ranged(df, len(rows), per_range=100).withColumn("h", F.xxhash64("text")).collect()
+    got.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    places = [r["range"] for r in got]
+    assert places == sorted(places)
+    assert max(Counter(places).values()) <= 400  # a far-off id, a frequent one and missing ones split
+
+
+def test_edited_pairs_of_odd_ids(frame):
+    ids = [2**61, *range(40), None, None, None]
+    rows = [(d, f"text {i}. more of it {i}") for i, d in enumerate(ids)]
+    got = iblt.edited_pairs(frame(rows)).collect()
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    for (d, t), (_, following) in zip(known, known[1:]):
+        cut = len(t) // 2
+        assert by_id[d]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + following[:cut]).encode()).hexdigest()
+    assert len(got) == len(rows)
+
+
+def test_results_ignore_clashing_columns_and_repeats(spark):
+    df = spark.createDataFrame(
+        [(1, "password=abcdefgh12", "o", "en", 5), (1, "password=abcdefgh12", "o", "en", 5)], "doc_id long, text string, source string, lang string, n_live int"
+    )
+    got = scan(df.withColumn("row", F.lit(0)).withColumn("spans", F.lit("x"))).collect()
+    assert [(r["n_assign"], r["n_live"], r["most_owners"], r["most_repositories"]) for r in got] == [(1, 1, 1, 1)] * 2
+    pairs = iblt.edited_pairs(df.withColumn("row", F.lit(0)).withColumn("range", F.lit(1))).collect()
+    assert len(pairs) == 2 and pairs[0]["fingerprint"] == pairs[1]["fingerprint"]
+
+
+def test_values_in_many_repositories_are_copied(spark):
+    rows = [(i, "token=AAAAbbbb1111", "one", f"l{i}") for i in range(5)] + [(9, "token=CCCCdddd2222", "one", "en")]
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert got[0]["n_copied"] == 1 and got[0]["most_owners"] == 1 and got[0]["most_repositories"] == 5 and got[9]["n_live"] == 1

@@ -1,13 +1,15 @@
 """Line deduplication over levelled, sorted runs of line hashes.
 
-The index is a log-structured set of runs.  A run is a table of
-``(h1, h2, n_docs, last_id)`` sorted by the 128-bit line hash.  Each batch of
-documents is summed to one row per line, merge-anti-joined with the runs so
-that only lines that no run has yet enter as new rows (known lines enter as
-increments), and added as a level-0 run; whenever a level holds ``fanout`` runs
-they are merged into one run of the next level.  Reading the index merges what
-is left.  A line found in at least ``min_docs`` documents then loses every
-occurrence except those in the largest document that holds it.
+The index is a log-structured set of runs: tables of ``(h1, h2, n_docs,
+last_id)``, bucketed and sorted by the 128-bit line hash, so that they meet a
+batch in merge joins without moving again.  Each batch of documents is summed
+to one row per line, written in the same buckets, and merge-anti-joined with
+the runs: lines that no run has yet become a new run, so every line is in one
+run only, and known lines are put down as increments in a run of deltas.
+Whenever a level holds ``fanout`` runs they are merged into one run of the next
+level, and deltas likewise.  A line's count is its run's row plus its
+increments; found in at least ``min_docs`` documents, it loses every occurrence
+except those in the largest document that holds it.
 
 Line hashes are two independent 64-bit hashes: among 10^12 different lines the
 chance of any collision is below 10^-14.  All steps are DataFrame operations;
@@ -16,15 +18,17 @@ a line that a third of all documents carry is summed before each shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import new_path, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
-FANOUT = 4
+FANOUT = 2
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,50 +42,85 @@ def line_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
+class Run(NamedTuple):
+    """One run: read by buckets where it is joined, plainly where runs are merged."""
+
+    joined: DataFrame
+    plain: DataFrame
+
+
 class LineIndex:
     """Levelled runs; ``add`` takes one batch ``(h1, h2, doc_id)`` with one row per line and document."""
 
-    def __init__(self, fanout: int = FANOUT) -> None:
-        self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
-
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        #: Runs by level, of new lines and of increments.
+        self.lines: list[list[Run]] = []
+        self.deltas: list[list[Run]] = []
+        self.tables: list[str] = []
+
+    def _run(self, rows: DataFrame, label: str) -> Run:
+        """``rows`` as a run: bucketed and sorted files in the shared folder under a temporary table name."""
+        path = new_path(self.spark, label)
+        name = f"tidemark_{label}_{path[-32:]}"
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        self.tables.append(name)
+        return Run(self.spark.table(name), self.spark.read.schema(rows.schema).parquet(path))
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch.  Lines that no run has yet enter as new rows, known lines as increments."""
-        summed = batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
-        if self.runs():
-            known = self.merged().select("h1", "h2")
-            summed = written(summed, "batch")
-            fresh = summed.join(known.hint("merge"), ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
-            seen = summed.join(known.hint("merge"), ["h1", "h2"], "left_semi").withColumn("fresh", F.lit(False))
-            summed = fresh.unionByName(seen)
-        else:
-            summed = summed.withColumn("fresh", F.lit(True))
-        self._push(0, written(summed.sortWithinPartitions("h1", "h2"), "run0"))
-
-    def merged(self) -> DataFrame:
-        return self._merge(self.runs())
-
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
+        """Merge-anti-join a batch with the runs: new lines are added as a run, known ones as increments."""
+        rows = self._run(_summed(batch, F.count("*"), F.max("doc_id")), "batch")
+        runs = [run for level in self.lines for run in level]
+        if runs:
+            fresh = rows.joined
+            for run in runs:
+                fresh = fresh.join(run.joined.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            fresh = self._run(fresh, "run")
+            known = rows.joined.join(fresh.joined.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            self._push(self.deltas, 0, self._run(known, "delta"))
+        self._push(self.lines, 0, fresh if runs else rows)
+
+    def counts(self) -> DataFrame:
+        """Every line once: ``(h1, h2, n_docs, last_id)``."""
+        for levels in (self.lines, self.deltas):
+            runs = [run for level in levels for run in level]
+            if len(runs) > 1:
+                levels[:] = [[self._merged(runs)]]
+        runs, deltas = ([run for level in levels for run in level] for levels in (self.lines, self.deltas))
         if not runs:
             raise ValueError("the index is empty")
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
-        return rows.groupBy("h1", "h2").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"), F.max("fresh").alias("fresh")
+        if not deltas:
+            return runs[0].plain
+        more = deltas[0].joined.select("h1", "h2", F.col("n_docs").alias("n_more"), F.col("last_id").alias("last_more"))
+        return runs[0].joined.join(more.hint("merge"), ["h1", "h2"], "left").select(
+            "h1", "h2", (F.col("n_docs") + F.coalesce("n_more", F.lit(0))).alias("n_docs"), F.greatest("last_id", "last_more").alias("last_id")
         )
 
-    def _push(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            compacted = written(self._merge(self.levels[level]).sortWithinPartitions("h1", "h2"), f"run{level + 1}")
-            self.levels[level] = []
-            self._push(level + 1, compacted)
+    def drop(self) -> None:
+        """Forget the table names; what was read from them must have been written elsewhere."""
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
+        self.tables = []
+
+    def _merged(self, runs: list[Run]) -> Run:
+        rows = runs[0].plain
+        for run in runs[1:]:
+            rows = rows.unionByName(run.plain)
+        return self._run(_summed(rows, F.sum("n_docs"), F.max("last_id")), "run")
+
+    def _push(self, levels: list[list[Run]], level: int, run: Run) -> None:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(run)
+        if len(levels[level]) >= self.fanout:
+            merged = self._merged(levels[level])
+            levels[level] = []
+            self._push(levels, level + 1, merged)
+
+
+def _summed(rows: DataFrame, n_docs: Column, last_id: Column) -> DataFrame:
+    return rows.groupBy("h1", "h2").agg(n_docs.alias("n_docs"), last_id.alias("last_id"))
 
 
 def dedup_lines(
@@ -96,7 +135,7 @@ def dedup_lines(
     """``docs`` (all columns; clashing ones are replaced) with ``kept_text``, ``n_lines`` and ``n_dropped``.
 
     Null and empty texts have one empty line.  Each row is a document, repeated
-    ids included; rows with a null id are counted, never named as the largest
+    ids included (ids are whole numbers or text that reads as one); rows with a null id are counted, never named as the largest
     id, and keep all their lines.  Of a line repeated inside the largest
     document that holds it every occurrence stays.  An empty table gives an
     empty result.
@@ -111,11 +150,12 @@ def dedup_lines(
         hashed.withColumn("batch", F.coalesce(F.pmod(row, F.lit(batches)), F.lit(0)).cast("int")), "lines", ["batch"]
     )
     lines = lines.select("doc_id", "h1", "h2", "batch")
-    index = LineIndex(fanout)
+    index = LineIndex(docs.sparkSession, fanout)
     for b in range(batches):
         index.add(lines.where(F.col("batch") == b).select("h1", "h2", "doc_id"))
     # Written, so that the join below has a plain shuffle on both sides and AQE can split a hot line.
-    frequent = written(index.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "frequent")
+    frequent = written(index.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "frequent")
+    index.drop()
     drops = (
         lines.join(frequent, ["h1", "h2"])
         .where(F.col("doc_id") < F.col("last_id"))
