@@ -46,7 +46,7 @@ def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_bare", "n_live", "n_copied"
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_bare", "n_live", "n_copied", "most_owners", "most_repositories"
     )
 
 

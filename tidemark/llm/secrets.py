@@ -3,8 +3,9 @@
 Base spans come from three patterns (assign, access, hex), leftmost and
 non-overlapping for each kind, in code points.  The method adds ``bare`` spans:
 long mixed tokens that no pattern covers.  Every candidate value is hashed and
-counted over the whole corpus by distinct owners and repositories; values that
-many owners share are published examples, values of few owners look live.  Bare
+counted over the whole corpus by distinct owners and by distinct repositories;
+values in many owners' or in many repositories' hands are published examples,
+values of few owners in few repositories look live.  Bare
 tokens are reported as spans only when they look live; base spans always stay
 and carry their verdict in the counts.
 
@@ -26,8 +27,9 @@ HEX = r"[0-9a-f]{32,}"
 #: Long tokens that hold a lower-case letter, an upper-case letter and a digit.
 BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{24,}"
 KINDS = ("assign", "access", "hex", "bare")
-#: A value of at most so many owners looks live.
+#: A value of at most so many owners, in at most so many repositories, looks live.
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 3
 _SPAN = "array<struct<start:int,stop:int,kind:int,value:string>>"
 
 
@@ -76,12 +78,14 @@ def scan(
     owner: str = "source",
     repository: list[str] | None = None,
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per row of ``docs``: spans, counts by kind, and how many base values look live or copied.
 
     Result: ``doc_id, n_assign, n_access, n_hex, base, spans, n_bare, n_live,
-    n_copied``.  ``repository`` defaults to owner and language where there is
-    one.  A null owner is an owner of its own; null texts are empty; repeated
+    n_copied, most_owners, most_repositories`` (the last two over the row's base
+    values, 0 without any).  ``repository`` defaults to owner and language where there is
+    one; clashing names of other columns do not matter.  A null owner is an owner of its own; null texts are empty; repeated
     rows stay repeated; an empty table gives an empty result.
     """
     repository = repository or [c for c in (owner, "lang") if c in docs.columns]
@@ -105,7 +109,7 @@ def scan(
     frequency = by_owner.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
     verdicts = (
         candidates.join(frequency, "h")
-        .withColumn("live", F.col("n_owners") <= max_owners)
+        .withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repositories))
         .groupBy("row")
         .agg(
             F.count_if(F.col("live") & (F.col("kind") < 3)).alias("n_live"),
@@ -113,6 +117,8 @@ def scan(
             F.collect_set(
                 F.when(F.col("live") & (F.col("kind") == 3), F.struct("start", "stop", "kind"))
             ).alias("live_bare"),
+            F.max(F.when(F.col("kind") < 3, F.col("n_owners"))).alias("most_owners"),
+            F.max(F.when(F.col("kind") < 3, F.col("n_repos"))).alias("most_repositories"),
         )
     )
     none = F.expr("cast(array() as array<struct<start:int,stop:int,kind:int>>)")
@@ -128,4 +134,6 @@ def scan(
         F.coalesce(F.size("live_bare"), F.lit(0)).cast("long").alias("n_bare"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce("most_repositories", F.lit(0)).cast("long").alias("most_repositories"),
     )
