@@ -3,7 +3,8 @@
 1. Voters.  Fixed insults and patterns, and a lexicon learned from the labelled
    training rows: words and word beginnings that almost only toxic texts hold,
    dealt to ``LEXICON_VOTERS`` voters by hash.  A voter says toxic, not toxic
-   or nothing.
+   or nothing.  Fitting rows are dealt to two halves and voted on by the lexicon
+   of the other half, so that no voter has seen the row it votes on.
 2. A generative label model over all voters' votes on the fitting sample: EM
    estimates each voter's accuracy for both classes and the class balance;
    residual correlations between voters, given the posterior, shrink the votes
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import least_hashes
+from .store import least_hashes, written
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS = 16_000
@@ -214,6 +215,9 @@ def _platt(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+HALVES = 2
+
+
 def _lexicon(sample: DataFrame) -> list[bytes]:
     """Words and beginnings that at least ``MIN_SHARE`` of their (several) labelled documents are toxic for."""
 
@@ -247,24 +251,32 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         F.col("__id").isNotNull() & F.col("__label").isNotNull() & ~held_out(F.col("__id"))
     )
     chosen = least_hashes(known.groupBy("__id").agg(F.max("__label").alias("__label")), "__id", sample_rows)
-    sample = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "__id").select("text", "__label")
-    lexicon = _lexicon(sample)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    sample = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "__id")
+    half = F.pmod(F.xxhash64(F.lit("half"), F.coalesce("text", F.lit(""))), F.lit(HALVES)).cast("int")
+    sample = written(sample.select("__id", "text", "__label", half.alias("half")), "toxicity-sample")
+    lexicon = _lexicon(sample.select("text", "__label"))
+    others = [_lexicon(sample.where(F.col("half") != h).select("text", "__label")) for h in range(HALVES)]
+    shared = docs.sparkSession.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Toxicity(shared.value, np.zeros(1), 0.0)
+        readers = [Toxicity(x, np.zeros(1), 0.0) for x in shared.value]
         for batch in batches:
-            rows = [reader.row(t) for t in batch.column(0).to_pylist()]
+            rows = [readers[h].row(t) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column(0),
                     pa.array([ids.astype("<i4").tobytes() for ids, _ in rows], pa.binary()),
                     pa.array([v.tobytes() for _, v in rows], pa.binary()),
-                    batch.column(1),
+                    batch.column(3),
                 ],
-                names=["ids", "votes", "label"],
+                names=["order", "ids", "votes", "label"],
             )
 
-    got = sample.mapInArrow(run, "ids binary, votes binary, label int").toArrow()
+    # In a fixed order, whatever the partitioning: the fit visits rows by position.
+    order = F.xxhash64(F.lit("order"), "__id", F.coalesce("text", F.lit("")))
+    marked = sample.select(order.alias("order"), "text", "half", "__label").mapInArrow(run, "order long, ids binary, votes binary, label int")
+    got = marked.orderBy("order", "ids").select("ids", "votes", "label").toArrow()
+    shared.destroy()
     size = BUCKETS + 2 * Voters(lexicon).size
     if not got.num_rows:
         return Toxicity(lexicon, np.zeros(size), 0.0)
