@@ -3,15 +3,18 @@
 1. Document frequencies of the benchmark's words over all documents.
 2. A distributed randomised SVD of the benchmark's TF-IDF passages: tasks add up
    their share of ``A'A`` times a thin matrix, the driver only orthonormalises.
+   Both are fitted once for the whole benchmark.
 3. Every document is read as overlapping windows of words; each window is
    projected into the latent space and compared by cosine with every passage of
    the benchmark (the stated query set, in blocks of ``BLOCK_ITEMS`` items).
+   Items longer than ``PASSAGE_WORDS`` are searched by their passages of that
+   many words, so that a window can resemble them.
 4. Candidates are checked in place: the longest common subsequence of words
    with the item, and with the item's ending (its answer), over the best
    stretch of the document near the window.
 
-Broadcast: the vectors of one block's words and passages, whose number the block
-bounds, whatever the corpus.  A task holds one Arrow batch and one chunk of
+Broadcast: the vectors of the benchmark's words and one block's passages, whose
+number the block bounds, whatever the corpus.  A task holds one Arrow batch and one chunk of
 windows.
 """
 
@@ -31,9 +34,10 @@ BLOCK_ITEMS = 2048
 RANK = 96
 OVERSAMPLE = 16
 STEP = 16  # words of half a window
-MIN_COSINE = 0.4
-MIN_COVER = 0.2  # share of a passage's own strength that a window must hold (it may hold half of the passage)
-MIN_IDF = 3.0  # commoner words do not take part in the search (the checks use all words)
+MIN_COSINE = 0.3
+PASSAGE_WORDS = 48
+PARTS = 8  # tasks that add up the passages, each with one matrix of words x (RANK + OVERSAMPLE)
+MIN_IDF = 1.5  # commoner words do not take part in the search (the checks use all words)
 MIN_LCS = 0.6
 SURE_LCS = 0.8
 MIN_ANSWER = 0.5
@@ -134,7 +138,7 @@ def _summed_over(passages: DataFrame, vocabulary, idf: np.ndarray, thin: np.ndar
                         total[ids] += np.outer(row, thin_row)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-    parts = passages.mapInArrow(run, "part binary").toArrow().column(0).to_pylist()
+    parts = passages.coalesce(PARTS).mapInArrow(run, "part binary").toArrow().column(0).to_pylist()
     shape = (thin.shape[1], thin.shape[1]) if inner else (len(vocabulary), thin.shape[1])
     return sum((np.frombuffer(p).reshape(shape) for p in parts), np.zeros(shape))
 
@@ -157,7 +161,7 @@ def _search_job(shared, keep: int, names: list[str]):
     leak_type = pa.list_(pa.struct([("item_id", pa.int64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("cosine", pa.float64())]))
 
     def search(words_by_doc: list[list[bytes]], model) -> list[list[dict]]:
-        of, vectors, informative, items, latent, strength, item_ids = model
+        of, vectors, informative, items, latent, item_of, item_ids = model
         found: list[dict[int, tuple]] = [{} for _ in words_by_doc]
         ids = np.concatenate([np.fromiter(map(of.get, ws, repeat(-1)), dtype=np.int32, count=len(ws)) for ws in words_by_doc])
         lengths = np.fromiter(map(len, words_by_doc), dtype=np.int64, count=len(words_by_doc))
@@ -186,11 +190,11 @@ def _search_job(shared, keep: int, names: list[str]):
             w = windows[part]
             size = np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
             dots = w @ latent.T
-            rows, columns = np.nonzero(dots >= np.maximum(MIN_COSINE * size, MIN_COVER * strength))
+            rows, columns = np.nonzero(dots >= MIN_COSINE * size)
             docs_of = np.searchsorted(first_block, part[rows], side="right") - 1
             places = (part[rows] - first_block[docs_of]) * STEP
             cosines = dots[rows, columns] / size[rows, 0]
-            for d, place, item, cosine in zip(docs_of.tolist(), places.tolist(), columns.tolist(), cosines.tolist(), strict=True):
+            for d, place, item, cosine in zip(docs_of.tolist(), places.tolist(), item_of[columns].tolist(), cosines.tolist(), strict=True):
                 if leaked(*found[d].get(item, (0.0, 0.0, 0.0))[:2]):
                     continue
                 share, answer = best_match(items[item], words_by_doc[d], place)
@@ -251,29 +255,33 @@ def find_leaks(
     result = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text"))
     empty = "cast(array() as array<struct<item_id:bigint,lcs:double,answer:double,cosine:double>>)"
     result = result.withColumn("leaks", F.expr(empty))
+    everything = [(r["item_id"], words_of(r["text"])) for r in held.select("item_id", "text").collect()]  # the query set
+    everything = sorted((i, ws) for i, ws in everything if ws)
+    if not everything:
+        return result.drop("__text")
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in everything for w in ws}))}
+    df, n = document_frequencies(docs, text, vocabulary)
+    idf = np.maximum(np.log((n + 1) / (df + 1)), 1e-3)
+    vectors = (idf[:, None] * randomised_svd(held.select("text"), vocabulary, idf)).astype(np.float32)
+    informative = idf >= MIN_IDF
+    passages: list[tuple[int, list[int]]] = []
+    for k, (_, ws) in enumerate(everything):
+        ids = [vocabulary[w] for w in ws]
+        parts = max(1, -(-len(ids) // PASSAGE_WORDS))
+        for part in np.array_split(np.array(ids), parts):
+            if not informative[part].any():  # of common words only: searched by all of them
+                informative[part] = True
+            passages.append((k, part.tolist()))
     for b in range(blocks):
-        block = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else held
-        rows = [(r["item_id"], r["text"], words_of(r["text"])) for r in block.collect()]  # one block of the query set
-        rows = [r for r in rows if r[2]]
-        if not rows:
+        own = [k for k in range(len(everything)) if k % blocks == b]
+        place = {k: i for i, k in enumerate(own)}
+        parts = [(place[k], [w for w in part if informative[w]]) for k, part in passages if k in place]
+        if not parts:
             continue
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, _, ws in rows for w in ws}))}
-        df, n = document_frequencies(docs, text, vocabulary)
-        idf = np.log((n + 1) / (df + 1))
-        idf = np.maximum(idf, 1e-3)
-        right = randomised_svd(block.select("text"), vocabulary, idf)
-        vectors = (idf[:, None] * right).astype(np.float32)
-        latent = np.stack([vectors[[vocabulary[w] for w in ws]].sum(axis=0) for _, _, ws in rows])
-        informative = idf >= MIN_IDF
-        for i, (_, _, ws) in enumerate(rows):
-            chosen = [vocabulary[w] for w in ws if informative[vocabulary[w]]]
-            if chosen:
-                latent[i] = vectors[chosen].sum(axis=0)
-            else:  # an item of common words only is searched by all of them
-                informative[[vocabulary[w] for w in ws]] = True
-        strength = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
-        latent = (latent / strength[:, None]).astype(np.float32)
-        model = (vocabulary, vectors, informative, [ws for _, _, ws in rows], latent, strength.astype(np.float32), [i for i, _, _ in rows])
+        latent = np.stack([vectors[part].sum(axis=0) for _, part in parts])
+        latent = (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]).astype(np.float32)
+        item_of = np.array([i for i, _ in parts], dtype=np.int64)
+        model = (vocabulary, vectors, informative, [everything[k][1] for k in own], latent, item_of, [everything[k][0] for k in own])
         shared = spark.sparkContext.broadcast(model)
         kept = result.select(*[F.col(f"`{c}`") for c in columns], F.col("leaks").alias("__before"), "__text")
         if blocks == 1:
