@@ -32,8 +32,9 @@ MAX_TRIES = 8
 #: A passage runs inside one paragraph (line) for at least so many characters, up to a sentence mark.
 PASSAGE_CHARS = 100
 _PASSAGE = rf"[^\n]{{1,{PASSAGE_CHARS}}}[^\n.!?]*[.!?]?"
-#: Rows of one range of ids, about.
+#: Rows of one range of ids, about; quantiles that cut the ids into segments of ranges.
 RANGE_ROWS = 1024
+QUANTILES = 256
 #: Documents whose cells are dealt to one task, about.
 TASK_ROWS = 8192
 
@@ -174,6 +175,35 @@ def successors(ids: DataFrame, per_range: int = RANGE_ROWS) -> DataFrame:
     return inner.join(bridges, "range", "left").select("id", F.coalesce("within", "after").alias("next_id"))
 
 
+def ranged(rows: DataFrame, n: int, per_range: int = RANGE_ROWS) -> DataFrame:
+    """``rows(doc_id, text)`` plus ``range``, ascending with ``(doc_id, hash of text)``, nulls first.
+
+    Quantiles of the ids cut segments of equal numbers of rows, each of which is
+    cut into equal widths.  An id that spans several quantiles is cut by the
+    hash of its texts, and so are rows without an id.
+    """
+    segments = max(1, min(QUANTILES, -(-n // per_range)))
+    steps = [i / segments for i in range(segments + 1)]
+    shape = rows.agg(F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.percentile_approx("doc_id", steps, 20 * QUANTILES).alias("q")).first()
+    cuts, nulls = shape["q"] or [0, 0], shape["nulls"]
+    width = max(1, -(-(n - nulls) // (segments * per_range)))  # ranges of a segment
+    missing = max(1, -(-nulls // per_range))
+    q = F.array(*[F.lit(x).cast("long") for x in cuts])
+    unit = (F.xxhash64("text").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+
+    def sliced(part: Column, ranges: Column) -> Column:
+        return F.least(F.floor(part * ranges), ranges.cast("long") - 1)
+
+    i, j = F.col("__i"), F.col("__j")  # quantiles at most the id, and below it
+    low, high = (F.element_at(q, F.greatest(F.least(x, F.lit(len(cuts))), F.lit(1))).cast("double") for x in (i, i + 1))
+    share = F.greatest(F.least((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)), F.lit(1.0)), F.lit(0.0))
+    spread = (j + 1) * width + sliced(unit, (i - j - 1) * width)
+    usual = i * width + sliced(share, F.lit(width))
+    placed = F.when(F.col("doc_id").isNull(), sliced(unit, F.lit(missing)) - missing).when(i - j >= 2, spread).otherwise(usual)
+    counted = rows.withColumn("__i", F.size(F.filter(q, lambda x: x <= F.col("doc_id")))).withColumn("__j", F.size(F.filter(q, lambda x: x < F.col("doc_id"))))
+    return counted.withColumn("range", placed.cast("long")).drop("__i", "__j")
+
+
 def _edited(text: Column, following: Column) -> Column:
     cut = F.floor(F.length(text) / 2).cast("int")
     return F.concat(F.substring(text, F.lit(1), F.length(text) - cut), F.substring(following, F.lit(1), cut))
@@ -189,18 +219,15 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows with the same id follow each other by the hash of their text, rows
     with a null id come first, ordered the same way.  A table of one row
     follows itself; an empty table gives an empty result; further columns are
-    ignored.  Ids are expected to be spread over their range: a range of
-    ``RANGE_ROWS`` average ids is sorted in one task.
+    ignored.  Ids are whole numbers, or text that reads as one.  Rows are dealt
+    to ranges of about ``RANGE_ROWS`` rows by quantiles of the id, and by the
+    hash of the text where many rows share an id or have none.
     """
     own = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     )
-    shape = own.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    n, lo, hi = shape["n"], shape["lo"] or 0, shape["hi"] or 0
-    width = max(1, -(-(hi - lo + 1) * RANGE_ROWS // max(n, 1)))
-    placed = own.withColumn(
-        "range", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")
-    )
+    n = own.count()
+    placed = ranged(own, n)
     order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc())
     ordered = placed.select(
         "doc_id", "range", "text", F.row_number().over(order).alias("rank"), F.lead("text").over(order).alias("following")
