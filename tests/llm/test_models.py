@@ -185,6 +185,31 @@ def test_context_tree_against_the_definition():
     assert np.allclose((10.0 ** model.table.astype(float)).sum(axis=1), 1, atol=0.01)
 
 
+def test_scores_do_not_depend_on_partitions_or_batches(spark, docs):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for parts, batch in ((1, 10000), (7, 50)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            found.append({r["doc_id"]: r["score"] for r in ctw.language_scores(docs.repartition(parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0].keys() == found[1].keys() and all(math.isclose(found[0][d], found[1][d], rel_tol=1e-9) for d in found[0])
+
+
+def test_no_context_is_lost_to_a_taken_slot(monkeypatch):
+    monkeypatch.setattr(ctw.Shape, "_BITS", 9)  # far more crowded than usual
+    rng = np.random.default_rng(4)
+    fours = np.unique(rng.integers(0, ctw.BASE * ctw.FAR, 300))
+    fives = np.unique(fours[rng.integers(0, len(fours), 200)] * ctw.FAR + rng.integers(0, ctw.FAR, 200))
+    shape = ctw.Shape(np.repeat([4, 5], [len(fours), len(fives)]), np.concatenate([fours, fives]))
+    assert len(shape.codes) == len(fours) + len(fives)
+    for d, codes in ((4, fours), (5, fives)):
+        assert (shape.known[shape._find(d, codes)] == codes).all()
+    absent = np.setdiff1d(rng.integers(0, ctw.BASE * ctw.FAR, 1000), fours)
+    assert (shape.known[shape._find(4, absent)] != absent).all()
+
+
 def test_language_scores_edges(frame):
     assert ctw.language_scores(frame([])).count() == 0
     got = {r["doc_id"]: r for r in ctw.language_scores(frame([(1, None), (2, ""), (None, "a b"), (4, "a a"), (4, "a a")])).collect()}
@@ -297,6 +322,15 @@ def test_toxicity_never_sees_held_out_labels(spark, frame):
     assert scores[0] == scores[1]
 
 
+def test_toxicity_does_not_depend_on_partitions(larger):
+    docs, labels = larger
+    found = []
+    for parts in (1, 7):
+        model = toxicity.train(docs.repartition(parts), labels)
+        found.append({r["doc_id"]: r["score"] for r in toxicity.score(docs.select("doc_id", "text"), model).collect()})
+    assert found[0].keys() == found[1].keys() and all(math.isclose(found[0][d], found[1][d], abs_tol=1e-9) for d in found[0])
+
+
 def test_toxicity_edges(spark, frame):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(frame([(1, "a")]), none)
