@@ -7,6 +7,7 @@ any size is summed map-side first.  Only the inverse of a speaker's covariance
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations_with_replacement
@@ -27,23 +28,27 @@ V0_FLOOR = 0.12
 # ------------------------------------------------------------- confounds
 
 
-def standardised(df: DataFrame, columns: dict[str, Column], floor: float = 1e-6) -> DataFrame:
-    """``df`` plus centred and scaled columns: one scalar aggregate joined back, no global window."""
-    shape = df.agg(
-        *[F.avg(c).alias(f"_m_{n}") for n, c in columns.items()], *[F.stddev_pop(c).alias(f"_s_{n}") for n, c in columns.items()]
-    )
-    z = [((c - F.col(f"_m_{n}")) / F.greatest(F.col(f"_s_{n}"), F.lit(floor))).alias(n) for n, c in columns.items()]
-    return df.crossJoin(F.broadcast(shape)).select(*df.columns, *z)
+def keys_of(speaker: str | list[str]) -> list[str]:
+    return [speaker] if isinstance(speaker, str) else list(speaker)
 
 
-def residualise(df: DataFrame, features: list[str], words: str = "words", t: str = "t") -> DataFrame:
-    """Remove length and time from each feature: ridge regression on [1, z(log words), z(t)], residual plus mean.
+def _with_aggregate(df: DataFrame, aggregates: list[Column], world: list[str]) -> DataFrame:
+    """``df`` plus aggregates over the table (one row, broadcast) or over each world."""
+    if not world:
+        return df.crossJoin(F.broadcast(df.agg(*aggregates)))
+    return df.join(df.groupBy(*world).agg(*aggregates), world)
 
-    The regressors are centred, so the normal equations fall into a scalar and a
-    2 x 2 block that is solved in closed form from sums.
-    """
-    design = standardised(df, {"x1": F.log(F.greatest(F.col(words), F.lit(1))), "x2": F.col(t)})
-    sums = design.agg(
+
+def standardised(df: DataFrame, columns: dict[str, Column], floor: float = 1e-6, world: list[str] | None = None) -> DataFrame:
+    """``df`` plus centred and scaled columns: one scalar aggregate (of each world) joined back, no global window."""
+    shape = [*[F.avg(c).alias(f"_m_{n}") for n, c in columns.items()], *[F.stddev_pop(c).alias(f"_s_{n}") for n, c in columns.items()]]
+    z = [((c - F.col(f"_m_{n}")) / F.greatest(F.col(f"_s_{n}"), F.lit(floor))).alias(n) for n, c in columns.items()]
+    return _with_aggregate(df, shape, world or []).select(*df.columns, *z)
+
+
+def confound_sums(features: list[str]) -> list[Column]:
+    """Sums of the normal equations over centred regressors ``x1`` and ``x2``."""
+    return [
         F.count("*").alias("n"),
         F.sum(F.col("x1") * F.col("x1")).alias("a"),
         F.sum(F.col("x1") * F.col("x2")).alias("b"),
@@ -51,22 +56,44 @@ def residualise(df: DataFrame, features: list[str], words: str = "words", t: str
         *[F.sum(F.col(f)).alias(f"y_{f}") for f in features],
         *[F.sum(F.col("x1") * F.col(f)).alias(f"p_{f}") for f in features],
         *[F.sum(F.col("x2") * F.col(f)).alias(f"q_{f}") for f in features],
-    )
+    ]
+
+
+def confound_fit(sums: DataFrame, features: list[str], world: list[str] | None = None) -> DataFrame:
+    """Coefficients ``b0_f, b1_f, b2_f`` and ``mean_f`` from the sums, one row (of each world)."""
     a, d, b = F.col("a") + RIDGE, F.col("d") + RIDGE, F.col("b")
     det = a * d - b * b
-    beta = sums.select(
+    return sums.select(
+        *(world or []),
         *[(F.col(f"y_{f}") / (F.col("n") + RIDGE)).alias(f"b0_{f}") for f in features],
         *[((d * F.col(f"p_{f}") - b * F.col(f"q_{f}")) / det).alias(f"b1_{f}") for f in features],
         *[((a * F.col(f"q_{f}") - b * F.col(f"p_{f}")) / det).alias(f"b2_{f}") for f in features],
         *[(F.col(f"y_{f}") / F.col("n")).alias(f"mean_{f}") for f in features],
     )
+
+
+def log_words(words: str = "words") -> Column:
+    return F.log(F.greatest(F.col(words), F.lit(1)))
+
+
+def residualise(df: DataFrame, features: list[str], words: str = "words", t: str = "t", world: list[str] | None = None) -> DataFrame:
+    """Remove length and time from each feature: ridge regression on [1, z(log words), z(t)], residual plus mean.
+
+    The regressors are centred, so the normal equations fall into a scalar and a
+    2 x 2 block that is solved in closed form from sums (of each world).
+    """
+    world = world or []
+    design = standardised(df, {"x1": log_words(words), "x2": F.col(t)}, world=world)
+    sums = (design.groupBy(*world) if world else design).agg(*confound_sums(features))
+    beta = confound_fit(sums, features, world)
     resid = [
         (
             F.col(f) - (F.col(f"b0_{f}") + F.col(f"b1_{f}") * F.col("x1") + F.col(f"b2_{f}") * F.col("x2")) + F.col(f"mean_{f}")
         ).alias(f"resid_{f}")
         for f in features
     ]
-    return design.crossJoin(F.broadcast(beta)).select(*df.columns, *resid)
+    joined = design.join(beta, world) if world else design.crossJoin(F.broadcast(beta))
+    return joined.select(*df.columns, *resid)
 
 
 def variance_explained(residuals: DataFrame, features: list[str]) -> DataFrame:
@@ -111,17 +138,18 @@ def v0_divergence(scored: DataFrame, speaker: str, features: dict[str, float], i
 # -------------------------------------------------------------- baselines
 
 
-def speaker_moments(rows: DataFrame, speaker: str, features: list[str], min_n: int = 2) -> DataFrame:
+def speaker_moments(rows: DataFrame, speaker: str | list[str], features: list[str], min_n: int = 2) -> DataFrame:
     """Per speaker: n, means, sample variances, and the Ledoit-Wolf pieces, in two grouped aggregates.
 
     ``S`` is the covariance with divisor n; ``q`` is the sum over rows of the
     squared norm squared of the centred row.
     """
-    first = rows.groupBy(speaker).agg(F.count("*").alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features]).where(F.col("n") >= min_n)
-    centred = rows.join(first, speaker).select(speaker, "n", *[f"m_{f}" for f in features], *[(F.col(f) - F.col(f"m_{f}")).alias(f"c_{f}") for f in features])
+    keys = keys_of(speaker)
+    first = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features]).where(F.col("n") >= min_n)
+    centred = rows.join(first, keys).select(*keys, "n", *[f"m_{f}" for f in features], *[(F.col(f) - F.col(f"m_{f}")).alias(f"c_{f}") for f in features])
     norm = reduce(lambda x, y: x + y, (F.col(f"c_{f}") * F.col(f"c_{f}") for f in features))
     pairs = list(combinations_with_replacement(features, 2))
-    return centred.groupBy(speaker, "n", *[f"m_{f}" for f in features]).agg(
+    return centred.groupBy(*keys, "n", *[f"m_{f}" for f in features]).agg(
         *[F.avg(F.col(f"c_{a}") * F.col(f"c_{b}")).alias(f"s_{a}_{b}") for a, b in pairs], F.sum(norm * norm).alias("q")
     )
 
@@ -134,7 +162,7 @@ def shrink_intensity(n: Column, p: int, trace: Column, square: Column, q: Column
     return F.when(beta <= 0, F.lit(0.0)).otherwise(F.least(beta, delta) / F.greatest(delta, F.lit(1e-300)))
 
 
-def covariances(moments: DataFrame, speaker: str, features: list[str]) -> DataFrame:
+def covariances(moments: DataFrame, speaker: str | list[str], features: list[str]) -> DataFrame:
     """Shrunken covariance of each speaker as ``cov_<a>_<b>`` plus ``intensity``.
 
     Under three rows: the diagonal of the variances (divisor n, at least 1e-3), intensity 1.
@@ -150,19 +178,18 @@ def covariances(moments: DataFrame, speaker: str, features: list[str]) -> DataFr
         s = F.col(key(a, b))
         full = (1 - F.col("_s")) * s + (F.col("_s") * F.col("_trace") / p + 1e-4 if a == b else F.lit(0.0))
         out.append(F.when(few, F.greatest(s, F.lit(1e-3)) if a == b else F.lit(0.0)).otherwise(full).alias(f"cov_{a}_{b}"))
-    return base.select(speaker, "n", *[f"m_{f}" for f in features], *[f"s_{f}_{f}" for f in features], *out, F.when(few, F.lit(1.0)).otherwise(F.col("_s")).alias("intensity"))
+    return base.select(*keys_of(speaker), "n", *[f"m_{f}" for f in features], *[f"s_{f}_{f}" for f in features], *out, F.when(few, F.lit(1.0)).otherwise(F.col("_s")).alias("intensity"))
 
 
-def shrunken_means(cov: DataFrame, speaker: str, features: list[str]) -> DataFrame:
-    """Empirical-Bayes means: one weight for each speaker between its own mean and the mean of speaker means."""
+def shrunken_means(cov: DataFrame, speaker: str | list[str], features: list[str]) -> DataFrame:
+    """Empirical-Bayes means: one weight for each speaker between its own mean and the mean of speaker means (of its world)."""
     unbiased = lambda f: F.col(f"s_{f}_{f}") * F.col("n") / (F.col("n") - 1)
-    pop = cov.agg(
-        F.count("*").alias("_k"),
+    pop = [
         *[F.avg(f"m_{f}").alias(f"pop_{f}") for f in features],
         *[F.coalesce(F.var_samp(f"m_{f}"), F.lit(1.0)).alias(f"between_{f}") for f in features],
         *[F.avg(unbiased(f)).alias(f"within_{f}") for f in features],
-    )
-    joined = cov.crossJoin(F.broadcast(pop))
+    ]
+    joined = _with_aggregate(cov, pop, keys_of(speaker)[:-1])
     each = []
     for f in features:
         noise = F.col(f"within_{f}") / F.col("n")
@@ -178,30 +205,41 @@ def shrunken_means(cov: DataFrame, speaker: str, features: list[str]) -> DataFra
     )
 
 
-def fit_baselines(rows: DataFrame, speaker: str, features: list[str], min_n: int = 2) -> DataFrame:
+def fit_baselines(rows: DataFrame, speaker: str | list[str], features: list[str], min_n: int = 2) -> DataFrame:
     """One row for each speaker: shrunken mean, covariance, and (row-major) precision and its Cholesky factor.
 
-    The p x p inverse runs in numpy on the already aggregated rows.
+    The p x p inverses run in numpy, stacked, on the already aggregated rows; for
+    two features they are column expressions.
     """
     means = shrunken_means(covariances(speaker_moments(rows, speaker, features, min_n), speaker, features), speaker, features)
     p = len(features)
+    if p == 2:
+        a, b, d = (F.col(f"cov_{x}_{y}") for x, y in combinations_with_replacement(features, 2))
+        det = a * d - b * b
+        top = F.sqrt(d / det)
+        zero = F.lit(0.0)
+        return means.select(
+            "*",
+            F.array(d / det, -b / det, -b / det, a / det).alias("precision"),
+            F.array(top, zero, -b / det / top, F.sqrt(a / det - b * b / det / det / (d / det))).alias("factor"),
+            F.array(F.sqrt(a), F.sqrt(d)).alias("deviation"),
+        )
 
     def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            precision, factor, deviation = [], [], []
-            for _, r in frame.iterrows():
-                c = np.zeros((p, p))
-                for i, j in combinations_with_replacement(range(p), 2):
-                    c[i, j] = c[j, i] = r[f"cov_{features[i]}_{features[j]}"]
-                inverse = np.linalg.pinv(c)
-                try:
-                    lower = np.linalg.cholesky(inverse)
-                except np.linalg.LinAlgError:
-                    lower = np.full((p, p), np.nan)
-                precision.append(inverse.ravel().tolist())
-                factor.append(lower.ravel().tolist())
-                deviation.append(np.sqrt(np.diag(c)).tolist())
-            yield frame.assign(precision=precision, factor=factor, deviation=deviation)
+            c = np.zeros((len(frame), p, p))
+            for i, j in combinations_with_replacement(range(p), 2):
+                c[:, i, j] = c[:, j, i] = frame[f"cov_{features[i]}_{features[j]}"].to_numpy(float)
+            inverse = np.linalg.pinv(c)
+            try:
+                lower = np.linalg.cholesky(inverse)
+            except np.linalg.LinAlgError:  # of one of them: factor each by itself
+                lower = np.full_like(inverse, np.nan)
+                for i, m in enumerate(inverse):
+                    if np.linalg.eigvalsh(m)[0] > 0:
+                        lower[i] = np.linalg.cholesky(m)
+            deviation = np.sqrt(np.diagonal(c, axis1=1, axis2=2))
+            yield frame.assign(precision=list(inverse.reshape(-1, p * p)), factor=list(lower.reshape(-1, p * p)), deviation=list(deviation))
 
     extra = "precision array<double>, factor array<double>, deviation array<double>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in means.schema.fields) + ", " + extra
@@ -215,19 +253,31 @@ def _terms(xs: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, xs)
 
 
-def chi2_tail(d2: Column, k: int) -> Column:
-    """Upper tail of the chi-squared distribution for even k: exp(-h) times the first k/2 terms of exp(h), h = d2/2."""
-    if k % 2:
-        raise ValueError("the closed form needs an even number of features")
-    h = d2 / 2
-    term, total = F.lit(1.0), F.lit(1.0)
-    for i in range(1, k // 2):
-        term = term * h / i
-        total = total + term
-    return F.exp(-h) * total
+def erfc(x: Column, points: int = 64) -> Column:
+    """Complementary error function of ``x >= 0``: the mean of exp(-(x / sin)^2) over a quarter turn (Craig's form).
+
+    The integrand is smooth and periodic, so the midpoint rule converges faster than any power.
+    """
+    sines = F.array(*[F.lit(float(np.sin((i + 0.5) * np.pi / 2 / points) ** 2)) for i in range(points)])
+    return F.aggregate(sines, F.lit(0.0), lambda s, q: s + F.exp(-x * x / q)) / points
 
 
-def anomalies(rows: DataFrame, baselines: DataFrame, speaker: str, features: list[str], direction: tuple[float, ...] | None = None) -> DataFrame:
+def chi2_tail(d2: Column, k: int) -> Column:
+    """Upper tail of the chi-squared distribution: by steps of two from exp(-h) (even k) or erfc(sqrt(h)) (odd k), h = d2/2."""
+    h = d2 / 2
+    if k % 2 == 0:
+        term, total = F.lit(1.0), F.lit(1.0)
+        for i in range(1, k // 2):
+            term = term * h / i
+            total = total + term
+        return F.exp(-h) * total
+    total = erfc(F.sqrt(h))
+    for i in range(1, (k - 1) // 2 + 1):
+        total = total + F.pow(h, i - 0.5) * F.exp(-h) / math.gamma(i + 0.5)
+    return total
+
+
+def anomalies(rows: DataFrame, baselines: DataFrame, speaker: str | list[str], features: list[str], direction: tuple[float, ...] | None = None) -> DataFrame:
     """Rows of speakers with a baseline: Mahalanobis distance, tail, percentile, z, attribution, dominant feature,
     and the signed projection on ``direction``.
 
@@ -235,7 +285,8 @@ def anomalies(rows: DataFrame, baselines: DataFrame, speaker: str, features: lis
     """
     p = len(features)
     at = lambda m, i, j: F.element_at(m, i * p + j + 1)
-    joined = rows.join(baselines.select(speaker, *[f"mean_{f}" for f in features], "precision", "factor", "deviation"), speaker)
+    keys = keys_of(speaker)
+    joined = rows.join(baselines.select(*keys, *[f"mean_{f}" for f in features], "precision", "factor", "deviation"), keys)
     d = joined.select(*rows.columns, *[(F.col(f) - F.col(f"mean_{f}")).alias(f"_d{i}") for i, f in enumerate(features)], "precision", "factor", "deviation")
     ds = [F.col(f"_d{i}") for i in range(p)]
     d2 = _terms([ds[i] * at(F.col("precision"), i, j) * ds[j] for i in range(p) for j in range(p)])
@@ -255,7 +306,7 @@ def anomalies(rows: DataFrame, baselines: DataFrame, speaker: str, features: lis
         *rows.columns,
         "d2",
         F.sqrt("d2").alias("mahalanobis"),
-        *([chi2_tail(F.col("d2"), p).alias("p_chi2")] if p % 2 == 0 else []),
+        chi2_tail(F.col("d2"), p).alias("p_chi2"),
         *[(ds[i] / F.greatest(F.element_at("deviation", i + 1), F.lit(1e-6))).alias(f"z_{f}") for i, f in enumerate(features)],
         *[s.alias(f"attribution_{f}") for s, f in zip(shares, features, strict=True)],
         *([_projection(ds, direction, at, p).alias("projection")] if direction else []),
@@ -263,7 +314,7 @@ def anomalies(rows: DataFrame, baselines: DataFrame, speaker: str, features: lis
     array = F.array(*[F.col(f"attribution_{f}") for f in features])
     named = F.array(*[F.lit(f) for f in features])
     out = out.withColumn("dominant_feature", F.element_at(named, F.array_position(array, F.array_max(array)).cast("int")))
-    return out.withColumn("percentile", 100 * (1 - F.col("p_chi2"))) if p % 2 == 0 else out
+    return out.withColumn("percentile", 100 * (1 - F.col("p_chi2")))
 
 
 def _projection(ds: list[Column], v: tuple[float, ...], at, p: int) -> Column:
@@ -272,8 +323,14 @@ def _projection(ds: list[Column], v: tuple[float, ...], at, p: int) -> Column:
     return F.when(length > 0, _terms([ds[i] * pv[i] for i in range(p)]) / F.sqrt(length)).otherwise(F.lit(0.0))
 
 
-def representative(rows: DataFrame, baselines: DataFrame, speaker: str, features: list[str], order: str) -> DataFrame:
-    """The row of each speaker that is closest to its baseline mean in units of its deviations."""
-    joined = rows.join(baselines.select(speaker, *[f"mean_{f}" for f in features], "deviation"), speaker)
-    distance = _terms([F.pow((F.col(f) - F.col(f"mean_{f}")) / F.element_at("deviation", i + 1), 2) for i, f in enumerate(features)])
+def representative(rows: DataFrame, baselines: DataFrame, speaker: str, features: list[str], order: str, means: list[str] | None = None) -> DataFrame:
+    """The row of each speaker that is closest to its baseline mean in units of its deviations.
+
+    ``means`` names the baseline's features where they differ from the rows' (raw
+    scores against means in residual space).
+    """
+    named = means or features
+    joined = rows.join(baselines.select(speaker, *[f"mean_{f}" for f in named], "deviation"), speaker)
+    scale = [F.greatest(F.element_at("deviation", i + 1), F.lit(1e-6)) for i in range(len(named))]
+    distance = _terms([F.pow((F.col(f) - F.col(f"mean_{m}")) / d, 2) for f, m, d in zip(features, named, scale, strict=True)])
     return joined.groupBy(speaker).agg(F.min_by(order, F.struct(F.round(distance, 9), F.col(order))).alias(order), F.round(F.min(distance), 4).alias("distance"))

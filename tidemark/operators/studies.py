@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .validate import average_ranks, shuffle_key
+from .validate import auc, average_ranks, permutation_test, permuted
 
 
 def binned_mean(df: DataFrame, x: str, y: str, edges: tuple[float, ...]) -> DataFrame:
@@ -30,36 +30,36 @@ def within_speaker_rho(df: DataFrame, speaker: str, x: str, y: str, min_n: int =
     )
 
 
-def dose_response(df: DataFrame, speaker: str, row_id: str, x: str, days: str, n_perm: int = 4000, seed: int = 11) -> DataFrame:
-    """Median within-speaker correlation of ``x`` with nearness, against shuffles of the days inside each speaker (one-sided).
+def dose_response(df: DataFrame, speaker: str, row_id: str, x: str, days: str, n_perm: int = 4000, seed: int = 11, min_rows: int = 10) -> DataFrame:
+    """Correlation of ``x`` with nearness: the median within speakers (one-sided) and the pooled one (two-sided).
 
-    The replicates are partial aggregates by (replicate, speaker): correlations
-    come from sums, so no replicate is ever one task's list.
+    Both are tested against shuffles of the days inside each speaker.  Speakers
+    take part in the median with three rows and variation in both columns.
+    Under ``min_rows`` rows, or without variation of the days, the status is
+    ``insufficient_variation``.  Correlations come from sums by (replicate,
+    speaker), so no replicate is ever one task's list.
     """
-    enough = within_speaker_rho(df.withColumn("_near", -F.col(days)), speaker, x, "_near")
-    observed = enough.agg(F.median("rho").alias("observed"), F.count("*").alias("n_speakers"), F.avg((F.col("rho") > 0).cast("double")).alias("share_positive"))
-    own = df.join(enough.select(speaker), speaker, "left_semi").withColumn("_near", -F.col(days))
+    held = df.where(F.col(x).isNotNull() & F.col(days).isNotNull()).withColumn("_near", -F.col(days))
+    enough = within_speaker_rho(held, speaker, x, "_near")
+    shape = held.agg(F.count("*").alias("n"), F.coalesce(F.stddev_pop(days), F.lit(0.0)).alias("_sd"))
+    observed = enough.agg(F.median("rho").alias("observed"), F.count("*").alias("n_speakers"), F.avg((F.col("rho") > 1e-12).cast("double")).alias("share_positive"))
+    own = held.join(enough.select(speaker), speaker, "left_semi")
     ranked = average_ranks(average_ranks(own, x, "_rx", [speaker]), "_near", "_ry", [speaker]).select(speaker, row_id, "_rx", "_ry")
-    reps = df.sparkSession.range(n_perm).withColumnRenamed("id", "rep")
-    block = Window.partitionBy("rep", speaker)
-    grid = ranked.crossJoin(F.broadcast(reps))
-    slotted = grid.withColumn("_slot", F.row_number().over(block.orderBy(row_id))).withColumn(
-        "_drawn", F.row_number().over(block.orderBy(shuffle_key(F.col("rep"), F.col(row_id), seed), row_id))
-    )
-    values = slotted.select("rep", speaker, F.col("_drawn").alias("_slot"), F.col("_ry").alias("_shuffled"))
     null = (
-        slotted.select("rep", speaker, "_slot", "_rx")
-        .join(values, ["rep", speaker, "_slot"])
+        permuted(ranked, ["_rx"], "_ry", row_id, n_perm, [speaker], seed)
         .groupBy("rep", speaker)
-        .agg(F.corr("_rx", "_shuffled").alias("rho"))
+        .agg(F.corr("_rx", "shuffled").alias("rho"))
         .groupBy("rep")
         .agg(F.median("rho").alias("s"))
     )
-    return (
+    within = (
         null.crossJoin(F.broadcast(observed))
         .groupBy("observed", "n_speakers", "share_positive")
         .agg(((F.count_if(F.col("s") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).cast("double").alias("p_within"), F.count("*").alias("n_perm"))
     )
+    pooled = permutation_test(held, x, "_near", row_id, n_perm, speaker).select(F.col("observed").alias("rho_pooled"), F.col("p_value").alias("p_pooled"))
+    status = F.when((F.col("n") < min_rows) | (F.col("_sd") < 1e-9), "insufficient_variation").otherwise("ok")
+    return shape.crossJoin(F.broadcast(pooled)).crossJoin(F.broadcast(within)).withColumn("status", status).drop("_sd")
 
 
 def flag_rates(df: DataFrame, group: str, score: str, threshold: float, truth: Column) -> DataFrame:
@@ -72,18 +72,16 @@ def flag_rates(df: DataFrame, group: str, score: str, threshold: float, truth: C
 
 def matched_budget(df: DataFrame, a: str, b: str, budget: float, truth: Column) -> DataFrame:
     """Two scores at thresholds that raise the same share of alarms: precision and recall of each."""
-    cut = df.agg(F.percentile(a, F.lit(1 - budget)).alias("_a"), F.percentile(b, F.lit(1 - budget)).alias("_b"), F.count_if(truth).alias("_t"))
-    marked = df.crossJoin(F.broadcast(cut))
+    cut = df.agg(F.percentile(a, F.lit(1 - budget)).alias("_a"), F.percentile(b, F.lit(1 - budget)).alias("_b"))
     out = []
     for name, s, t in (("a", a, "_a"), ("b", b, "_b")):
         hit = F.col(s) >= F.col(t)
         out += [
             F.count_if(hit).alias(f"alarms_{name}"),
-            F.expr("1.0d").alias(f"_unused_{name}"),
             F.try_divide(F.count_if(hit & truth).cast("double"), F.count_if(hit)).alias(f"precision_{name}"),
             F.try_divide(F.count_if(hit & truth).cast("double"), F.count_if(truth)).alias(f"recall_{name}"),
         ]
-    return marked.agg(*[c for i, c in enumerate(out) if i % 4 != 1])
+    return df.crossJoin(F.broadcast(cut)).agg(*out)
 
 
 def subsamples(speakers: DataFrame, speaker: str, sizes: tuple[int, ...], draws: int, seed: int = 3) -> DataFrame:
@@ -94,34 +92,35 @@ def subsamples(speakers: DataFrame, speaker: str, sizes: tuple[int, ...], draws:
     return speakers.select(speaker).distinct().crossJoin(F.broadcast(grid)).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("size")).select("size", "draw", speaker)
 
 
-def power_curve(df: DataFrame, speaker: str, score: str, label: str, sizes: tuple[int, ...], draws: int, null_draws: int = 200, seed: int = 3) -> DataFrame:
-    """AUC over subsampled speakers: mean, 10 and 90 % points, and the share of draws whose AUC beats chance.
+def power_curve(
+    df: DataFrame, speaker: str, row_id: str, score: str, label: str, sizes: tuple[int, ...], draws: int, n_perm: int = 1200, seed: int = 3, min_rows: int = 6
+) -> DataFrame:
+    """AUC over subsampled speakers: mean, 10 and 90 % points, median p of the blocked permutation test, and power at 0.05.
 
-    A draw's test statistic is the normal form of the Mann-Whitney statistic
-    (no replicate needed); draws with one class are left out.
+    Draws with under ``min_rows`` rows or with one class are left out.  All draws
+    of all sizes are tested in one plan.
     """
     picked = subsamples(df.select(speaker).distinct(), speaker, sizes, draws, seed)
-    rows = picked.join(df.select(speaker, score, label), speaker)
-    ranked = average_ranks(rows, score, "_r", ["size", "draw"])
-    n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    each = (
-        ranked.groupBy("size", "draw")
-        .agg(n1.alias("n1"), n0.alias("n0"), F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("r"))
-        .where("n1 > 0 and n0 > 0")
-        .select(
-            "size",
-            "draw",
-            ((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0"))).alias("auc"),
-            F.sqrt((F.col("n1") + F.col("n0") + 1) / (12.0 * F.col("n1") * F.col("n0"))).alias("se"),
+    rows = picked.join(df.select(speaker, row_id, score, F.col(label).cast("double").alias("_y")), speaker)
+    key = ["size", "draw"]
+    classes = rows.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("_y").alias("_k")).where((F.col("n") >= min_rows) & (F.col("_k") > 1))
+    rows = rows.join(classes.select(*key, "n"), key)
+    each = auc(rows.withColumn("_l", F.col("_y").cast("int")), score, "_l", key).select(*key, "auc")
+    tested = permutation_test(rows, score, "_y", row_id, n_perm, speaker, groups=key).select(*key, "p_value")
+    return (
+        each.join(tested, key)
+        .join(classes, key)
+        .groupBy("size")
+        .agg(
+            F.count("*").alias("draws"),
+            F.median("n").cast("int").alias("median_n"),
+            F.avg("auc").alias("auc_mean"),
+            F.percentile("auc", F.lit(0.1)).alias("auc_q10"),
+            F.percentile("auc", F.lit(0.9)).alias("auc_q90"),
+            F.median("p_value").alias("median_p"),
+            F.avg((F.col("p_value") < 0.05).cast("double")).alias("power"),
         )
     )
-    return each.groupBy("size").agg(
-        F.count("*").alias("draws"),
-        F.avg("auc").alias("auc_mean"),
-        F.percentile("auc", F.lit(0.1)).alias("auc_q10"),
-        F.percentile("auc", F.lit(0.9)).alias("auc_q90"),
-        F.avg((F.abs(F.col("auc") - 0.5) > 1.959963984540054 * F.col("se")).cast("double")).alias("power"),
-    )
 
 
 def speakers_needed(curve: DataFrame, target: float = 0.8) -> DataFrame:

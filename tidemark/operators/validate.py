@@ -1,8 +1,12 @@
 """Rank statistics, calibration, and resampling that is the same under any partitioning.
 
 Randomness is a hash of (replicate, row id, seed), never a stream: replicates
-are identical wherever they run.  Ranks are cumulative counts over distinct values,
-range by range, so no window ever spans a large table.
+are identical wherever they run.  Ranks and positions are cumulative counts,
+range by range, so no window ever spans a large table and nothing runs while a
+plan is built.
+
+Rows whose value is null have no rank; pairs with a null on either side take no
+part in correlations, tests and areas.
 """
 
 from __future__ import annotations
@@ -11,27 +15,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranges(df: DataFrame, value: str) -> Column:
-    """A range number for each value: as many ranges of about equal weight as there are shuffle partitions (1,024 at most)."""
-    n = min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda b: b < F.col(value)))
+def _ranged(counts: DataFrame, value: str) -> DataFrame:
+    """Distinct values plus ``_range``: as many ranges of about equal size as there are shuffle partitions (1,024 at most)."""
+    n = min(1024, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if n < 2:
+        return counts.withColumn("_range", F.lit(0))
+    bounds = counts.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000).alias("_bounds"))
+    return counts.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
 
 
 def average_ranks(df: DataFrame, value: str, out: str, groups: list[str] | None = None) -> DataFrame:
-    """``df`` plus the average rank of ``value`` within ``groups`` (ties share the mean rank).
+    """``df`` plus the average rank of ``value`` within ``groups`` (ties share the mean rank, null values have none).
 
     Over the whole table, ranges of values are counted first and each range is
     ranked by itself: no task sorts all distinct values.
     """
     keys = groups or []
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     if keys:
         part, start = keys, F.lit(0)
     else:
-        counts = counts.withColumn("_range", _ranges(df, value))
+        counts = _ranged(counts, value)
         sums = counts.groupBy("_range").agg(F.sum("_n").alias("_in"))
         before = F.sum("_in").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
         starts = sums.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
@@ -39,13 +43,19 @@ def average_ranks(df: DataFrame, value: str, out: str, groups: list[str] | None
         part, start = ["_range"], F.col("_start")
     below = F.sum("_n").over(Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
     ranks = counts.select(*keys, value, (start + F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*keys, value])
+    return df.join(ranks, [*keys, value], "left")
+
+
+def positions(df: DataFrame, row_id: str, out: str, groups: list[str] | None = None) -> DataFrame:
+    """``df`` plus the place (from 1) of each row by its unique id, within ``groups``."""
+    return average_ranks(df, row_id, out, groups).withColumn(out, F.col(out).cast("long"))
 
 
 def spearman(df: DataFrame, x: str, y: str, groups: list[str] | None = None, min_n: int = 3) -> DataFrame:
     """``(*groups, n, rho)``; under ``min_n`` rows or without variation rho is 0."""
     keys = groups or []
-    ranked = average_ranks(average_ranks(df.select(*keys, x, y), x, "_rx", keys), y, "_ry", keys)
+    pairs = df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = average_ranks(average_ranks(pairs, x, "_rx", keys), y, "_ry", keys)
     made = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"), F.covar_pop("_rx", "_ry").alias("_c"))
     rho = F.when((F.col("n") < min_n) | (F.coalesce(F.col("_sx") * F.col("_sy"), F.lit(0.0)) < 1e-12), F.lit(0.0)).otherwise(F.col("_c") / (F.col("_sx") * F.col("_sy")))
     return made.select(*keys, "n", rho.alias("rho"))
@@ -63,15 +73,17 @@ def spearman_ordinal(df: DataFrame, x: str, y: str, order: str, groups: list[str
     return ranked.groupBy(*groups).agg(n.alias("n"), F.round(F.when(n < 3, 0.0).otherwise(1 - 6 * d2 / F.greatest(n * (n * n - 1), F.lit(1))), 3).alias("rho"))
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Mann-Whitney AUC with average ranks; 0.5 where only one class occurs."""
-    ranked = average_ranks(df.select(score, label), score, "_r")
-    s = ranked.agg(
+def auc(df: DataFrame, score: str, label: str, groups: list[str] | None = None) -> DataFrame:
+    """Mann-Whitney AUC with average ranks (in each group); 0.5 where only one class occurs."""
+    keys = groups or []
+    scored = df.select(*keys, score, label).where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    ranked = average_ranks(scored, score, "_r", keys)
+    s = ranked.groupBy(*keys).agg(
         F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("r"), F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg")
     )
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     u = F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
-    return s.select("n_pos", "n_neg", F.when(both, u / (F.col("n_pos") * F.col("n_neg"))).otherwise(F.lit(0.5)).alias("auc"))
+    return s.select(*keys, "n_pos", "n_neg", F.when(both, u / (F.col("n_pos") * F.col("n_neg"))).otherwise(F.lit(0.5)).alias("auc"))
 
 
 def calibration(df: DataFrame, p: str, label: str, bins: int = 5) -> DataFrame:
@@ -92,36 +104,60 @@ def calibration_error(df: DataFrame, p: str, label: str, bins: int = 5) -> DataF
     return brier.crossJoin(F.broadcast(ece))
 
 
+def nan_moments(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
+    """``(*groups, n, mean, sd)`` of the values that are neither null nor NaN (deviation with divisor n)."""
+    v = F.when(~F.isnan(value), F.col(value))
+    return df.groupBy(*(groups or [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+
+
 def shuffle_key(rep: Column, row_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("-", rep.cast("string"), row_id.cast("string"), F.lit(str(seed))))
 
 
-def permuted(df: DataFrame, value: str, row_id: str, n_perm: int, block: str | None = None, seed: int = 7) -> DataFrame:
-    """``(rep, *df, shuffled)``: ``value`` shuffled over the rows (of each block) for every replicate."""
-    spark = df.sparkSession
-    reps = spark.range(n_perm).withColumnRenamed("id", "rep")
-    part = [F.col("rep"), *([F.col(block)] if block else [])]
-    grid = df.crossJoin(F.broadcast(reps))
-    slot = F.row_number().over(Window.partitionBy(*part).orderBy(row_id))
-    drawn = F.row_number().over(Window.partitionBy(*part).orderBy(shuffle_key(F.col("rep"), F.col(row_id), seed), row_id))
-    both = grid.withColumn("_slot", slot).withColumn("_drawn", drawn)
-    keys = ["rep", *([block] if block else []), "_slot"]
-    values = both.select(*keys[:-1], F.col("_drawn").alias("_slot"), F.col(value).alias("shuffled"))
-    return both.drop("_drawn").join(values, keys).drop("_slot")
-
-
-def permutation_test(df: DataFrame, x: str, y: str, row_id: str, n_perm: int = 20_000, block: str | None = None, seed: int = 7, one_sided: bool = False) -> DataFrame:
+#: Hexadecimal digits of a hash that cut a replicate into parts.
+_PART_DIGITS = 2
+
+
+def permuted(df: DataFrame, fixed: list[str], value: str, row_id: str, n_perm: int, block: list[str] | None = None, seed: int = 7) -> DataFrame:
+    """``(rep, *block, *fixed, shuffled)``: ``value`` shuffled over the rows (of each block) for every replicate.
+
+    A row's value moves to the place that its hash has among the hashes of the
+    replicate.  Places are found part by part (the leading digits of the hash),
+    so a replicate is never one task's sort; the places of the rows are found
+    once, not in every replicate.
+    """
+    keys = block or []
+    reps = df.sparkSession.range(n_perm).withColumnRenamed("id", "rep")
+    numbered = positions(df.select(*keys, row_id, *fixed, value), row_id, "_slot", keys)
+    drawn = numbered.select(*keys, row_id, F.col(value).alias("shuffled")).crossJoin(F.broadcast(reps)).withColumn("_h", shuffle_key(F.col("rep"), F.col(row_id), seed))
+    drawn = drawn.withColumn("_part", F.substring("_h", 1, _PART_DIGITS))
+    counts = drawn.groupBy("rep", *keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("rep", *keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("rep", *keys, "_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("rep", *keys, "_part").orderBy("_h", row_id))
+    placed = drawn.withColumn("_own", own).join(starts, ["rep", *keys, "_part"]).select("rep", *keys, "shuffled", (F.col("_start") + F.col("_own")).alias("_slot"))
+    return placed.join(numbered.select(*keys, "_slot", *fixed), [*keys, "_slot"]).drop("_slot")
+
+
+def permutation_test(
+    df: DataFrame, x: str, y: str, row_id: str, n_perm: int = 20_000, block: str | None = None, seed: int = 7, one_sided: bool = False, groups: list[str] | None = None
+) -> DataFrame:
     """Spearman correlation against shuffles of ``y`` (within blocks): observed, p (never 0), null mean and deviation.
 
-    Ranks do not change under permutation, so only they are shuffled.
+    Ranks do not change under permutation, so only they are shuffled.  With
+    ``groups`` every group is a test of its own.  Replicates without variation
+    do not count.
     """
-    ranked = average_ranks(average_ranks(df, x, "_rx"), y, "_ry").select(row_id, *([block] if block else []), "_rx", "_ry")
-    observed = ranked.agg(F.corr("_rx", "_ry").alias("observed"))
-    null = permuted(ranked, "_ry", row_id, n_perm, block, seed).groupBy("rep").agg(F.corr("_rx", "shuffled").alias("s"))
+    keys = groups or []
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = average_ranks(average_ranks(pairs, x, "_rx", keys), y, "_ry", keys).select(*keys, row_id, *([block] if block else []), "_rx", "_ry")
+    observed = ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("observed"))
+    null = permuted(ranked, ["_rx"], "_ry", row_id, n_perm, [*keys, *([block] if block else [])], seed).groupBy("rep", *keys).agg(F.corr("_rx", "shuffled").alias("s"))
     hit = (F.col("s") if one_sided else F.abs("s")) >= (F.col("observed") if one_sided else F.abs("observed")) - 1e-12
+    held = null.where("s is not null and not isnan(s)")
     return (
-        null.crossJoin(F.broadcast(observed))
-        .groupBy("observed")
+        (held.join(observed, keys) if keys else held.crossJoin(F.broadcast(observed)))
+        .groupBy(*keys, "observed")
         .agg(
             ((F.count_if(hit) + 1) / (F.count("*") + 1)).cast("double").alias("p_value"),
             F.avg("s").alias("null_mean"),
@@ -134,8 +170,9 @@ def permutation_test(df: DataFrame, x: str, y: str, row_id: str, n_perm: int = 2
 def bootstrap_ci(df: DataFrame, x: str, y: str, row_id: str, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
     """Percentile interval of Spearman over resampled rows; ranks are taken anew in every replicate."""
     spark = df.sparkSession
-    numbered = df.select(row_id, x, y, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(row_id)) - 1).alias("_i"))
-    size = df.agg(F.count("*").alias("_n"))
+    pairs = df.select(row_id, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    numbered = positions(pairs, row_id, "_i").withColumn("_i", F.col("_i") - 1)
+    size = pairs.agg(F.count("*").alias("_n"))
     reps = spark.range(n_boot).withColumnRenamed("id", "rep")
     draws = numbered.select("_i").crossJoin(F.broadcast(reps)).crossJoin(F.broadcast(size)).select(
         "rep",

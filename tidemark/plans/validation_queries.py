@@ -83,8 +83,7 @@ def q_calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _permutation_sql(n: int, block: bool, seed: int = 7) -> str:
     part = "rep, speaker" if block else "rep"
     on = "a.rep = b.rep and a.speaker = b.speaker and a.slot = b.drawn" if block else "a.rep = b.rep and a.slot = b.drawn"
-    return f"""with {_NEAR}, sm as (select * from cn where speaker < 25),
-    rk as (select id, speaker, {_rank('value')} as rx, {_rank('k')} as ry from sm), ob as (select corr(rx, ry) as observed from rk),
+    return f"""with {_NEAR}, rk as (select id, speaker, {_rank('value')} as rx, {_rank('k')} as ry from cn), ob as (select corr(rx, ry) as observed from rk),
     gr as (select rk.*, rep from rk, (select unnest(range({n})) as rep)),
     sl as (select *, row_number() over (partition by {part} order by id) as slot, row_number() over (partition by {part} order by md5(rep || '-' || id || '-{seed}'), id) as drawn from gr),
     nl as (select a.rep, corr(a.rx, b.ry) as s from sl a join sl b on {on} group by 1)
@@ -108,7 +107,7 @@ def q_permutation_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.query(
-    f"""with {_NEAR}, sm as (select * from cn where speaker < 25), nb as (select row_number() over (order by id) - 1 as i, value, k, count(*) over () as n from sm),
+    f"""with {_NEAR}, nb as (select row_number() over (order by id) - 1 as i, value, k, count(*) over () as n from cn),
     dr as (select rep, ('0x' || substr(md5(rep || '-' || i || '-7'), 1, 8))::bigint % n as i from nb, (select unnest(range(100)) as rep)),
     bs as (select rep, value, k from dr join nb on dr.i = nb.i),
     rk as (select rep, {_rank('value', 'rep')} as rx, {_rank('k', 'rep')} as ry from bs), rh as (select rep, corr(rx, ry) as rho from rk group by 1)
@@ -128,17 +127,23 @@ def q_dose_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.query(
-    f"""with {_WITHIN}, ob as (select median(rho) as observed, count(*) as n_speakers, avg(cast(rho > 0 as integer)) as share_positive from ws),
+    f"""with {_WITHIN}, ob as (select median(rho) as observed, count(*) as n_speakers, avg(cast(rho > 1e-12 as integer)) as share_positive from ws),
     gr as (select wr.*, rep from wr, (select unnest(range(60)) as rep) where speaker in (select speaker from ws)),
     sl as (select rep, speaker, rx, ry, row_number() over (partition by rep, speaker order by id) as slot, row_number() over (partition by rep, speaker order by md5(rep || '-' || id || '-11'), id) as drawn from gr),
     nl as (select a.rep, a.speaker, corr(a.rx, b.ry) as rho from sl a join sl b on a.rep = b.rep and a.speaker = b.speaker and a.slot = b.drawn group by 1, 2),
-    ns as (select rep, median(rho) as s from nl group by 1)
-    select round(any_value(observed), 6) as observed, any_value(n_speakers) as n_speakers, round(any_value(share_positive), 6) as share_positive,
-    (count(*) filter (where s >= observed - 1e-12) + 1) / (count(*) + 1) as p_within, count(*) as n_perm from ns, ob"""
+    ns as (select rep, median(rho) as s from nl group by 1),
+    pr as (select id, speaker, {_rank('value')} as rx, {_rank('near')} as ry from nr), po as (select corr(rx, ry) as rho_pooled from pr),
+    pg as (select pr.*, rep from pr, (select unnest(range(60)) as rep)),
+    ps as (select rep, speaker, rx, ry, row_number() over (partition by rep, speaker order by id) as slot, row_number() over (partition by rep, speaker order by md5(rep || '-' || id || '-7'), id) as drawn from pg),
+    pn as (select a.rep, corr(a.rx, b.ry) as s from ps a join ps b on a.rep = b.rep and a.speaker = b.speaker and a.slot = b.drawn group by 1),
+    pp as (select (count(*) filter (where abs(s) >= abs(rho_pooled) - 1e-12) + 1) / (count(*) + 1) as p_pooled, any_value(rho_pooled) as rho_pooled from pn, po)
+    select (select count(*) from nr) as n, 'ok' as status, round(any_value(observed), 6) as observed, any_value(n_speakers) as n_speakers, round(any_value(share_positive), 6) as share_positive,
+    (count(*) filter (where s >= observed - 1e-12) + 1) / (count(*) + 1) as p_within, count(*) as n_perm, round(any_value(rho_pooled), 6) as rho_pooled, any_value(p_pooled) as p_pooled from ns, ob, pp"""
 )
 def q_dose_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = studies.dose_response(_constrained(spark, sf_dir), "speaker", "id", "value", "days_to_event", 60)
-    return d.select(F.round("observed", 6).alias("observed"), "n_speakers", F.round("share_positive", 6).alias("share_positive"), "p_within", "n_perm")
+    rounded = [F.round(c, 6).alias(c) for c in ("observed", "share_positive", "rho_pooled")]
+    return d.select("n", "status", "n_speakers", *rounded, "p_within", "p_pooled", "n_perm")
 
 
 @REGISTRY.query(
@@ -162,26 +167,35 @@ def q_matched_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("alarms_a", "alarms_b", *[F.round(f"{x}_{s}", 6).alias(f"{x}_{s}") for s in "ab" for x in ("precision", "recall")])
 
 
-_SIZES = (4, 8, 12, 20)
-_POWER = f"""{_EV}, cn as (select speaker, value, cast(k >= 50 as integer) as y from ce where "window" = 'constrained'),
+_SIZES, _POWER_PERMUTATIONS = (4, 8, 12, 20), 200
+_POWER = f"""{_EV}, cn as (select id, speaker, value, cast(k >= 50 as integer) as y from ce where "window" = 'constrained'),
 sp as (select distinct speaker from cn), gr as (select speaker, size, draw from sp, (select unnest([4, 8, 12, 20]) as size), (select unnest(range(20)) as draw)),
 pk as (select *, row_number() over (partition by size, draw order by md5(size || '-' || draw || '-' || speaker || '-3'), speaker) as kk from gr),
-rw as (select size, draw, value, y from pk join cn on pk.speaker = cn.speaker where kk <= size),
-rk as (select size, draw, y, rank() over (partition by size, draw order by value) + (count(*) over (partition by size, draw, value) - 1) / 2.0 as r from rw),
-ag as (select size, draw, count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0, sum(r) filter (where y = 1) as r from rk group by 1, 2),
-au as (select size, (r - n1 * (n1 + 1) / 2.0) / (n1 * n0) as auc, sqrt((n1 + n0 + 1) / (12.0 * n1 * n0)) as se from ag where n1 > 0 and n0 > 0),
-pw as (select size, count(*) as draws, avg(auc) as auc_mean, quantile_cont(auc, 0.1) as auc_q10, quantile_cont(auc, 0.9) as auc_q90,
-       avg(cast(abs(auc - 0.5) > 1.959963984540054 * se as integer)) as power from au group by 1)"""
+ra as (select size, draw, cn.speaker, id, value, y from pk join cn on pk.speaker = cn.speaker where kk <= size),
+ok as (select size, draw, count(*) as n from ra group by 1, 2 having count(*) >= 6 and count(distinct y) > 1),
+rw as (select ra.*, n from ra join ok on ra.size = ok.size and ra.draw = ok.draw),
+rk as (select size, draw, speaker, id, y, {_rank('value', 'size, draw')} as r, {_rank('y', 'size, draw')} as ry from rw),
+ag as (select size, draw, count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0, sum(r) filter (where y = 1) as r, corr(r, ry) as observed from rk group by 1, 2),
+gs as (select rk.*, rep from rk, (select unnest(range({_POWER_PERMUTATIONS})) as rep)),
+sl as (select *, row_number() over (partition by rep, size, draw, speaker order by id) as slot, row_number() over (partition by rep, size, draw, speaker order by md5(rep || '-' || id || '-7'), id) as drawn from gs),
+nl as (select a.size, a.draw, a.rep, corr(a.r, b.ry) as s from sl a join sl b on a.rep = b.rep and a.size = b.size and a.draw = b.draw and a.speaker = b.speaker and a.slot = b.drawn group by all),
+pv as (select nl.size, nl.draw, (count(*) filter (where abs(s) >= abs(observed) - 1e-12) + 1) / (count(*) + 1) as p from nl join ag on nl.size = ag.size and nl.draw = ag.draw where s is not null and not isnan(s) group by 1, 2),
+au as (select ag.size, (r - n1 * (n1 + 1) / 2.0) / (n1 * n0) as auc, p, n from ag join pv on ag.size = pv.size and ag.draw = pv.draw join ok on ag.size = ok.size and ag.draw = ok.draw),
+pw as (select size, count(*) as draws, cast(floor(median(n)) as integer) as median_n, avg(auc) as auc_mean, quantile_cont(auc, 0.1) as auc_q10, quantile_cont(auc, 0.9) as auc_q90, median(p) as median_p,
+       avg(cast(p < 0.05 as integer)) as power from au group by 1)"""
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _constrained(spark, sf_dir).withColumn("y", (F.col("k") >= 50).cast("int"))
-    return studies.power_curve(own, "speaker", "value", "y", _SIZES, 20)
+    return studies.power_curve(own, "speaker", "id", "value", "y", _SIZES, 20, _POWER_PERMUTATIONS)
 
 
-@REGISTRY.query(f"with {_POWER} select cast(size as integer) as size, draws, round(auc_mean, 6) as auc_mean, round(auc_q10, 6) as auc_q10, round(auc_q90, 6) as auc_q90, round(power, 6) as power from pw")
+@REGISTRY.query(
+    f"""with {_POWER} select cast(size as integer) as size, draws, median_n, round(auc_mean, 6) as auc_mean, round(auc_q10, 6) as auc_q10, round(auc_q90, 6) as auc_q90,
+    round(median_p, 6) as median_p, round(power, 6) as power from pw"""
+)
 def q_power_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _curve(spark, sf_dir).select("size", "draws", *[F.round(c, 6).alias(c) for c in ("auc_mean", "auc_q10", "auc_q90", "power")])
+    return _curve(spark, sf_dir).select("size", "draws", "median_n", *[F.round(c, 6).alias(c) for c in ("auc_mean", "auc_q10", "auc_q90", "median_p", "power")])
 
 
 @REGISTRY.query(
@@ -239,6 +253,26 @@ def q_abc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.histogram(em, "f0", 12, -1.0, 1.0).select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n", F.round("p", 6).alias("p"))
 
 
+@REGISTRY.query(
+    f"""with {V.LABELLED}, o as (select doc_id, source, cast(sum(toxic) over (partition by source) - toxic as double) / nullif(count(*) over (partition by source) - 1, 0) as p, toxic from lb)
+    select doc_id, round(p, 6) as p from o"""
+)
+def q_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each labelled document predicted by the others of its source."""
+    lb = V.labelled_documents(spark, sf_dir)
+    return learn.leave_one_out_mean(lb, "toxic", "p", ["source"]).select("doc_id", F.round("p", 6).alias("p"))
+
+
+@REGISTRY.query(
+    f"""with {_EV}, x as (select speaker, case when k % 10 = 0 then 'nan'::double else value end as v from ce)
+    select speaker, count(*) filter (where not isnan(v)) as n, round(avg(v) filter (where not isnan(v)), 6) as mean, round(stddev_pop(v) filter (where not isnan(v)), 6) as sd from x group by 1"""
+)
+def q_nan_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation that ignore NaN."""
+    rows = _covered(spark, sf_dir).withColumn("v", F.when(F.col("k") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return S.nan_moments(rows, "v", ["speaker"]).select("speaker", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
 @REGISTRY.query()
 def q_logistic_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-one-source-out validation of toxicity from length and quality, for each C."""
