@@ -16,12 +16,14 @@ coordinate difference, and the survivors by exact distance (``MAX_TOTAL`` of
 ``BINS`` ranges of the hash (``LEAST_SHARE``, 4.5 deviations).
 
 Equal sets are one member.  First every member proposes its nearest earlier
-one, and the links among those make groups; then all surviving pairs of two
-different groups are checked, so a dense group costs no more than its members
-while no pair that could still join two groups is passed over.  A bucket over
+one, and the links among those make groups.  Then all surviving pairs of two
+different groups are checked: a bucket first names the members that have such a
+pair, and those come together again with their sets, where each pair is decided
+once (in the first bucket that both share) and only links that join two groups
+leave the task.  So a dense group costs rows in proportion to its members, and
+no pair that could still join two groups is passed over.  A bucket over
 ``BUCKET_LIMIT`` is dealt in cells of at most two chunks.  Its members of the
-largest group meet only members of other groups, so that the cells of a dense
-group grow with its size, not with its square.
+largest group meet only members of other groups.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ REFERENCES = 8
 BUCKET_LIMIT = 32768
 _ROWS = 256
 _EMPTY = 255
-_MEMBER = ("node", "f1", "f2", "size", "sketch", "group", "spread")
+_MEMBER = ("node", "f1", "f2", "size", "sketch", "group")
 
 
 def mixed(hashes: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -113,7 +115,8 @@ def _marks_job(shingle: int):
             f1, f2, node = (pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(3))
             keys = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(found[:, 3:]).view(np.int64).ravel()), KEYS)
             columns = [batch.column(0), batch.column(1), node, f1, f2, pa.array(sizes), pa.array(sketches, pa.binary()), keys.cast(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "f1", "f2", "size", "sketch", "keys"])
+            columns.append(pa.array([row.tobytes() for row in np.ascontiguousarray(found[:, 3:])], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "f1", "f2", "size", "sketch", "meets", "keys"])
 
     return run
 
@@ -155,58 +158,135 @@ def shares(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def proposed(prints: np.ndarray, size: np.ndarray, sketches: np.ndarray, group: np.ndarray | None, spread: np.ndarray, across: bool, max_total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indexes of one cell that may be similar.
+class Cell:
+    """Members of a bucket (or of two of its chunks), in the order of their nodes."""
+
+    def __init__(self, rows: pa.StructArray, a: int, b: int, across: bool, first: int) -> None:
+        field = lambda name: rows.field(rows.type.get_field_index(name)).slice(a, b - a)
+        self.has = {rows.type.field(i).name for i in range(rows.type.num_fields)}
+        self.node = field("node").to_numpy(zero_copy_only=False)
+        order = np.argsort(self.node, kind="stable")
+        plain = lambda name: field(name).to_numpy(zero_copy_only=False)[order]
+        self.node, self.size, self.group, self.spread = self.node[order], plain("size").astype(np.int64), plain("group"), plain("spread")
+        self.prints = np.stack([plain("f1").view(np.uint64), plain("f2").view(np.uint64)], axis=1)
+        packed = lambda name, kind, width: np.frombuffer(b"".join(field(name).to_pylist()), dtype=kind).reshape(b - a, width)[order]
+        self.sketches = packed("sketch", np.uint8, BINS)
+        self.keys = packed("keys", np.int64, KEYS) if "keys" in self.has else None
+        self.own, self.order = (field("own") if "own" in self.has else None), order
+        self.across, self.first = across, first
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.own[int(self.order[i])].values.to_numpy().view(np.uint64)
+
+    def candidates(self, grouped: bool, max_total: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of indexes ``(later, earlier)`` that may be similar, and the share of their sketches, some rows at a time.
+
+        ``grouped``: of different groups only, in a cell across two chunks only
+        between a spread member and one that is not, and only in the first
+        bucket that both members share.
+        """
+        n = len(self.node)
+        references = self.prints[:: max(1, n // REFERENCES)][:REFERENCES]
+        coordinates = np.zeros((n, 0), dtype=np.int16)
+        if n > _ROWS:
+            coordinates = np.stack([np.bitwise_count(self.prints ^ r).sum(axis=1).astype(np.int16) for r in references], axis=1)
+        for at in range(0, n, _ROWS):
+            rows = slice(at, at + _ROWS)
+            near = survivors(self.prints, self.size, rows, coordinates, max_total)
+            near &= np.arange(n)[None, :] < np.arange(at, at + len(near))[:, None]
+            if grouped:
+                near &= self.group[rows, None] != self.group[None, :]
+                if self.across:
+                    near &= self.spread[rows, None] != self.spread[None, :]
+            x, y = np.nonzero(near)
+            x += at
+            if grouped and self.first:
+                here = ~(self.keys[x, : self.first] == self.keys[y, : self.first]).any(axis=1)
+                x, y = x[here], y[here]
+            share = shares(self.sketches, x, y)
+            kept = share >= LEAST_SHARE
+            yield x[kept], y[kept], share[kept]
+
+    def links(self, max_total: int) -> list[tuple[int, int]]:
+        """Pairs of indexes that are similar and join two groups not joined in this cell before."""
+        root: dict[int, int] = {}
+
+        def top(g: int) -> int:
+            while root.get(g, g) != g:
+                root[g] = g = root.get(root[g], root[g])
+            return g
+
+        out = []
+        for x, y, share in self.candidates(True, max_total):
+            for k in np.argsort(-share, kind="stable").tolist():
+                i, j = int(x[k]), int(y[k])
+                g, h = top(int(self.group[i])), top(int(self.group[j]))
+                if g != h and alike(self.set_of(i), self.set_of(j)):
+                    root[max(g, h)] = min(g, h)
+                    out.append((i, j))
+        return out
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if not len(x) or not len(y):
+        return len(x) == len(y)
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return shared * SIMILAR[1] >= (len(x) + len(y) - shared) * SIMILAR[0]
+
+
+def _cells_of(batch: pa.RecordBatch) -> Iterator[Cell]:
+    members, across, first = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+    offsets = members.offsets.to_numpy()
+    for a, b, x, c in zip(offsets[:-1].tolist(), offsets[1:].tolist(), across, first, strict=True):
+        yield Cell(members.values, a, b, x, c)
+
+
+def _nearest_job(max_total: int):
+    """Of each member its nearest earlier one: ``(a, b)``, ``a < b``."""
 
-    Without groups, of each member its nearest earlier one; else all pairs of
-    different groups, in a cell ``across`` two chunks only those between a
-    spread member and one that is not.
-    """
-    n = len(prints)
-    references = prints[:: max(1, n // REFERENCES)][:REFERENCES]
-    coordinates = np.stack([np.bitwise_count(prints ^ r).sum(axis=1).astype(np.int16) for r in references], axis=1) if n > _ROWS else np.zeros((n, 0), dtype=np.int16)
-    left, right = [], []
-    for at in range(0, n, _ROWS):
-        own = slice(at, at + _ROWS)
-        near = survivors(prints, size, own, coordinates, max_total)
-        i = np.arange(at, at + len(near))
-        near &= np.arange(n)[None, :] < i[:, None]
-        if group is not None:
-            near &= group[own, None] != group[None, :]
-            if across:
-                near &= spread[own, None] != spread[None, :]
-        x, y = np.nonzero(near)
-        share = shares(sketches, x + at, y)
-        kept = share >= LEAST_SHARE
-        x, y, share = x[kept] + at, y[kept], share[kept]
-        if group is None and len(x):
-            order = np.lexsort((y, -share, x))
-            first = np.append(True, np.diff(x[order]) > 0)
-            x, y = x[order][first], y[order][first]
-        left.append(x)
-        right.append(y)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _proposals_job(max_total: int, grouped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members, across = batch.column(0), batch.column(1).to_pylist()
-            offsets, rows = members.offsets.to_numpy(), members.values
-            node, f1, f2, size, group, spread = (rows.field(rows.type.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("node", "f1", "f2", "size", "group", "spread"))
-            marks = rows.field(rows.type.get_field_index("sketch"))
-            prints = np.stack([f1.view(np.uint64), f2.view(np.uint64)], axis=1)
             left, right = [], []
-            for a, b, x in zip(offsets[:-1].tolist(), offsets[1:].tolist(), across, strict=True):
-                order = a + np.argsort(node[a:b], kind="stable")
-                sketches = np.frombuffer(b"".join(marks.slice(a, b - a).to_pylist()), dtype=np.uint8).reshape(b - a, BINS)[order - a]
-                i, j = proposed(prints[order], size[order].astype(np.int64), sketches, group[order] if grouped else None, spread[order], x, max_total)
-                left.append(node[order[i]])
-                right.append(node[order[j]])
+            for cell in _cells_of(batch):
+                for x, y, share in cell.candidates(False, max_total):
+                    order = np.lexsort((y, -share, x))
+                    first = order[np.diff(x[order], prepend=-1) > 0]
+                    left.append(cell.node[y[first]])
+                    right.append(cell.node[x[first]])
             if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return run
+
+
+def _doubtful_job(max_total: int):
+    """The members that have a pair of another group to be checked: ``(c, node)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in _cells_of(batch):
+                found = [np.unique(np.concatenate([x, y])) for x, y, _ in cell.candidates(True, max_total)]
+                nodes = cell.node[np.unique(np.concatenate(found))]
+                if len(nodes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), cell.first, dtype=np.int16)), pa.array(nodes)], names=["c", "node"])
+
+    return run
+
+
+def _links_job(max_total: int):
+    """The links that join two groups: ``(a, b)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in _cells_of(batch):
+                found = cell.links(max_total)
+                if found:
+                    i, j = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.node[j]), pa.array(cell.node[i])], names=["a", "b"])
 
     return run
 
@@ -215,23 +295,16 @@ def _chunk(salt: str, n: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
 
 
-def proposals(held: DataFrame, members: DataFrame, grouped: bool, max_total: int = MAX_TOTAL, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Distinct pairs of nodes ``(a, b)``, ``a < b``, that buckets propose.
-
-    ``held(c, k, node, n)`` are the members of the buckets and the bucket's size,
-    ``members(node, f1, f2, size, sketch, group)`` what is known of them.
-    """
-    filed = held.join(members, "node")
-    if grouped:
-        mixed_ones = filed.groupBy("c", "k").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("c", "k")
-        filed = written(filed.join(mixed_ones, ["c", "k"], "left_semi"), "filed")
+def cells(filed: DataFrame, columns: tuple[str, ...], grouped: bool, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``filed(c, k, n, *columns)`` -> one row for each cell: its members, whether it lies across two chunks, and ``c``."""
+    member = F.struct(*columns, "spread")
     usual = filed.where(F.col("n") <= bucket_limit).withColumn("spread", F.lit(False))
-    cells = usual.groupBy("c", "k").agg(F.collect_list(F.struct(*_MEMBER)).alias("m")).select("m", F.lit(False).alias("across"))
+    whole = usual.groupBy("c", "k").agg(F.collect_list(member).alias("m")).select("m", F.lit(False).alias("across"), "c")
     large = filed.where(F.col("n") > bucket_limit)
     # Of a large bucket the members of its largest group (without groups: all but its least member) meet only the others.
     if grouped:
-        counted = large.groupBy("c", "k", "group").agg(F.count("*").alias("own"))
-        main = counted.groupBy("c", "k").agg(F.max_by("group", F.struct("own", "group")).alias("main"), F.max("own").alias("inside"))
+        counted = large.groupBy("c", "k", "group").agg(F.count("*").alias("own_n"))
+        main = counted.groupBy("c", "k").agg(F.max_by("group", F.struct("own_n", "group")).alias("main"), F.max("own_n").alias("inside"))
     else:
         main = large.groupBy("c", "k").agg(F.min("node").alias("main"), (F.count("*") - 1).alias("inside"))
     spread = F.col("group") != F.col("main") if grouped else F.col("node") == F.col("main")
@@ -249,9 +322,27 @@ def proposals(held: DataFrame, members: DataFrame, grouped: bool, max_total: int
         F.transform(F.sequence(F.lit(0), F.col("u") - 1), lambda i: F.struct(F.lit(True).alias("across"), i.alias("x"), F.col("f_own").alias("y"))),
         F.transform(F.sequence(F.lit(0), F.col("f") - 1), lambda j: F.struct(F.lit(False).alias("across"), F.least("f_own", j).alias("x"), F.greatest("f_own", j).alias("y"))),
     )
-    placed = dealt.select("c", "k", *_MEMBER, F.explode(F.when(F.col("spread"), outside).otherwise(inside)).alias("at"))
-    split = placed.groupBy("c", "k", "at").agg(F.collect_list(F.struct(*_MEMBER)).alias("m")).select("m", F.col("at.across").alias("across"))
-    return cells.union(split).where(F.size("m") > 1).mapInArrow(_proposals_job(max_total, grouped), "a long, b long").distinct()
+    placed = dealt.select("c", "k", *columns, "spread", F.explode(F.when(F.col("spread"), outside).otherwise(inside)).alias("at"))
+    split = placed.groupBy("c", "k", "at").agg(F.collect_list(member).alias("m")).select("m", F.col("at.across").alias("across"), "c")
+    return whole.union(split).where(F.size("m") > 1)
+
+
+def crossing_links(held: DataFrame, members: DataFrame, sets: DataFrame, max_total: int = MAX_TOTAL, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Links ``(a, b)`` between members of different groups, enough to join all groups that any link joins.
+
+    ``held(c, k, node, n)`` are the buckets, ``members(node, f1, f2, size, sketch,
+    keys, group)`` what is known of their members, ``sets(node, own)`` their sets.
+    """
+    columns = (*_MEMBER, "keys")
+    filed = held.join(members, "node")
+    several = filed.groupBy("c", "k").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("c", "k")
+    filed = written(filed.join(several, ["c", "k"], "left_semi"), "filed")
+    doubtful = cells(filed, columns, True, bucket_limit).mapInArrow(_doubtful_job(max_total), "c short, node long").distinct()
+    again = written(filed.drop("n").join(doubtful, ["c", "node"]), "doubtful")
+    counted = again.groupBy("c", "k").agg(F.count("*").alias("n"))
+    # Sets are carried in smaller cells.
+    full = again.join(counted, ["c", "k"]).join(sets, "node")
+    return cells(full, (*columns, "own"), True, max(2, bucket_limit // 16)).mapInArrow(_links_job(max_total), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,25 +363,27 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text")).select("doc_id", F.xxhash64("text").alias("key"), "text")
     kind = own.schema["doc_id"].dataType.simpleString()
-    marked = written(own.mapInArrow(_marks_job(shingle), f"doc_id {kind}, key long, node long, f1 long, f2 long, size int, sketch binary, keys array<long>"), "marks")
-    known = ("key", "f1", "f2", "size", "sketch", "keys")
-    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in known]), "distinct")
-    filed = distinct.select("node", F.posexplode("keys").alias("c", "k")).select(F.col("c").cast("short").alias("c"), "k", "node")
+    marks = f"doc_id {kind}, key long, node long, f1 long, f2 long, size int, sketch binary, meets array<long>, keys binary"
+    marked = written(own.mapInArrow(_marks_job(shingle), marks), "marks")
+    known = ("f1", "f2", "size", "sketch", "meets", "keys")
+    first = F.min(F.struct("doc_id", "key"))  # one text of the set
+    firsts = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), first.alias("text_of"), *[F.min(c).alias(c) for c in known])
+    distinct = written(firsts.select("node", "first_id", F.col("text_of.doc_id").alias("text_id"), F.col("text_of.key").alias("key"), *known), "distinct")
+    filed = distinct.select("node", F.posexplode("meets").alias("c", "k")).select(F.col("c").cast("short").alias("c"), "k", "node")
     shared = filed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
     held = written(filed.join(shared, ["c", "k"]), "buckets")
-    members = distinct.select("node", "f1", "f2", "size", "sketch", F.col("node").alias("group"))
-    nearest = written(proposals(held, members, False, MAX_TOTAL, bucket_limit), "nearest")
-    # Every member of a proposed pair shares a bucket, and so is earlier or later than some member of it.
-    wanted = distinct.select("node", "key").join(held.select("node").distinct(), "node", "left_semi")
-    texts = own.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("node", "text")
+    members = distinct.select("node", "f1", "f2", "size", "sketch", "keys", F.col("node").alias("group"))
+    nearest = written(cells(held.join(members, "node"), _MEMBER, False, bucket_limit).mapInArrow(_nearest_job(MAX_TOTAL), "a long, b long").distinct(), "nearest")
+    # Sets of all members that share a bucket, each from one of its texts: copies stay behind.
+    wanted = distinct.select("node", "text_id", "key").join(held.select("node").distinct(), "node", "left_semi")
+    same = (own["key"] == wanted["key"]) & own["doc_id"].eqNullSafe(wanted["text_id"])
+    texts = own.join(wanted, same).select("node", "text").dropDuplicates(["node"])
     sets = written(texts.mapInArrow(_sets_job(shingle), "node long, own array<long>"), "sets")
-    near = written(verified(nearest, sets), "near")
-    groups = written(components(near), "groups")
+    groups = written(components(verified(nearest, sets)), "groups")
     grouped = members.drop("group").join(groups, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
-    others = written(proposals(held, grouped, True, MAX_TOTAL, bucket_limit).join(nearest, ["a", "b"], "left_anti"), "others")
     # Groups are contracted: a link between two members is a link between their roots.
     root_of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    crossing = verified(others, sets).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    crossing = crossing_links(held, grouped, sets, MAX_TOTAL, bucket_limit).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
     joined = components(crossing.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     inner = grouped.select("node", F.col("group").alias("root")).join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     rooted = distinct.select("node", "first_id").join(inner.select("node", F.coalesce("top", "root").alias("root")), "node")
