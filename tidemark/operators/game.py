@@ -1,16 +1,15 @@
-"""The disclosure game: binding constraint, best response, coaching, populations and a simulator.
+"""The disclosure game: binding constraint, best response, coaching, populations and hash-drawn numbers.
 
-The game's formulas are column expressions over any grid of parameters.  The
-simulator draws from hashes of ``(seed, speaker, statement, draw)``, so a corpus
-of any number of replicates is one projection, identical under any partitioning.
+The game's formulas are column expressions over any grid of parameters; ``generate``
+plays it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import ARCHETYPES, COACHABILITY, GAME, HORIZON_DAYS, POPULATION
+from ..functions.fixed import ARCHETYPES, COACHABILITY, HORIZON_DAYS, POPULATION
 
 
 def constraint_at(days: Column, base: Column, dose: Column, horizon: float = HORIZON_DAYS) -> Column:
@@ -87,90 +86,5 @@ def _gamma_like(shape: float, scale: Column, *parts: Column | str | int) -> Colu
     return scale * shape * F.pow(F.greatest(F.lit(0.0), 1 - k + normal(*parts) * k**0.5), 3)
 
 
-def simulate(spark: SparkSession, n_reps: int = 1, params: dict | None = None, population: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
-    """Statements of simulated speakers with their hidden truth, for ``n_reps`` independent worlds.
-
-    Features stand in for text: each is the speaker's style plus what held
-    information adds to it, on the scale of the lexical scores.
-    """
-    p = GAME | (params or {})
-    mix = [(i, name, float(w)) for i, (name, w) in enumerate(resolve_population(population).items())]
-    seats = allocate(spark.createDataFrame(mix, "ord int, archetype string, weight double"), p["n_speakers"])
-    order = Window.partitionBy(F.lit(0)).orderBy("ord")
-    spans = seats.withColumn("_upto", F.sum("seats").over(order)).withColumn("_from", F.col("_upto") - F.col("seats"))
-    # The roster is shuffled in every world: a speaker's seat is the rank of its hash.
-    roster = spark.range(n_reps * p["n_speakers"]).select(
-        F.floor(F.col("id") / p["n_speakers"]).cast("int").alias("rep"), (F.col("id") % p["n_speakers"]).cast("int").alias("speaker")
-    )
-    seat = F.row_number().over(Window.partitionBy("rep").orderBy(uniform(seed, F.col("rep"), F.col("speaker"), "seat"), "speaker")) - 1
-    over = {k: F.create_map(*[F.lit(x) for a, (_, _, o, _) in ARCHETYPES.items() for x in (a, float(o.get(k, p[k])))]) for k in ("coaching_skill", "constraint_base", "kappa", "heterogeneity")}
-    mult = F.create_map(*[F.lit(x) for a, (m, *_) in ARCHETYPES.items() for x in (a, float(m))])
-    always = F.create_map(*[F.lit(x) for a, (*_, w) in ARCHETYPES.items() for x in (a, bool(w))])
-    styles = {"evasive": (0.34, 0.40), "deflect": (0.16, 0.22), "confident": (0.14, 0.22), "distant": (0.28, 0.34)}
-    bias = {s: F.create_map(*[F.lit(x) for a, (_, b, *_) in ARCHETYPES.items() for x in (a, float(b.get(s, 0.0)))]) for s in styles}
-    who = [F.lit(str(seed)), F.col("rep"), F.col("speaker")]
-    a = F.col("archetype")
-    speakers = (
-        roster.withColumn("_seat", seat)
-        .join(F.broadcast(spans), (F.col("_seat") >= F.col("_from")) & (F.col("_seat") < F.col("_upto")))
-        .select(
-            "rep",
-            "speaker",
-            "archetype",
-            *[over[k][a].alias(k) for k in over],
-            (always[a] | (uniform(*who, "adopt") < p["adoption"])).alias("adapted"),
-            F.when(uniform(*who, "null") < p["p_null"], F.lit(0.0))
-            .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _gamma_like(2.2, F.lit(p["theta_scale"] / 2.2), *who, "theta"))) * mult[a])
-            .alias("theta"),
-            *[
-                F.greatest(F.lit(0.02), F.least(F.lit(0.88), mid + bias[s][a] + over["heterogeneity"][a] * span * normal(*who, s))).alias(s)
-                for s, (mid, span) in styles.items()
-            ],
-        )
-    )
-    total = p["baseline_n"] + p["constrained_n"]
-    rows = speakers.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-    at = [*who, F.col("j")]
-    constrained = F.col("j") >= p["baseline_n"]
-    days = F.when(constrained, 2 + F.floor(uniform(*at, "days") * 26)).cast("int")
-    c = constraint_at(days, F.col("constraint_base"), F.lit(p["dose_response"]))
-    played = rows.withColumn("days", days).withColumn("constraint", F.when(constrained, c).otherwise(0.0)).withColumn(
-        "_r", best_response(F.col("theta"), F.col("constraint"), F.col("kappa"), F.lit(p["delta"]), F.lit(float(p["adoption"])))
-    )
-    held = F.when(constrained, F.col("_r.theta_held")).otherwise(0.0)
-    register = F.when(constrained, F.col("_r.register")).otherwise(0.0)
-    truth = played.withColumn("theta_held", held).withColumn("register", register)
-    skill, adapted = F.col("coaching_skill"), F.col("adapted")
-    papered = F.col("theta_held") * F.col("register")
-    noise = 0.05 * normal(*at, "noise")
-    clip = lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 4)
-    vague = suppressed(F.col("theta_held") * F.col("constraint") * 0.90, "specificity_avoidance", adapted, skill)
-    hedge = suppressed(papered, "hedging", adapted, skill)
-    knob = F.greatest(hedge, vague)
-    move = F.col("theta_held") * p["outcome_beta"] * (0.5 + 0.8 * uniform(*at, "beta")) + p["outcome_noise"] * normal(*at, "move")
-    move = move + F.when(uniform(*at, "shock") < p["p_shock"], 11.0 * normal(*at, "size")).otherwise(0.0)
-    sign = F.when(uniform(*at, "sign") < 0.5 + 0.22 * (F.col("theta_held") > 0.18).cast("int"), -1).otherwise(1)
-    return truth.select(
-        "rep",
-        F.concat_ws("-", F.col("rep"), F.col("speaker"), F.col("j")).alias("id"),
-        "speaker",
-        "archetype",
-        F.when(constrained, "constrained").otherwise("baseline").alias("window"),
-        "days",
-        "theta",
-        "theta_held",
-        "register",
-        "constraint",
-        "adapted",
-        clip(F.col("evasive") + knob + noise).alias("hedging"),
-        clip(F.col("evasive") * 0.8 + vague + 0.05 * normal(*at, "spec")).alias("specificity_avoidance"),
-        clip(F.col("distant") + suppressed(papered * 0.60, "pronoun_distancing", adapted, skill) + 0.05 * normal(*at, "dist")).alias("pronoun_distancing"),
-        clip(F.col("deflect") + suppressed(papered * 0.70, "topic_deflection", adapted, skill) + 0.05 * normal(*at, "defl")).alias("topic_deflection"),
-        clip(F.col("confident") + suppressed(papered * 0.35, "confidence_language", adapted, skill) + 0.05 * normal(*at, "conf")).alias("confidence_language"),
-        F.round(normal(*at, "lm") + suppressed(2.0 * F.col("theta_held"), "surprisal_z", adapted, skill), 4).alias("surprisal_z"),
-        F.when(constrained, F.round(sign * F.abs(move), 1)).alias("outcome_move_pct"),
-    )
-
-
 def outcome_class(move: Column, edge: float = 2.5) -> Column:
     return F.when(move < -edge, "miss").when(move > edge, "beat").when(move.isNotNull(), "inline")

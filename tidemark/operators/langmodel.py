@@ -1,13 +1,19 @@
 """Per-speaker Dirichlet-smoothed unigram language models, surprisal and divergences.
 
 Counts, not tokens, move: tokens are summed to ``(statement, word)`` before the
-first shuffle, the speaker and background tables are aggregates of that, and one
-exchange by statement serves both the support totals (a window) and the final
-sums.
+first shuffle.  The speaker and background tables are aggregates of that; they
+meet on the level of ``(speaker, word)``, so the statements' words are joined
+once (an equi-join whose hot keys the planner may split), and one exchange by
+statement serves both the support totals (a window) and the final sums.
+
+``world`` names leading columns (a simulated replicate, a grid point): each world
+has its own background and speakers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,41 +24,49 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
 
 
-def term_counts(statements: DataFrame, keys: tuple[str, ...] = ("id", "speaker", "window"), text: str = "text") -> DataFrame:
+def term_counts(statements: DataFrame, keys: Sequence[str] = ("id", "speaker", "window"), text: str = "text") -> DataFrame:
     """``(*keys, word, c)``."""
     words = statements.select(*keys, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
     return words.groupBy(*keys, "word").agg(F.count("*").alias("c"))
 
 
-def background(terms: DataFrame) -> DataFrame:
-    """``(word, c_bg)`` over all statements, both windows."""
-    return terms.groupBy("word").agg(F.sum("c").alias("c_bg"))
+def background(terms: DataFrame, world: Sequence[str] = ()) -> DataFrame:
+    """``(*world, word, c_bg)`` over all statements, both windows."""
+    return terms.groupBy(*world, "word").agg(F.sum("c").alias("c_bg"))
 
 
-def speaker_counts(terms: DataFrame, min_statements: int = 2) -> DataFrame:
-    """``(speaker, word, c_s)`` over baseline statements of speakers with enough of them."""
-    base = terms.where("window = 'baseline'")
-    enough = base.select("speaker", "id").distinct().groupBy("speaker").agg(F.count("*").alias("n")).where(F.col("n") >= min_statements)
-    return base.join(enough.select("speaker"), "speaker", "left_semi").groupBy("speaker", "word").agg(F.sum("c").alias("c_s"))
+def modelled_speakers(statements: DataFrame, world: Sequence[str] = (), min_statements: int = 2) -> DataFrame:
+    """``(*world, speaker)`` with enough baseline statements, whether or not these hold any token."""
+    base = statements.where("window = 'baseline'").groupBy(*world, "speaker").agg(F.count("*").alias("_n"))
+    return base.where(F.col("_n") >= min_statements).select(*world, "speaker")
 
 
-def with_probabilities(terms: DataFrame, models: DataFrame, bg: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """``terms`` of modelled speakers plus ``c_s`` (null if the speaker never used the word) and ``p``."""
-    totals = models.groupBy("speaker").agg(F.sum("c_s").alias("n_s"))
-    shape = bg.agg(F.sum("c_bg").alias("n_bg"), F.count("*").alias("v_bg"))
-    p_bg = (F.coalesce("c_bg", F.lit(0)) + 0.5) / (F.col("n_bg") + 0.5 * F.col("v_bg") + 1)
-    return (
-        terms.join(totals, "speaker")
-        .join(models, ["speaker", "word"], "left")
-        .join(bg, "word", "left")
-        .crossJoin(F.broadcast(shape))  # one row
-        .withColumn("p", (F.coalesce("c_s", F.lit(0)) + alpha * p_bg) / (F.col("n_s") + alpha))
-        .select(*terms.columns, "c_s", "p")
-    )
+def speaker_counts(terms: DataFrame, speakers: DataFrame, world: Sequence[str] = ()) -> DataFrame:
+    """``(*world, speaker, word, c_s)`` over baseline statements of the modelled speakers."""
+    base = terms.where("window = 'baseline'").join(speakers, [*world, "speaker"], "left_semi")
+    return base.groupBy(*world, "speaker", "word").agg(F.sum("c").alias("c_s"))
+
 
+def background_probability() -> Column:
+    return (F.coalesce("c_bg", F.lit(0)) + 0.5) / (F.col("n_bg") + 0.5 * F.col("v_bg") + 1)
 
-def statement_surprise(scored: DataFrame, keys: tuple[str, ...] = ("id", "speaker", "window")) -> DataFrame:
-    """One row for each statement: tokens, cross-entropy, KL, JSD (bits) and novel rate."""
+
+def with_probabilities(terms: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = ()) -> DataFrame:
+    """``terms`` of modelled speakers plus ``c_s`` (null if the speaker's baseline never used the word) and ``p``."""
+    who = [*world, "speaker"]
+    used = terms.groupBy(*who, "word").agg(F.sum(F.when(F.col("window") == "baseline", F.col("c"))).alias("c_s"), F.sum("c").alias("_all"))
+    bg = used.groupBy(*world, "word").agg(F.sum("_all").alias("c_bg"))
+    shape = bg.groupBy(*world).agg(F.sum("c_bg").alias("n_bg"), F.count("*").alias("v_bg"))
+    own = used.join(speakers, who, "left_semi")
+    totals = own.groupBy(*who).agg(F.coalesce(F.sum("c_s"), F.lit(0)).alias("n_s"))
+    known = own.join(bg, [*world, "word"]).join(totals, who)
+    known = known.join(shape, list(world)) if world else known.crossJoin(F.broadcast(shape))  # one row
+    p = (F.coalesce("c_s", F.lit(0)) + alpha * background_probability()) / (F.col("n_s") + alpha)
+    return terms.join(known.select(*who, "word", "c_s", p.alias("p")), [*who, "word"]).select(*terms.columns, "c_s", "p")
+
+
+def statement_surprise(scored: DataFrame, keys: Sequence[str] = ("id", "speaker", "window")) -> DataFrame:
+    """One row for each statement with tokens: their number, cross-entropy, KL, JSD (bits) and novel rate."""
     own = Window.partitionBy(*keys)
     q = F.col("c") / F.col("n")
     pp = F.col("p") / F.col("mass")
@@ -67,26 +81,38 @@ def statement_surprise(scored: DataFrame, keys: tuple[str, ...] = ("id", "speake
     )
 
 
-def baseline_entropy(surprise: DataFrame) -> DataFrame:
+def baseline_entropy(surprise: DataFrame, world: Sequence[str] = ()) -> DataFrame:
     """Mean and sample deviation of the speaker's own baseline cross-entropies (deviation 0 for one statement)."""
-    return surprise.where("window = 'baseline'").groupBy("speaker").agg(
+    return surprise.where("window = 'baseline'").groupBy(*world, "speaker").agg(
         F.avg("ce").alias("baseline_ce"), F.coalesce(F.stddev_samp("ce"), F.lit(0.0)).alias("baseline_ce_sd")
     )
 
 
-def surprisal(statements: DataFrame, text: str = "text", alpha: float = ALPHA, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``id, speaker, window, n_tokens, cross_entropy, baseline_ce, surprisal_z, kl, jsd, novel_rate, insufficient``.
+def baseline_entropy_table(statements: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
+    """``(speaker, baseline_ce, baseline_ce_sd)`` of every modelled speaker."""
+    keys = ["id", "speaker", "window"]
+    speakers = modelled_speakers(statements)
+    found = statement_surprise(with_probabilities(term_counts(statements, keys, text), speakers, alpha), keys)
+    each = statements.select(*keys).join(speakers, "speaker", "left_semi").join(found, keys, "left").withColumn("ce", F.coalesce("ce", F.lit(0.0)))
+    return baseline_entropy(each)
+
+
+def surprisal(statements: DataFrame, text: str = "text", alpha: float = ALPHA, min_tokens: int = MIN_TOKENS, world: Sequence[str] = ()) -> DataFrame:
+    """``*world, id, speaker, window, n_tokens, cross_entropy, baseline_ce, surprisal_z, kl, jsd, novel_rate, insufficient``.
 
     Statements of speakers without a model, or under ``min_tokens`` tokens, get z
-    zero and are flagged.
+    zero and are flagged; a statement without tokens has cross-entropy zero in
+    its speaker's baseline.
     """
-    terms = term_counts(statements, text=text)
-    scored = with_probabilities(terms, speaker_counts(terms), background(terms), alpha)
-    each = statement_surprise(scored)
-    joined = each.join(baseline_entropy(each), "speaker")
-    short = F.col("n_tokens") < min_tokens
+    keys = [*world, "id", "speaker", "window"]
+    speakers = modelled_speakers(statements, world)
+    found = statement_surprise(with_probabilities(term_counts(statements, keys, text), speakers, alpha, world), keys)
+    each = statements.select(*keys).join(speakers, [*world, "speaker"], "left_semi").join(found, keys, "left").withColumn("ce", F.coalesce("ce", F.lit(0.0)))
+    joined = each.join(baseline_entropy(each, world), [*world, "speaker"], "left")
+    short = F.coalesce("n_tokens", F.lit(0)) < min_tokens
     z = (F.col("ce") - F.col("baseline_ce")) / F.greatest(F.col("baseline_ce_sd"), F.lit(MIN_SD))
-    found = joined.select(
+    scored = joined.select(
+        *world,
         "id",
         "n_tokens",
         F.when(~short, F.round("ce", 4)).alias("cross_entropy"),
@@ -96,10 +122,8 @@ def surprisal(statements: DataFrame, text: str = "text", alpha: float = ALPHA, m
         F.when(~short, F.round("jsd", 4)).alias("jsd"),
         F.when(~short, F.round("novel", 4)).alias("novel_rate"),
     )
-    return statements.select("id", "speaker", "window").join(found, "id", "left").select(
-        "id",
-        "speaker",
-        "window",
+    return statements.select(*keys).join(scored, [*world, "id"], "left").select(
+        *keys,
         F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         "cross_entropy",
         "baseline_ce",
@@ -117,20 +141,19 @@ def against_all_speakers(texts: DataFrame, statements: DataFrame, alpha: float =
     ``texts(text_id, text)`` is the stated query set: only its words are looked
     up, so the models are filtered by them before anything is joined.
     """
-    terms = term_counts(statements)
-    models, bg = speaker_counts(terms), background(terms)
+    terms, speakers = term_counts(statements), modelled_speakers(statements)
+    models, bg = speaker_counts(terms, speakers), background(terms)
     asked = F.broadcast(term_counts(texts, ("text_id",)))
-    totals = models.groupBy("speaker").agg(F.sum("c_s").alias("n_s"))
+    totals = speakers.join(models.groupBy("speaker").agg(F.sum("c_s").alias("n_s")), "speaker", "left").withColumn("n_s", F.coalesce("n_s", F.lit(0)))
     shape = bg.agg(F.sum("c_bg").alias("n_bg"), F.count("*").alias("v_bg"))
     words = asked.select("word").distinct()
     own = models.join(F.broadcast(words), "word", "left_semi")
     common = bg.join(F.broadcast(words), "word", "left_semi")
     grid = totals.crossJoin(asked).crossJoin(F.broadcast(shape))
-    p_bg = (F.coalesce("c_bg", F.lit(0)) + 0.5) / (F.col("n_bg") + 0.5 * F.col("v_bg") + 1)
     return (
         grid.join(own, ["speaker", "word"], "left")
         .join(F.broadcast(common), "word", "left")
-        .withColumn("p", (F.coalesce("c_s", F.lit(0)) + alpha * p_bg) / (F.col("n_s") + alpha))
+        .withColumn("p", (F.coalesce("c_s", F.lit(0)) + alpha * background_probability()) / (F.col("n_s") + alpha))
         .groupBy("text_id", "speaker")
         .agg(
             F.sum("c").alias("n_tokens"),

@@ -47,9 +47,9 @@ def dose_response(df: DataFrame, speaker: str, row_id: str, x: str, days: str, n
     ranked = average_ranks(average_ranks(own, x, "_rx", [speaker]), "_near", "_ry", [speaker]).select(speaker, row_id, "_rx", "_ry")
     null = (
         permuted(ranked, ["_rx"], "_ry", row_id, n_perm, [speaker], seed)
-        .groupBy("rep", speaker)
+        .groupBy("_perm", speaker)
         .agg(F.corr("_rx", "shuffled").alias("rho"))
-        .groupBy("rep")
+        .groupBy("_perm")
         .agg(F.median("rho").alias("s"))
     )
     within = (

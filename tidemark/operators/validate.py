@@ -119,7 +119,7 @@ _PART_DIGITS = 2
 
 
 def permuted(df: DataFrame, fixed: list[str], value: str, row_id: str, n_perm: int, block: list[str] | None = None, seed: int = 7) -> DataFrame:
-    """``(rep, *block, *fixed, shuffled)``: ``value`` shuffled over the rows (of each block) for every replicate.
+    """``(_perm, *block, *fixed, shuffled)``: ``value`` shuffled over the rows (of each block) for every replicate.
 
     A row's value moves to the place that its hash has among the hashes of the
     replicate.  Places are found part by part (the leading digits of the hash),
@@ -127,15 +127,15 @@ def permuted(df: DataFrame, fixed: list[str], value: str, row_id: str, n_perm: i
     once, not in every replicate.
     """
     keys = block or []
-    reps = df.sparkSession.range(n_perm).withColumnRenamed("id", "rep")
+    reps = df.sparkSession.range(n_perm).withColumnRenamed("id", "_perm")
     numbered = positions(df.select(*keys, row_id, *fixed, value), row_id, "_slot", keys)
-    drawn = numbered.select(*keys, row_id, F.col(value).alias("shuffled")).crossJoin(F.broadcast(reps)).withColumn("_h", shuffle_key(F.col("rep"), F.col(row_id), seed))
+    drawn = numbered.select(*keys, row_id, F.col(value).alias("shuffled")).crossJoin(F.broadcast(reps)).withColumn("_h", shuffle_key(F.col("_perm"), F.col(row_id), seed))
     drawn = drawn.withColumn("_part", F.substring("_h", 1, _PART_DIGITS))
-    counts = drawn.groupBy("rep", *keys, "_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("rep", *keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("rep", *keys, "_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("rep", *keys, "_part").orderBy("_h", row_id))
-    placed = drawn.withColumn("_own", own).join(starts, ["rep", *keys, "_part"]).select("rep", *keys, "shuffled", (F.col("_start") + F.col("_own")).alias("_slot"))
+    counts = drawn.groupBy("_perm", *keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_perm", *keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_perm", *keys, "_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_perm", *keys, "_part").orderBy("_h", row_id))
+    placed = drawn.withColumn("_own", own).join(starts, ["_perm", *keys, "_part"]).select("_perm", *keys, "shuffled", (F.col("_start") + F.col("_own")).alias("_slot"))
     return placed.join(numbered.select(*keys, "_slot", *fixed), [*keys, "_slot"]).drop("_slot")
 
 
@@ -152,7 +152,7 @@ def permutation_test(
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_ranks(average_ranks(pairs, x, "_rx", keys), y, "_ry", keys).select(*keys, row_id, *([block] if block else []), "_rx", "_ry")
     observed = ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("observed"))
-    null = permuted(ranked, ["_rx"], "_ry", row_id, n_perm, [*keys, *([block] if block else [])], seed).groupBy("rep", *keys).agg(F.corr("_rx", "shuffled").alias("s"))
+    null = permuted(ranked, ["_rx"], "_ry", row_id, n_perm, [*keys, *([block] if block else [])], seed).groupBy("_perm", *keys).agg(F.corr("_rx", "shuffled").alias("s"))
     hit = (F.col("s") if one_sided else F.abs("s")) >= (F.col("observed") if one_sided else F.abs("observed")) - 1e-12
     held = null.where("s is not null and not isnan(s)")
     return (

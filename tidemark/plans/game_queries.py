@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import EVASION, FEATURES, PRESETS
-from ..operators import baseline as B
+from ..functions.banks import NAMES, ORGANISATIONS
+from ..functions.fixed import CONTROLLED, PRESETS
 from ..operators import game as G
-from ..operators import studies, validate
+from ..operators import generate as N
+from ..operators import studies
+from ..operators import worldstudies as W
+from ..operators.lineage import cut
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -64,95 +67,164 @@ def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.ladder_delta(rungs.withColumn("verdict", studies.verdict(F.col("retained"))), "retained", "retained")
 
 
-def _scored(spark: SparkSession, n_reps: int, params: dict | None = None, population: dict | None = None, seed: int = 0) -> DataFrame:
-    """Simulated constrained windows with their anomaly scores; every world has its own speakers."""
-    world = G.simulate(spark, n_reps, params, population, seed).withColumn("who", F.concat_ws("-", "rep", "speaker"))
-    features = list(FEATURES)
-    base = B.fit_baselines(world.where("window = 'baseline'"), "who", features)
-    # Read several times by a study; lost blocks are computed again.
-    return B.anomalies(world.where("window = 'constrained'"), base, "who", features, EVASION).persist()
+_GAME_TRUTH = ("archetype", "theta_held", "register", "days_to_disclosure", "outcome_move_pct")
+_PLANTED_TRUTH = ("true_effect", "outcome_move_pct")
+_PERMUTATIONS = 200
+
+
+def _scored(spark: SparkSession, n_reps: int, grid: list[dict] | None = None, seed: int = 0) -> DataFrame:
+    """Constrained windows of simulated worlds, scored world by world."""
+    return W.score_worlds(cut(N.simulate(spark, n_reps, grid, seed=seed)), _GAME_TRUTH)
+
+
+def _planted(spark: SparkSession, n_reps: int, grid: list[dict] | None = None, seed: int = 5) -> DataFrame:
+    table = N.worlds(spark, n_reps, grid, CONTROLLED, seed)
+    return W.score_worlds(cut(N.controlled_corpus(table)), _PLANTED_TRUTH)
+
+
+def _named(found: DataFrame, grid: list[dict], kinds: str) -> DataFrame:
+    """Grid values in place of grid numbers."""
+    names = [k.split()[0] for k in kinds.split(", ")]
+    points = found.sparkSession.createDataFrame([(i, *[g[n] for n in names]) for i, g in enumerate(grid)], f"grid int, {kinds}")
+    return points.join(found, "grid").drop("grid")
 
 
 @REGISTRY.query()
 def q_simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.simulate(spark, 4)
+    """Statements of four worlds of the disclosure game, with their hidden truth."""
+    return N.simulate(spark, 4)
+
+
+@REGISTRY.query()
+def q_synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.synthetic_corpus(spark)[0]
+
+
+def _draw(*parts: str) -> str:
+    key = " || '-' || ".join(parts)
+    return f"((('0x' || substr(md5({key}), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double)"
+
+
+_WHO = ("'20260902-0'", "cast(i as varchar)")
+_NORMAL = f"(sqrt(-2 * ln({_draw(*_WHO, chr(39) + 'strength-u' + chr(39))})) * cos(2 * 3.141592653589793::double * {_draw(*_WHO, chr(39) + 'strength-v' + chr(39))}))"
+_K = "(1 / (9 * 2.2::double))"
+_GAMMA = f"(0.16::double * 2.2::double * pow(greatest(0.0::double, 1 - {_K} + {_NORMAL} * sqrt({_K})), 3))"
+
+
+@REGISTRY.query(
+    f"""with r as (select unnest(range(15)) as i)
+    select cast(0 as integer) as grid, cast(0 as integer) as rep, list_extract([{", ".join(repr(x) for x in NAMES)}], cast(i % 15 + 1 as integer)) || '_' || i as speaker,
+    list_extract([{", ".join(repr(x) for x in ORGANISATIONS)}], cast(i % 7 + 1 as integer)) as org, {_draw(*_WHO, "'null'")} < 0.30 as null_speaker,
+    round(case when {_draw(*_WHO, "'null'")} < 0.30 then 0.0 else least({_GAMMA}, 0.85) end, 3)::double as true_signal_strength,
+    cast(4 + floor({_draw(*_WHO, "'nb'")} * 5) as integer) as n_baseline, cast(2 + floor({_draw(*_WHO, "'nc'")} * 3) as integer) as n_constrained from r"""
+)
+def q_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.synthetic_corpus(spark)[1]
+
+
+@REGISTRY.query()
+def q_controlled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.controlled_corpus(N.worlds(spark, 2, [{"effect": 0.0}, {"effect": 0.6}], CONTROLLED, 5))
+
+
+_ADOPTION = [{"adoption": x} for x in (0.0, 0.25, 0.5, 0.75, 1.0)]
 
 
 @REGISTRY.query()
 def q_adoption_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of evasion with what is held, and AUC for material moves, as more speakers know that they are read."""
-    out = None
-    for i, level in enumerate((0.0, 0.5, 1.0)):
-        found = _scored(spark, 4, {"adoption": level}, seed=700 + i).withColumn("y", (F.abs("outcome_move_pct") >= 6).cast("int"))
-        rho = validate.spearman(found, "projection", "theta_held").select(F.lit(level).alias("adoption"), "n", F.col("rho").alias("rho_held"))
-        row = rho.crossJoin(validate.auc(found, "projection", "y").select("auc")).crossJoin(found.agg(F.avg("register").alias("register")))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """How much of the signal survives as more speakers know that they are read."""
+    return _named(W.adoption_sweep(_scored(spark, 4, _ADOPTION, 700)), _ADOPTION, "adoption double")
 
 
 @REGISTRY.query()
 def q_feature_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each feature keeps of its correlation with held information when everyone is coached."""
-    parts = []
-    for level in (0.0, 1.0):
-        world = _scored(spark, 4, {"adoption": level}, seed=810)
-        rows = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"z_{f}").alias("z")) for f in FEATURES]))
-        long = world.select("theta_held", rows.alias("x")).select("theta_held", "x.*")
-        parts.append(validate.spearman(long, "z", "theta_held", ["feature"]).select("feature", F.abs("rho").alias(f"rho_{int(level)}")))
-    kept = F.try_divide(F.col("rho_1"), F.col("rho_0"))
-    return parts[0].join(parts[1], "feature").withColumn("retained", kept).withColumn("verdict", studies.verdict(F.coalesce(kept, F.lit(0.0))))
+    return W.feature_survival(_scored(spark, 5, [{"adoption": 0.0}, {"adoption": 1.0}], 810))
 
 
 @REGISTRY.query()
 def q_dose_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.binned_mean(_scored(spark, 6, seed=920), "days", "projection", (0, 5, 10, 15, 20, 25, 30))
+    return studies.binned_mean(_scored(spark, 6, seed=920), "days_to_disclosure", "evasion", (0, 5, 10, 15, 20, 25, 30))
 
 
 @REGISTRY.query()
 def q_archetype_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.flag_rates(_scored(spark, 6, seed=1300), "archetype", "projection", 1.5, F.col("theta_held") > 0.05)
+    return W.archetype_rates(_scored(spark, 6, seed=1300)).drop("grid")
+
+
+@REGISTRY.query()
+def q_archetype_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates as means over archetypes, next to both scores at the same number of alarms."""
+    scored = _scored(spark, 6, seed=1300)
+    matched = W.matched_alarms(scored)
+    return W.archetype_summary(W.archetype_rates(scored)).join(matched.select("grid", *[F.col(c).alias(f"matched_{c}") for c in matched.columns if c != "grid"]), "grid").drop("grid")
+
+
+_PRESETS = [{"scenario": name, "population": mix or {}, **params} for name, (mix, params) in PRESETS.items()]
+
+
+def _preset_grid() -> list[dict]:
+    return [{k: v for k, v in g.items() if k not in ("scenario", "population")} | ({"population": g["population"]} if g["population"] else {}) for g in _PRESETS]
 
 
 @REGISTRY.query()
 def q_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every preset: median correlation over worlds and the share flagged."""
-    out = None
-    for i, (name, (mix, params)) in enumerate(PRESETS.items()):
-        found = _scored(spark, 3, params, mix, seed=2000 + i)
-        rho = validate.spearman(found, "projection", "theta_held", ["rep"]).agg(F.median("rho").alias("rho"))
-        row = found.agg(F.count("*").alias("n"), F.avg((F.col("projection") >= 1.5).cast("double")).alias("flag_rate")).crossJoin(rho).select(F.lit(name).alias("scenario"), "n", "flag_rate", "rho")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Every preset: windows, share flagged, median correlation over worlds, and the rates of its archetypes."""
+    scored = _scored(spark, 3, _preset_grid(), 2000)
+    found = W.scenario_summary(scored).join(W.archetype_summary(W.archetype_rates(scored)), "grid")
+    return _named(found, _PRESETS, "scenario string")
+
+
+_DESIGN = [{"n_speakers": k, "baseline_n": b} for k in (8, 14, 22) for b in (3, 6)]
 
 
 @REGISTRY.query()
 def q_design_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the correlation grows with speakers and baseline depth."""
-    out = None
-    for speakers in (8, 14):
-        for depth in (3, 6):
-            found = _scored(spark, 3, {"n_speakers": speakers, "baseline_n": depth}, seed=1040)
-            each = found.groupBy("rep", "speaker").agg(F.avg("projection").alias("e"), F.avg("theta_held").alias("h"))
-            rho = validate.spearman(each, "e", "h", ["rep"]).agg(F.median("rho").alias("rho"), F.count("*").alias("worlds"))
-            row = rho.select(F.lit(speakers).alias("speakers"), F.lit(depth).alias("depth"), "worlds", "rho")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Power over the number of speakers and the depth of their baselines."""
+    return _named(W.design_grid(_scored(spark, 3, _DESIGN, 1040), _PERMUTATIONS), _DESIGN, "n_speakers int, baseline_n int")
 
 
 @REGISTRY.query()
 def q_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ladder over one set of simulated windows: raw scores, own baseline, shrinkage and covariance, signed projection."""
-    found = _scored(spark, 6, seed=3).withColumn("y", (F.abs("outcome_move_pct") >= 6).cast("int"))
-    weights = dict(zip(FEATURES, EVASION, strict=True))
-    total = lambda form: sum((F.lit(w) * form(f) for f, w in weights.items()), F.lit(0.0))
-    rungs = {
-        "1 absolute": total(lambda f: F.col(f) if f != "surprisal_z" else F.lit(0.0)),
-        "2 own baseline": total(lambda f: F.abs(F.col(f"z_{f}")) if f != "surprisal_z" else F.lit(0.0)),
-        "3 mahalanobis": F.col("mahalanobis"),
-        "4 signed": F.col("projection"),
-    }
-    out = None
-    for name, score in rungs.items():
-        row = validate.auc(found.withColumn("s", score), "s", "y").select(F.lit(name).alias("rung"), "auc")
-        out = row if out is None else out.unionByName(row)
-    return studies.ladder_delta(out, "rung", "auc")
+    """The ladder from raw scores to the signed projection, on the synthetic corpus."""
+    return W.ablation(cut(N.synthetic_corpus(spark)[0]), _PERMUTATIONS)
+
+
+_EFFECTS = [{"effect": x} for x in (0.0, 0.1, 0.2, 0.3, 0.45, 0.6)]
+
+
+@REGISTRY.query()
+def q_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area for material moves at known effects; at zero it has to be chance."""
+    return _named(W.recovery(_planted(spark, 4, _EFFECTS)), _EFFECTS, "effect double")
+
+
+_SPREADS = [{"heterogeneity": x} for x in (0.0, 0.25, 0.5, 0.75, 1.0, 1.3)]
+
+
+@REGISTRY.query()
+def q_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute against relative scores as speakers grow more different."""
+    return _named(W.heterogeneity(_planted(spark, 4, _SPREADS, 900)), _SPREADS, "heterogeneity double")
+
+
+@REGISTRY.query()
+def q_recovery_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.recovery_ranking(_planted(spark, 6, None, 400)).drop("grid")
+
+
+def _near(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    reference = W.reference_table(_scored(spark, 8, seed=2200))
+    observed = _scored(spark, 1, seed=77)
+    return cut(W.neighbours(observed, reference)), reference
+
+
+@REGISTRY.query()
+def q_posterior_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held information and move of every window of a fresh world, given a simulated reference."""
+    return W.posterior(_near(spark)[0])
+
+
+@REGISTRY.query()
+def q_posterior_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.posterior_histogram(*_near(spark))

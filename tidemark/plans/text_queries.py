@@ -116,7 +116,8 @@ def q_bg_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     select speaker, word, c_s::bigint as c_s, place::integer as place from rk where place <= 50"""
 )
 def q_lm_top_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.top_vocabulary(L.speaker_counts(L.term_counts(V.statements(spark, sf_dir))), 50)
+    st = V.statements(spark, sf_dir)
+    return L.top_vocabulary(L.speaker_counts(L.term_counts(st), L.modelled_speakers(st)), 50)
 
 
 @REGISTRY.query(

@@ -67,9 +67,9 @@ TERMS = rf"""{STATEMENTS},
 tk as (select id, speaker, "window", unnest(regexp_extract_all(lower(text), '[a-z'']+')) as word from st),
 tf as (select id, speaker, "window", word, count(*) as c from tk group by all),
 bg as (select word, sum(c) as c_bg from tf group by 1),
-en as (select speaker from (select distinct speaker, id from tf where "window" = 'baseline') group by 1 having count(*) >= 2),
+en as (select speaker from st where "window" = 'baseline' group by 1 having count(*) >= 2),
 lm as (select speaker, word, sum(c) as c_s from tf where "window" = 'baseline' and speaker in (select speaker from en) group by 1, 2),
-ls as (select speaker, sum(c_s) as n_s from lm group by 1),
+ls as (select en.speaker, coalesce(sum(c_s), 0) as n_s from en left join lm on en.speaker = lm.speaker group by 1),
 bs as (select sum(c_bg) as n_bg, count(*) as v_bg from bg),
 pr as (select tf.*, lm.c_s, (coalesce(lm.c_s, 0) + 300.0::double * (coalesce(bg.c_bg, 0) + 0.5) / (n_bg + 0.5 * v_bg + 1)) / (n_s + 300.0::double) as p
        from tf join ls on tf.speaker = ls.speaker left join lm on tf.speaker = lm.speaker and tf.word = lm.word left join bg on tf.word = bg.word, bs),
@@ -80,5 +80,5 @@ sx as (select pr.id, any_value(speaker) as speaker, any_value("window") as "wind
        0.5 * sum((c / n) * log2((c / n) / ((c / n + p / mass) / 2))) + 0.5 * sum((p / mass) * log2((p / mass) / ((c / n + p / mass) / 2))) as jsd,
        sum(case when c_s is null then c else 0 end) / any_value(n) as novel
        from pr join nm on pr.id = nm.id group by pr.id),
-be as (select speaker, avg(ce) as bce, coalesce(stddev_samp(ce), 0) as bsd from sx where "window" = 'baseline' group by 1)
+be as (select st.speaker, avg(coalesce(ce, 0)) as bce, coalesce(stddev_samp(coalesce(ce, 0)), 0) as bsd from st join en on st.speaker = en.speaker left join sx on st.id = sx.id where st."window" = 'baseline' group by 1)
 """
