@@ -173,12 +173,69 @@ def test_feistel_is_a_bijection(spark):
     assert digits.distinct().count() == 1000 and digits.where(F.length("d") != 3).isEmpty()
 
 
+def mod97(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_more_formats(frame):
+    texts = [
+        "card 3782 822463 10005 and 3714-496353-98431",
+        "call +44 20 7946 0958 or +49 30 901820 or +33 1 42 68 53 00",
+        "iban DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432",
+        "000-000-0000 123-456-7890 212-055-1234 DE88 3704 0044 0532 0130 00 +12 34",
+        "212-555-0198",
+    ]
+    a, b, c, d, e = pseudonym(frame, texts)
+    m = re.fullmatch(r"card (\d{4} \d{6} \d{5}) and (\d{4}-\d{6}-\d{5})", a)
+    assert m and a != texts[0] and all(luhn(re.sub(r"\D", "", x)) for x in m.groups())
+    m = re.fullmatch(r"call (\+44 \d\d \d{4} \d{4}) or (\+49 \d\d \d{6}) or (\+33 \d \d\d \d\d \d\d \d\d)", b)
+    assert m and not any(x in texts[1] for x in m.groups())
+    m = re.fullmatch(r"iban (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) and (GB\d\d[A-Z]{4}\d{14})", c)
+    assert m and all(mod97(x) == 1 for x in m.groups()) and not any(x in texts[2] for x in m.groups())
+    assert d == texts[3]  # none of these is valid
+    assert re.fullmatch(r"[2-9]\d\d-[2-9]\d\d-\d{4}", e) and e != texts[4]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(frame([]), "")
+
+
+def slow_feistel(l, r, a, b, key):
+    def number(*parts):
+        text = "|".join(map(str, parts))
+        inner = hashlib.sha256(f"{key}|inner|{text}".encode()).hexdigest()
+        return int(hashlib.sha256(f"{key}|outer|{inner}".encode()).hexdigest()[:15], 16)
+
+    for k in range(1, pii.ROUNDS + 1):
+        l = (l + number(k, 0, r) % a) % a
+        r = (r + number(k, 1, l) % b) % b
+    return l, r
+
+
+def test_pseudonyms_against_the_definition(spark, frame):
+    """Addresses, security numbers and cards by plain Python, and back again from the key."""
+    key = hashlib.sha256(b"some key").hexdigest()
+    values = [f"{i}.{(i * 7) % 256}.{(i * 31) % 256}.{(i * 131) % 256}" for i in range(1, 60)]
+    got = pseudonym(frame, values, key="some key")
+    assert len(set(got)) == len(values)
+    for old, new in zip(values, got):
+        o = list(map(int, old.split(".")))
+        l, r = slow_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key + "ip")
+        assert new == f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+    numbers = [f"{a:03d}-{g:02d}-{s:04d}" for a, g, s in ((1, 1, 1), (665, 99, 9999), (667, 5, 77), (899, 42, 4242))]
+    for old, new in zip(numbers, pseudonym(frame, numbers, key="some key")):
+        area, group, serial = map(int, old.split("-"))
+        place = area - 2 if area > 666 else area - 1
+        l, r = slow_feistel(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key + "ssn")
+        a = l // 99
+        assert new == f"{a + 2 if a >= 665 else a + 1:03d}-{l % 99 + 1:02d}-{r + 1:04d}"
+
+
 def test_pii_spans_and_columns(spark, frame):
-    r = pii.pseudonymise(frame(["é a@b.co and 192.168.1.1"])).first()
+    r = pii.pseudonymise(frame(["é a@b.co and 192.168.1.1"]), "k").first()
     assert r["spans"] == "email:2:8,ip:13:24" and (r["n_email"], r["n_ip"], r["n_card"]) == (1, 1, 0)
     df = spark.createDataFrame([(1, "a@b.co", 5)], "doc_id int, text string, n_email int")
-    assert pii.pseudonymise(df).columns.count("n_email") == 1
-    assert pii.pseudonymise(frame([])).count() == 0
+    assert pii.pseudonymise(df, "k").columns.count("n_email") == 1
+    assert pii.pseudonymise(frame([]), "k").count() == 0
 
 
 # ------------------------------------------------------------ fingerprints

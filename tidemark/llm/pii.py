@@ -1,26 +1,31 @@
 """Format-preserving pseudonyms for personal data, native expressions only.
 
-Card numbers (Luhn), phone numbers, IPv4 addresses, social security numbers and
-calendar dates are parsed, validated and replaced by a keyed Feistel permutation
-of their own domain: a card stays a valid card, a date a real date in the same
-notation, an address four octets.  E-mail names are permuted letter by letter
-and digit by digit.  The permutation depends on the key and the kind only, so
-equal values get equal pseudonyms in every document and different values get
-different ones.
-
+Card numbers (Luhn), phone numbers, IPv4 addresses, social security numbers,
+bank account numbers (IBAN, modulo 97) and calendar dates are parsed, validated
+and replaced by a keyed Feistel permutation of their own domain: a card stays a
+valid card, an IBAN a valid IBAN of its country, a date a real date in the same
+notation, an address four octets, a North American number one with valid area
+and exchange.  E-mail names are permuted letter by letter and digit by digit;
+domains stay, so addresses of one provider stay recognisable as such.
+
+The permutation depends on the caller's key and the kind only, so equal values
+get equal pseudonyms in every document and different values different ones.
 The mapping has two halves ``(l, r)`` in ``Z_a x Z_b`` whose product is the
 domain; each round adds a keyed hash of one half to the other, which can be
-undone, so it is a bijection for any ``a`` and ``b``.
+undone, so it is a bijection for any ``a`` and ``b``.  The keyed hash is SHA-256
+nested under the key twice (the construction of HMAC, with labels in place of
+its pads): without the key neither direction can be computed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "card", "phone", "ip", "ssn", "date")
+KINDS = ("email", "card", "phone", "ip", "ssn", "date", "iban")
 ROUNDS = 8
 # What each kind looks like (validity is checked after the match).
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
@@ -28,8 +33,21 @@ DATE = r"(?<![\w.+/@-])(?:[12][0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[12][
 SSN = r"(?<![\w.+@-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w@-])"
 IP = r"(?<![\w.@-])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w@]|\.[0-9])"
 PHONE = r"(?<![\w.@])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w@])"
-CARD = r"(?<![\w.@-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w@-])"
-PATTERN = "|".join((EMAIL, DATE, SSN, IP, PHONE, CARD))
+CARD = r"(?<![\w.@-])(?:3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7})(?![\w@-])"
+ABROAD = r"(?<![\w.@])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![\w@])"
+IBAN = r"(?<![\w.@-])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w@-])"
+PATTERN = "|".join((EMAIL, DATE, SSN, IP, PHONE, ABROAD, CARD, IBAN))
+
+
+def keyed_hash(key: Column, *message: Column) -> Column:
+    """64 hexadecimal digits that nobody computes without the key."""
+    text = F.concat_ws("|", *[m.cast("string") for m in message])
+    return F.sha2(F.concat(key, F.lit("|outer|"), F.sha2(F.concat(key, F.lit("|inner|"), text), 256)), 256)
+
+
+def keyed_number(key: Column, *message: Column) -> Column:
+    """The first 60 bits of the keyed hash."""
+    return F.conv(F.substring(keyed_hash(key, *message), 1, 15), 16, 10).cast("long")
 
 
 def feistel(left: Column, right: Column, a: Column | int, b: Column | int, key: Column, rounds: int = ROUNDS) -> Column:
@@ -38,7 +56,7 @@ def feistel(left: Column, right: Column, a: Column | int, b: Column | int, key:
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
     def half(x: Column, other: Column, k: Column, side: int, size: Column) -> Column:
-        return F.pmod(x + F.pmod(F.xxhash64(key, k, F.lit(side), other), size), size)
+        return F.pmod(x + F.pmod(keyed_number(key, k, F.lit(side), other), size), size)
 
     def both(acc: Column, k: Column) -> Column:
         # Binding the new left half once keeps the expression small.
@@ -125,16 +143,74 @@ def _card(text: Column, key: Column) -> Column:
     return _bind(_digits(text), pseudonym)
 
 
+def _north_american(text: Column) -> Column:
+    return text.rlike(r"^(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$")
+
+
+def valid_phone(text: Column) -> Column:
+    """Ten digits whose exchange and (without a country code) area begin with 2 to 9; or 8 to 15 digits after a plus."""
+    def valid(d: Column) -> Column:
+        area, exchange = F.substring(d, F.length(d) - 9, F.lit(3)), F.substring(d, F.length(d) - 6, F.lit(3))
+        own = (F.substring(exchange, 1, 1) >= "2") & F.when(text.startswith("+"), area != "000").otherwise(F.substring(area, 1, 1) >= "2")
+        return F.when(_north_american(text), own).otherwise(text.startswith("+") & F.length(d).between(8, 15))
+
+    return _bind(_digits(text), valid)
+
+
 def _phone(text: Column, key: Column) -> Column:
-    """The country code stays; the last ten digits are permuted."""
-    def pseudonym(d: Column) -> Column:
-        own = F.greatest(F.length(d) - 10, F.lit(0))
-        return _refill(
-            text,
-            F.concat(F.substring(d, F.lit(1), own), permuted_digits(F.substring(d, own + 1, F.lit(10)), F.concat(key, F.lit("phone")))),
+    """The country code stays; area, exchange and line are permuted among the valid ones, abroad all other digits."""
+    def domestic(d: Column) -> Column:
+        own = F.length(d) - 10
+        area, exchange, line = (F.substring(d, own + at, F.lit(n)).cast("long") for at, n in ((1, 3), (4, 3), (7, 4)))
+        least = F.when(text.startswith("+"), F.lit(1)).otherwise(F.lit(200))
+
+        def shown(s: Column) -> Column:
+            three = lambda x: F.lpad(x.cast("string"), 3, "0")
+            return F.concat(F.substring(d, F.lit(1), own), three(F.floor(s["l"] / 800) + least), three(F.pmod(s["l"], F.lit(800)) + 200), F.lpad(s["r"].cast("string"), 4, "0"))
+
+        domain = F.concat(key, F.lit("phone"), least.cast("string"))
+        return _bind(feistel((area - least) * 800 + exchange - 200, line, (1000 - least) * 800, 10000, domain), lambda s: _refill(text, shown(s)))
+
+    def abroad(d: Column) -> Column:
+        code = F.length(F.regexp_extract(text, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
+        own = F.when(code > 0, code).otherwise(2)
+        rest = permuted_digits(F.substring(d, own + 1, F.length(d)), F.concat(key, F.lit("abroad")))
+        return _refill(text, F.concat(F.substring(d, F.lit(1), own), rest))
+
+    return F.when(_north_american(text), _bind(_digits(text), domestic)).otherwise(_bind(_digits(text), abroad))
+
+
+def _remainder_97(text: Column) -> Column:
+    """An account number, country and check digits moved to the end, letters as 10 to 35, modulo 97."""
+    moved = F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))
+    value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda r, c: _bind(value(c), lambda v: F.pmod(F.when(v > 9, r * 100 + v).otherwise(r * 10 + v), F.lit(97))))
+
+
+def valid_iban(text: Column) -> Column:
+    return _bind(F.replace(text, F.lit(" "), F.lit("")), lambda t: F.length(t).between(15, 34) & (_remainder_97(t) == 1))
+
+
+def _iban(text: Column, key: Column) -> Column:
+    """The country stays; the account is permuted letter by letter and digit by digit, the check digits follow."""
+    def pseudonym(t: Column) -> Column:
+        account = _permuted_text(F.substring(t, F.lit(5), F.length(t)), key, "iban")
+        return _bind(
+            account,
+            lambda x: _bind(
+                F.concat(F.substring(t, 1, 2), F.lpad((98 - _remainder_97(F.concat(F.substring(t, 1, 2), F.lit("00"), x))).cast("string"), 2, "0"), x),
+                lambda whole: F.aggregate(
+                    F.split(text, ""),
+                    F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+                    lambda acc, c: F.when(c == " ", F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))).otherwise(
+                        F.struct(F.concat(acc["out"], F.substring(whole, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))
+                    ),
+                    lambda acc: acc["out"],
+                ),
+            ),
         )
 
-    return _bind(_digits(text), pseudonym)
+    return _bind(F.replace(text, F.lit(" "), F.lit("")), pseudonym)
 
 
 def valid_ip(text: Column) -> Column:
@@ -209,42 +285,40 @@ def _date(text: Column, key: Column) -> Column:
 _ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
 
 
-def _shifted(text: Column, by: Column) -> Column:
+def _shifted(text: Column, stream: Column) -> Column:
     """Each letter or digit of ``text`` moved inside its own alphabet by a keyed amount that depends on its place."""
     def moved(c: Column, i: Column) -> Column:
+        amount = F.conv(F.substring(stream, F.pmod(i * 4, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 15).cast("int")
         out = c
         for letters in _ALPHABETS:
             at = F.instr(F.lit(letters), c)
             out = F.when(
                 (c != "") & (at > 0),
-                F.substring(F.lit(letters), (F.pmod(at - 1 + F.pmod(F.xxhash64(by, i), F.lit(len(letters))), F.lit(len(letters))) + 1).cast("int"), F.lit(1)),
+                F.substring(F.lit(letters), (F.pmod(at - 1 + amount, F.lit(len(letters))) + 1).cast("int"), F.lit(1)),
             ).otherwise(out)
         return out
 
     return F.array_join(F.transform(F.split(text, ""), moved), "")
 
 
-def _email(text: Column, key: Column) -> Column:
-    """The name before the @ is permuted; marks, case and the domain stay."""
-    name = F.substring_index(text, "@", 1)
-    n = F.length(name)
+def _permuted_text(text: Column, key: Column, kind: str) -> Column:
+    """Letters and digits permuted among the texts of the same shape, marks and case kept."""
+    n = F.length(text)
     cut = F.floor((n + 1) / 2).cast("int")
-    start = F.struct(F.substring(name, F.lit(1), cut).alias("l"), F.substring(name, cut + 1, n).alias("r"))
+    start = F.struct(F.substring(text, F.lit(1), cut).alias("l"), F.substring(text, cut + 1, n).alias("r"))
+
+    def half(x: Column, other: Column, k: Column, side: str) -> Column:
+        return _bind(keyed_hash(key, F.lit(kind), k, F.lit(side), other), lambda h: _shifted(x, h))
 
     def both(acc: Column, k: Column) -> Column:
-        return F.element_at(
-            F.transform(
-                F.array(_shifted(acc["l"], F.concat_ws("|", key, F.lit("email"), k.cast("string"), F.lit("l"), acc["r"]))),
-                lambda l: F.struct(
-                    l.alias("l"), _shifted(acc["r"], F.concat_ws("|", key, F.lit("email"), k.cast("string"), F.lit("r"), l)).alias("r")
-                ),
-            ),
-            1,
-        )
+        return _bind(half(acc["l"], acc["r"], k, "l"), lambda l: F.struct(l.alias("l"), half(acc["r"], l, k, "r").alias("r")))
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(4)), start, both, lambda s: F.concat(s["l"], s["r"], F.lit("@"), F.substring_index(text, "@", -1))
-    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, both, lambda s: F.concat(s["l"], s["r"]))
+
+
+def _email(text: Column, key: Column) -> Column:
+    """The name before the @ is permuted; marks, case and the domain stay."""
+    return F.concat(_permuted_text(F.substring_index(text, "@", 1), key, "email"), F.lit("@"), F.substring_index(text, "@", -1))
 
 
 def kind_of(match: Column) -> Column:
@@ -255,7 +329,8 @@ def kind_of(match: Column) -> Column:
         .when(is_date, F.when(parsed_date(match).isNotNull(), F.lit("date")))
         .when(match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(valid_ssn(match), F.lit("ssn")))
         .when(match.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), F.when(valid_ip(match), F.lit("ip")))
-        .when(match.rlike(r"^(?:\+|\()|^[0-9]{3}[ .-]"), F.lit("phone"))
+        .when(match.rlike(r"^[A-Z]"), F.when(valid_iban(match), F.lit("iban")))
+        .when(match.startswith("+") | _north_american(match), F.when(valid_phone(match), F.lit("phone")))
         .otherwise(F.when(valid_card(match), F.lit("card")))
     )
 
@@ -267,24 +342,30 @@ def pseudonym(match: Column, kind: Column, key: Column) -> Column:
         .when(kind == "ssn", _ssn(match, key))
         .when(kind == "ip", _ip(match, key))
         .when(kind == "phone", _phone(match, key))
+        .when(kind == "iban", _iban(match, key))
         .when(kind == "card", _card(match, key))
         .otherwise(match)
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "tidemark", prefix: str = "") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` (all columns) plus ``pseudonymised``, ``spans`` and ``n_<kind>`` for each kind.
 
     ``spans`` lists ``kind:start:end`` in code points of the input, in order.
     Invalid look-alikes stay as they are; null texts are empty; columns named
-    like a result are replaced; no row is added or lost.
+    like a result are replaced; repeated rows stay; texts are read whole; no row
+    is added or lost.  The key is the caller's secret: who has it can undo every
+    pseudonym, so it has no default.
     """
+    if not key:
+        raise ValueError("a key is needed")
+    secret = F.lit(hashlib.sha256(key.encode()).hexdigest())
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     empty = F.expr("cast(array() as array<struct<m:string,kind:string>>)")
     found = F.transform(
         F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))
     )
-    likely = body.rlike("[0-9]") & (body.rlike("[0-9]{3}") | body.contains("@") | body.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")) | body.contains("@")
+    likely = body.rlike("[0-9]") & (body.rlike("[0-9]{2}") | body.contains("@") | body.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")) | body.contains("@")
     names = [f"{prefix}pseudonymised", f"{prefix}spans", *[f"{prefix}n_{k}" for k in KINDS]]
     kept = [c for c in docs.columns if c.lower() not in names]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], body.alias("__body"), F.when(likely, found).otherwise(empty).alias("__found"))
@@ -292,7 +373,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "tidemark", pre
     replaced = F.array_join(
         F.zip_with(
             parts,
-            F.transform("__found", lambda x: pseudonym(x["m"], x["kind"], F.lit(key))),
+            F.transform("__found", lambda x: pseudonym(x["m"], x["kind"], secret)),
             lambda p, r: F.concat(F.coalesce(p, F.lit("")), F.coalesce(r, F.lit(""))),
         ),
         "",
