@@ -261,6 +261,75 @@ def test_leaks_against_brute_force(docs):
     assert len(got & want) >= 0.9 * len(want) and {g for g in got if len(dict(benchmark)[g[1]]) >= 8} <= want
 
 
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            row[j + 1], last = (last + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+    return row[-1]
+
+
+def test_hard_paraphrases_against_an_independent_definition(spark):
+    """Every stretch of every text is compared by a plain subsequence, without the product's search or checks."""
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(900)]
+    items = [(i, [rng.choice(words) for _ in range(rng.randrange(15, 60))]) for i in range(25)]
+    rows = []
+    for i, own in items:
+        for share in (0.0, 0.15, 0.25, 0.35, 0.5):  # words replaced, moved in by extra ones
+            changed = [w if rng.random() > share else rng.choice(words) for w in own]
+            if share:
+                for _ in range(3):
+                    changed.insert(rng.randrange(len(changed)), rng.choice(words))
+            pad = lambda: [rng.choice(words) for _ in range(rng.randrange(0, 200))]
+            rows.append((len(rows), " ".join(pad() + changed + pad())))
+    want = set()
+    for d, text in rows:
+        ws = text.split()
+        for i, own in items:
+            n, answer = len(own), own[-8:]
+            for at in range(0, max(1, len(ws) - n // 2), max(1, n // 6)):
+                part = ws[at : at + n + n // 4 + 2]
+                if len(set(part) & set(own)) >= 0.5 * len(set(own)):
+                    share = plain_lcs(own, part) / n
+                    if share >= 0.8 or (share >= 0.6 and plain_lcs(answer, part) / len(answer) >= 0.5):
+                        want.add((d, i))
+                        break
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    found = {}
+    for block in (2048, 7):
+        out = latent_leaks.find_leaks(df, benchmark, block_items=block).select("doc_id", F.explode("leaks.item_id").alias("item"))
+        found[block] = {(r["doc_id"], r["item"]) for r in out.collect()}
+    assert found[2048] == found[7]  # the fit does not depend on the blocks
+    assert len(want) >= 60 and len(found[7] & want) >= 0.95 * len(want) and len(found[7] - want) <= 0.05 * len(want)
+
+
+def test_long_items_are_found(spark):
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(3000)]
+    own = [rng.choice(words) for _ in range(700)]
+    rows = [(1, " ".join(own)), (2, " ".join(rng.choice(words) for _ in range(700))), (3, " ".join(rng.choice(words) for _ in range(300)) + " " + " ".join(own))]
+    found = latent_leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(own))], "item_id long, text string"))
+    assert {r["doc_id"] for r in found.where(F.size("leaks") > 0).collect()} == {1, 3}
+
+
+def test_nothing_possible_is_ruled_out():
+    rng = random.Random(14)
+    for _ in range(20):
+        n_words = 60
+        items = [np.array([rng.randrange(n_words) for _ in range(rng.randrange(5, 90))]) for _ in range(8)]
+        docs = [[rng.randrange(-40, n_words) for _ in range(rng.randrange(1, 900))] for _ in range(4)]
+        ids = np.concatenate([np.array([max(x, -1) for x in d]) for d in docs])
+        possible, first = latent_leaks.possible_items(ids, np.array([len(d) for d in docs]), items, n_words)
+        for d, ws in enumerate(docs):
+            for at in range(0, len(ws), latent_leaks.STEP):
+                for k, item in enumerate(items):
+                    if latent_leaks.best_match(list(item), ws, at)[0] > 0:
+                        assert possible[first[d] + at // latent_leaks.STRETCH, k]
+
+
 def test_leaks_edges(spark, frame):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, "")], "item_id int, text string")
     text = "zero one two three four five six seven eight nine ten eleven"

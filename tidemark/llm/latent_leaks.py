@@ -156,6 +156,44 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.nd
 
 # ----------------------------------------------------------------- search
 
+#: Words of one stretch for which it is found which items could occur there at all.
+STRETCH = 128
+
+
+def possible_items(ids: np.ndarray, lengths: np.ndarray, items: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(possible, first)``: whether enough words of an item occur around each stretch of each document to be leaked there.
+
+    ``ids`` are the documents' words one after the other (negative: not in the
+    benchmark).  No common subsequence is longer than the number of the item's
+    words that occur at all, so nothing that ``best_match`` would accept is
+    ruled out.  Stretches of document ``d`` are the rows from ``first[d]`` on.
+    """
+    longest = max(map(len, items))
+    before, after = longest, 2 * STEP + longest
+    n_stretches = -(-lengths // STRETCH)
+    first = np.cumsum(n_stretches) - n_stretches
+    known = np.nonzero(ids >= 0)[0]
+    starts = np.cumsum(lengths) - lengths
+    doc = np.searchsorted(starts, known, side="right") - 1
+    place = known - starts[doc]
+    low, high = np.maximum(0, -(-(place - after - STRETCH + 1) // STRETCH)), np.minimum(n_stretches[doc] - 1, (place + before) // STRETCH)
+    total = int(n_stretches.sum())
+    flat = np.concatenate(items)
+    edges = np.cumsum([0, *map(len, items[:-1])])
+    least = MIN_LCS * np.array(list(map(len, items)))
+    out = np.zeros((total, len(items)), dtype=bool)
+    part = max(1, (1 << 23) // max(len(flat), n_words))
+    for a in range(0, total, part):
+        b = min(total, a + part)
+        there = np.zeros((b - a, n_words), dtype=bool)
+        lo, hi = np.maximum(first[doc] + low, a), np.minimum(first[doc] + high, b - 1)
+        live = np.nonzero(lo <= hi)[0]
+        for k in range(int((hi - lo)[live].max(initial=-1)) + 1):
+            live = live[lo[live] + k <= hi[live]]
+            there[lo[live] + k - a, ids[known[live]]] = True
+        out[a:b] = np.add.reduceat(there[:, flat], edges, axis=1, dtype=np.int32) >= least
+    return out, first
+
 
 def _search_job(shared, keep: int, names: list[str]):
     leak_type = pa.list_(pa.struct([("item_id", pa.int64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("cosine", pa.float64())]))
@@ -185,6 +223,7 @@ def _search_job(shared, keep: int, names: list[str]):
         windows = sums[:-1] + sums[1:] * follows[:, None]
         words_in = count[:-1] + count[1:] * follows
         live = np.nonzero(words_in >= 2)[0]
+        possible, first_stretch = possible_items(ids, lengths, [np.array([of[w] for w in ws]) for ws in items], len(of))
         for at in range(0, len(live), 4096):
             part = live[at : at + 4096]
             w = windows[part]
@@ -192,6 +231,10 @@ def _search_job(shared, keep: int, names: list[str]):
             dots = w @ latent.T
             rows, columns = np.nonzero(dots >= MIN_COSINE * size)
             docs_of = np.searchsorted(first_block, part[rows], side="right") - 1
+            stretch = first_stretch[docs_of] + (part[rows] - first_block[docs_of]) * STEP // STRETCH
+            can = possible[stretch, item_of[columns]]
+            rows, columns = rows[can], columns[can]
+            docs_of = np.searchsorted(first_block, part[rows], side="right") - 1
             places = (part[rows] - first_block[docs_of]) * STEP
             cosines = dots[rows, columns] / size[rows, 0]
             for d, place, item, cosine in zip(docs_of.tolist(), places.tolist(), item_of[columns].tolist(), cosines.tolist(), strict=True):
