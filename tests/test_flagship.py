@@ -196,6 +196,31 @@ def test_documents_and_studies_on_disk(spark, tmp_path):
     assert got == [("one", 'A "first" study', 3), ("two", "", 2)]
 
 
+def test_pages_are_fetched_by_the_executors(spark):
+    import http.server
+    import threading
+
+    from tidemark.sources.fetch import fetch
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            found = self.path.startswith("/page")
+            self.send_response(200 if found else 404)
+            self.end_headers()
+            self.wfile.write(("\ufeff<title>" + self.path + "</title>" + self.headers["User-Agent"]).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    got = {r["url"]: r for r in fetch(spark, [f"{at}/page{i}" for i in range(20)] + [f"{at}/none", "http://127.0.0.1:1/x"], agent="tester").collect()}
+    server.shutdown()
+    assert len(got) == 22 and got[f"{at}/page7"]["html"] == "<title>/page7</title>tester" and got[f"{at}/page7"]["error"] is None
+    assert got[f"{at}/none"]["html"] is None and "404" in got[f"{at}/none"]["error"] and got["http://127.0.0.1:1/x"]["error"]
+
+
 def test_nulls_have_no_rank(spark):
     df = spark.createDataFrame([(1, 1.0, 5.0), (2, None, 4.0), (3, 3.0, None), (4, 2.0, 1.0), (5, 9.0, 9.0), (6, 4.0, 2.0)], "id int, x double, y double")
     ranks = {r["id"]: r["r"] for r in S.average_ranks(df, "x", "r").collect()}

@@ -199,3 +199,29 @@ def q_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = V.statements(spark, sf_dir).select("id", "speaker", "text", "date")
     return H.ingest(st, meetings(spark), "2022-06-01", 400).drop("text")
+
+
+@REGISTRY.query(
+    f"""with {V.STATEMENTS}, k as (select id, len(regexp_extract_all(text, '(?i){fixed.NUMERIC_PATTERN}')) + len(regexp_extract_all(text, '(?i){fixed.PERIOD_PATTERN}')) as n,
+    greatest(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')), 1) as w from st)
+    select id, printf('%.1f concrete markers / 100 words', n / w * 100.0::double + 1e-9) as shown from k"""
+)
+def q_marker_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.statements(spark, sf_dir).select("id", X.marker_evidence(F.col("text"))[2].alias("shown"))
+
+
+_YEARS = {
+    2023: '<a href="/newsevents/speech/cook20230216a.htm">z</a><a href="/newsevents/speech/barr20230704a.htm">x</a>',
+    2024: '<a href="/newsevents/speech/powell20240301a.htm">x</a><a href="/newsevents/speech/barr20230704a.htm">x</a><a href="/newsevents/speech/cook20240613a.htm">z</a>',
+}
+
+
+@REGISTRY.query(
+    f"""with {V.CALENDAR}, l as (select * from (values ('/newsevents/speech/barr20230704a.htm', date '2023-07-04'), ('/newsevents/speech/cook20240613a.htm', date '2024-06-13'),
+    ('/newsevents/speech/powell20240301a.htm', date '2024-03-01')) t(url, date))
+    select url, l.date, cal."window", next_event, days_to_event from l join cal on l.date = cal.day"""
+)
+def q_planned_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dry run over the union of two years' index pages, from mid-2023 on."""
+    indexes = {year: spark.createDataFrame([(page,)], "html string") for year, page in _YEARS.items()}
+    return H.planned(H.year_links(indexes), meetings(spark), "2023-06-01", 400).drop("speaker")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learn, studies
+from ..operators import learn, studies, worldstudies
 from ..operators import validate as S
 from . import views as V
 from .anomaly_queries import _EV, _covered
@@ -253,6 +253,16 @@ def q_abc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.histogram(em, "f0", 12, -1.0, 1.0).select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n", F.round("p", 6).alias("p"))
 
 
+@REGISTRY.query(
+    f"""with {_NEAR}, q as (select * from cn where id % 3 = 0), r as (select speaker, value, k, {_rank('value', 'speaker')} as rx, {_rank('k', 'speaker')} as ry from q)
+    select speaker, round(case when count(*) >= 6 and stddev_pop(value) >= 1e-12 and stddev_pop(k) >= 1e-12 then corr(rx, ry) end, 6) as rho from r group by 1"""
+)
+def q_rho_of_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation within speakers, null under six rows or without variation (every third event, so that some have few)."""
+    some = _constrained(spark, sf_dir).where("id % 3 = 0")
+    return worldstudies.rho(some, "value", "k", ["speaker"]).select("speaker", F.round("rho", 6).alias("rho"))
+
+
 @REGISTRY.query(
     f"""with {V.LABELLED}, o as (select doc_id, source, cast(sum(toxic) over (partition by source) - toxic as double) / nullif(count(*) over (partition by source) - 1, 0) as p, toxic from lb)
     select doc_id, round(p, 6) as p from o"""

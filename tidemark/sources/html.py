@@ -62,3 +62,23 @@ def ingest(records: DataFrame, calendar: DataFrame, since: str, limit: int, min_
     recent = records.where(F.col("date") >= F.to_date(F.lit(since))).orderBy("date", "id").limit(limit)
     labelled = label_windows(recent, "date", calendar).where("window <> 'out_of_coverage'")
     return labelled.where(word_count(F.col("text")) >= min_words).withColumn("text", F.substring("text", 1, 24_000))
+
+
+def year_links(indexes: dict[int, DataFrame], base: str = "") -> DataFrame:
+    """The transcript links of several years' index pages, one after the other, each link once."""
+    every = None
+    for year in sorted(indexes):
+        one = permalinks(indexes[year], base=base)
+        every = one if every is None else every.unionByName(one)
+    if every is None:
+        raise ValueError("no index pages")
+    return every.dropDuplicates(["url"]).orderBy("date", "url")
+
+
+def planned(found: DataFrame, calendar: DataFrame, since: str, limit: int) -> DataFrame:
+    """What an ingest would fetch (a dry run): the first ``limit`` links since a date, labelled, without reading a page."""
+    from ..operators.calendar import label_windows
+
+    recent = found.where(F.col("date") >= F.to_date(F.lit(since))).orderBy("date", "url").limit(limit)
+    labelled = label_windows(recent, "date", calendar).where("window <> 'out_of_coverage'")
+    return labelled.select("url", "date", "speaker", "window", "next_event", "days_to_event")
