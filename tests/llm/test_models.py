@@ -197,17 +197,30 @@ def test_scores_do_not_depend_on_partitions_or_batches(spark, docs):
     assert found[0].keys() == found[1].keys() and all(math.isclose(found[0][d], found[1][d], rel_tol=1e-9) for d in found[0])
 
 
-def test_no_context_is_lost_to_a_taken_slot(monkeypatch):
-    monkeypatch.setattr(ctw.Shape, "_BITS", 9)  # far more crowded than usual
+def test_every_context_is_found(monkeypatch):
     rng = np.random.default_rng(4)
-    fours = np.unique(rng.integers(0, ctw.BASE * ctw.FAR, 300))
-    fives = np.unique(fours[rng.integers(0, len(fours), 200)] * ctw.FAR + rng.integers(0, ctw.FAR, 200))
-    shape = ctw.Shape(np.repeat([4, 5], [len(fours), len(fives)]), np.concatenate([fours, fives]))
-    assert len(shape.codes) == len(fours) + len(fives)
-    for d, codes in ((4, fours), (5, fives)):
-        assert (shape.known[shape._find(d, codes)] == codes).all()
-    absent = np.setdiff1d(rng.integers(0, ctw.BASE * ctw.FAR, 1000), fours)
-    assert (shape.known[shape._find(4, absent)] != absent).all()
+    texts = [bytes(rng.choice(list(b"ab c\n"), 300).tolist()) for _ in range(5)]
+    data, base, far, at, _ = ctw.contexts_of(texts)
+    codes, levels = {}, base.astype(np.int64)
+    for d in range(4, ctw.DEPTH + 1):
+        levels = levels * ctw.FAR + far[at - d]
+        codes[d] = levels
+    depths = np.concatenate([np.full(len(np.unique(c)), d) for d, c in codes.items()])
+    every = np.concatenate([np.unique(c) for c in codes.values()])
+    keep = rng.random(len(every)) < 0.7
+    shape = ctw.Shape(depths[keep], every[keep])
+    known = {(int(d), int(c)): ctw.BASE + i for i, (d, c) in enumerate(zip(shape.depths, shape.codes))}
+    assert set(known) <= set(zip(depths[keep].tolist(), every[keep].tolist()))
+    got = shape.rows(base, far, at)
+    for i in range(len(at)):
+        want = int(base[i])
+        for d in range(4, ctw.DEPTH + 1):
+            if (d, int(codes[d][i])) not in known:
+                break
+            want = known[(d, int(codes[d][i]))]
+        assert got[i] == want
+    for i, (d, c) in enumerate(zip(shape.depths.tolist(), shape.codes.tolist())):
+        assert shape.parents[i] == (c // ctw.FAR if d == 4 else known[(d - 1, c // ctw.FAR)] - ctw.BASE)
 
 
 def test_language_scores_edges(frame):
@@ -400,6 +413,40 @@ def test_toxicity_does_not_depend_on_partitions(larger):
     assert found[0].keys() == found[1].keys() and all(math.isclose(found[0][d], found[1][d], abs_tol=1e-9) for d in found[0])
 
 
+def test_toxicity_scores_against_plain_python(larger):
+    """Words, beginnings and votes read from each text anew, without the product's classes."""
+    docs, labels = larger
+    model = toxicity.train(docs, labels)
+    a, b = model.calibration
+    lexicon = set(model.voters.lexicon)
+    marks = {chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()}
+    n_voters = 10 + 16 + 3
+
+    def plain(text):
+        words = "".join(" " if c in marks else c for c in (text or "").lower()).encode().split()
+        ids, hits = set(), Counter()
+        for w in words:
+            shown = w.decode("utf-8", "replace")
+            names = [b"w:" + w] + [b"p:" + shown[:n].encode() for n in (4, 5, 6) if len(shown) > n]
+            ids |= {zlib.crc32(f) % 32768 for f in names}
+            if w.decode("utf-8", "replace") in toxicity.INSULTS:
+                hits[toxicity.INSULTS.index(w.decode())] += 1
+            for f in names:
+                if f in lexicon:
+                    hits[10 + zlib.crc32(b"voter" + f) % 16] += 1
+        total, votes = sum(hits.values()), {v: 1 for v in hits}
+        votes[26] = 1 if total >= 2 else -1 if not total else 0
+        votes[27] = int(bool(total) and total >= 0.02 * len(words))
+        votes[28] = 1 if len(hits) >= 2 else -1 if not total and len(words) >= 20 else 0
+        z = sum(model.weight[i] for i in ids) / math.sqrt(max(len(ids), 1)) + model.bias
+        z += sum(model.weight[32768 + 2 * v + (x > 0)] for v, x in votes.items() if x)
+        assert max(votes) < n_voters
+        return 1 / (1 + math.exp(-min(30, max(-30, a * z + b))))
+
+    for r in toxicity.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert math.isclose(r["score"], plain(r["text"]), abs_tol=1e-9) and r["predicted"] == (r["score"] >= 0.3)
+
+
 def test_toxicity_edges(spark, frame):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(frame([(1, "a")]), none)

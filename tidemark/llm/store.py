@@ -2,8 +2,10 @@
 
 Every cut of a lineage is a Parquet table in the folder that the cluster names
 in ``spark.checkpoint.dir``: all executors share it, so a lost executor costs a
-recomputation of its tasks only.  Where the setting is unset (tests, a laptop)
-a temporary folder is set once for the session.
+recomputation of its tasks only.  Where the setting is unset a temporary folder
+is set once for the session, which only a local master can share with its
+executors: anything else is an error.  The tables of an application lie in one
+folder, which goes when the driver ends.
 """
 
 from __future__ import annotations
@@ -18,13 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/tidemark-{sc.applicationId}"
+    if getattr(sc, "_tidemark_folder", None) != folder:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        sc._tidemark_folder = folder
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
