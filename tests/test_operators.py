@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import baseline as B
 from tidemark.operators import calendar as C
 from tidemark.operators import game as G
+from tidemark.operators import generate as N
 from tidemark.operators import langmodel as L
 from tidemark.operators import learn, studies
 from tidemark.operators import lexical as X
@@ -163,10 +164,10 @@ def test_game(spark):
 
 
 def test_simulated_worlds(spark):
-    world = G.simulate(spark, 3)
+    world = N.simulate(spark, 3)
     assert world.count() == 3 * 14 * 9
-    assert world.exceptAll(G.simulate(spark, 3).repartition(5)).isEmpty()
-    honest = G.simulate(spark, 2, population={"null": 1.0})
+    assert world.exceptAll(N.simulate(spark, 3).repartition(5)).isEmpty()
+    honest = N.simulate(spark, 2, population={"null": 1.0})
     assert honest.agg(F.max("theta_held")).first()[0] == 0
 
 
@@ -178,10 +179,32 @@ def test_logistic(spark):
     q = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.allclose(w + x.T @ (q - y), 0, atol=1e-6) and abs((q - y).sum()) < 1e-6
     rows = [(i, i % 6, float(t), float(a), float(c)) for i, (t, (a, c)) in enumerate(zip(y, x))]
-    report = learn.cv_report(learn.grouped_cv(spark.createDataFrame(rows, "id int, g int, y double, a double, b double"), "id", "g", "y", ["a", "b"]))
+    df = spark.createDataFrame(rows, "id int, g int, y double, a double, b double").repartition(3)
+    oof = learn.grouped_cv(df, "id", "g", "y", ["a", "b"]).collect()
+    g = np.arange(60) % 6
+    for r in oof:
+        model = learn.fit_scaled(x[g != r["grp"]], y[g != r["grp"]], r["c"])
+        assert r["p"] == pytest.approx(float(learn.predicted(model, x[[r["id"]]])[0]), abs=1e-6)
+    assert len(oof) == 60 * len(learn.C_GRID)
+    report = learn.cv_report(spark.createDataFrame(oof))
     assert report.agg(F.min("auc")).first()[0] > 0.9
 
 
+def test_leave_one_out(spark):
+    rows = [(i, i % 4, float(i % 3), float((i * 7) % 5)) for i in range(24)]
+    df = spark.createDataFrame(rows, "id int, g int, y double, x double")
+    mean = {r["id"]: r["m"] for r in learn.leave_one_out_mean(df, "y", "m", ["g"]).collect()}
+    for i, g, _, _ in rows:
+        assert mean[i] == pytest.approx(np.mean([y for j, h, y, _ in rows if h == g and j != i]))
+    fit = lambda x, y: np.linalg.lstsq(np.column_stack([x, np.ones(len(x))]), y, rcond=None)[0]
+    predict = lambda m, x: x @ m[:-1] + m[-1]
+    got = {r["id"]: r["predicted"] for r in learn.leave_one_out_predict(df, "id", "id", ["x"], "y", fit, predict).collect()}
+    x, y = np.array([[r[3]] for r in rows]), np.array([r[2] for r in rows])
+    for i in range(24):
+        own = np.arange(24) != i
+        assert got[i] == pytest.approx(float(predict(fit(x[own], y[own]), x[[i]])[0]))
+
+
 def test_html_body_and_title(spark):
     page = '<html><head><title> A   title\n</title></head><nav>menu</nav><div class="x">skip</div><div class="col col-xs-12 y"><p>One&nbsp;two &mdash; three</p><script>no()</script></div>'
     row = spark.createDataFrame([(page,)], "h string").select(H.strip_html(F.col("h")).alias("t"), H.title(F.col("h")).alias("n"), H.title(F.lit("<p>")).alias("none")).first()
