@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ALPHA, MIN_SD, MIN_TOKENS
+from .lineage import cut
 
 
 def tokens(text: Column) -> Column:
@@ -106,7 +107,8 @@ def surprisal(statements: DataFrame, text: str = "text", alpha: float = ALPHA, m
     """
     keys = [*world, "id", "speaker", "window"]
     speakers = modelled_speakers(statements, world)
-    found = statement_surprise(with_probabilities(term_counts(statements, keys, text), speakers, alpha, world), keys)
+    # One narrow row for each statement, read twice below.
+    found = cut(statement_surprise(with_probabilities(term_counts(statements, keys, text), speakers, alpha, world), keys))
     each = statements.select(*keys).join(speakers, [*world, "speaker"], "left_semi").join(found, keys, "left").withColumn("ce", F.coalesce("ce", F.lit(0.0)))
     joined = each.join(baseline_entropy(each, world), [*world, "speaker"], "left")
     short = F.coalesce("n_tokens", F.lit(0)) < min_tokens

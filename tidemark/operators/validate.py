@@ -114,28 +114,35 @@ def shuffle_key(rep: Column, row_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("-", rep.cast("string"), row_id.cast("string"), F.lit(str(seed))))
 
 
-#: Hexadecimal digits of a hash that cut a replicate into parts.
-_PART_DIGITS = 2
+#: A replicate of so many rows is cut into 16 parts by its hashes, of 16 times as many into 256.
+_PART_ROWS = 4096
 
 
 def permuted(df: DataFrame, fixed: list[str], value: str, row_id: str, n_perm: int, block: list[str] | None = None, seed: int = 7) -> DataFrame:
     """``(_perm, *block, *fixed, shuffled)``: ``value`` shuffled over the rows (of each block) for every replicate.
 
     A row's value moves to the place that its hash has among the hashes of the
-    replicate.  Places are found part by part (the leading digits of the hash),
-    so a replicate is never one task's sort; the places of the rows are found
-    once, not in every replicate.
+    replicate.  In large tables and blocks places are found part by part (the
+    leading digits of the hash), so a replicate is never one task's sort; the
+    places of the rows are found once, not in every replicate.
     """
     keys = block or []
     reps = df.sparkSession.range(n_perm).withColumnRenamed("id", "_perm")
     numbered = positions(df.select(*keys, row_id, *fixed, value), row_id, "_slot", keys)
-    drawn = numbered.select(*keys, row_id, F.col(value).alias("shuffled")).crossJoin(F.broadcast(reps)).withColumn("_h", shuffle_key(F.col("_perm"), F.col(row_id), seed))
-    drawn = drawn.withColumn("_part", F.substring("_h", 1, _PART_DIGITS))
+    own_rows = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    sized = numbered.join(own_rows, keys) if keys else numbered.crossJoin(F.broadcast(own_rows))
+    digits = F.when(F.col("_rows") > 16 * _PART_ROWS, 2).when(F.col("_rows") > _PART_ROWS, 1).otherwise(0)
+    # Sixteen digits order as well as all of them: eight bytes move.
+    hashed = sized.select(*keys, row_id, F.col(value).alias("shuffled"), digits.alias("_digits")).crossJoin(F.broadcast(reps))
+    drawn = hashed.withColumn("_md5", shuffle_key(F.col("_perm"), F.col(row_id), seed)).select(
+        "_perm", *keys, row_id, "shuffled", F.substring("_md5", F.lit(1), F.col("_digits")).alias("_part"), F.unhex(F.substring("_md5", 1, 16)).alias("_h")
+    )
     counts = drawn.groupBy("_perm", *keys, "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_perm", *keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_perm", *keys, "_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    starts = counts.select("_perm", *keys, "_part", F.coalesce(before, F.lit(0)).alias("_start")).where("_start > 0")
     own = F.row_number().over(Window.partitionBy("_perm", *keys, "_part").orderBy("_h", row_id))
-    placed = drawn.withColumn("_own", own).join(starts, ["_perm", *keys, "_part"]).select("_perm", *keys, "shuffled", (F.col("_start") + F.col("_own")).alias("_slot"))
+    placed = drawn.withColumn("_own", own).join(starts, ["_perm", *keys, "_part"], "left")
+    placed = placed.select("_perm", *keys, "shuffled", (F.coalesce("_start", F.lit(0)) + F.col("_own")).alias("_slot"))
     return placed.join(numbered.select(*keys, "_slot", *fixed), [*keys, "_slot"]).drop("_slot")
 
 
