@@ -321,3 +321,24 @@ def test_values_in_many_repositories_are_copied(spark):
     rows = [(i, "token=AAAAbbbb1111", "one", f"l{i}") for i in range(5)] + [(9, "token=CCCCdddd2222", "one", "en")]
     got = {r["doc_id"]: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
     assert got[0]["n_copied"] == 1 and got[0]["most_owners"] == 1 and got[0]["most_repositories"] == 5 and got[9]["n_live"] == 1
+
+
+def test_fingerprint_tasks_follow_the_passages_in_every_try(frame, monkeypatch):
+    """Tries after the first kept neither the tasks nor their size; plain grouping columns claim a page of memory in each nested step."""
+    tries, keep = [], iblt.written
+
+    def record(df, label, *more):
+        if label == "peeled":
+            tries.append((df.rdd.getNumPartitions(), df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, label, *more)
+
+    monkeypatch.setattr(iblt, "TASK_DIGESTS", 40)
+    monkeypatch.setattr(iblt, "CELLS", 6)
+    monkeypatch.setattr(iblt, "written", record)
+    monkeypatch.setattr(iblt.differences, "__defaults__", (6, iblt.STEPS))
+    rows = [(i, "\n".join(f"passage {i} {j}." for j in range(12))) for i in range(60)]
+    assert iblt.edited_pairs(frame(rows)).count() == 60
+    assert len(tries) > 1
+    for parts, plan in tries:
+        assert parts >= 50
+        assert "keys=[row" in plan and "__cell" in plan

@@ -10,9 +10,11 @@ twice.  Pairs whose cells do not all come to nothing are tried again with a
 larger sketch that has room for every passage of both sides.
 
 Cells are rows, dealt by document once; every sketch, subtraction and peeling
-step groups by document and cell and so needs no further exchange.  A
-document's cells lie in one task (they are as many as its passages); nothing is
-gathered over documents.
+step of every try groups by document and cell and so needs no further exchange.
+A document's cells lie in one task (they are as many as its passages); nothing
+is gathered over documents.  Tasks are sized by the passages they hold, and
+cells are grouped by a structure: for plain columns each of the nested
+aggregations of a task would claim a page of memory (64 MB) beforehand.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ _PASSAGE = rf"[^\n]{{1,{PASSAGE_CHARS}}}[^\n.!?]*[.!?]?"
 #: Rows of one range of ids, about; quantiles that cut the ids into segments of ranges.
 RANGE_ROWS = 1024
 QUANTILES = 256
-#: Documents whose cells are dealt to one task, about.
-TASK_ROWS = 8192
+#: Passage digests, of a text, its edited version and the next one, whose cells are dealt to one task, about.
+TASK_DIGESTS = 200_000
 
 
 def digests(text: Column) -> Column:
@@ -56,10 +58,15 @@ def _cell(i: Column, digest: Column, third: Column) -> Column:
 
 
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Add up entries cell by cell; cells that come to nothing go (markers, below zero, stay)."""
+    """Add up entries cell by cell; cells that come to nothing go (markers, below zero, stay).
+
+    The first key, by which rows are dealt, is grouped by as it is, the others as one structure.
+    """
+    inner = [*keys[1:], "c"]
     return (
-        rows.groupBy(*keys, "c")
+        rows.groupBy(keys[0], F.struct(*inner).alias("__cell"))
         .agg(F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("k").alias("k"))
+        .select(keys[0], *[F.col("__cell")[x].alias(x) for x in inner], "n", "d", "k")
         .where("c < 0 or n <> 0 or d <> 0 or k <> 0")
     )
 
@@ -135,7 +142,9 @@ def differences(pairs: DataFrame, key: str, cells: int = CELLS, steps: int = STE
         if failed.isEmpty():
             break
         room = F.size("a") + F.size("b") + F.lit(8)
-        todo = todo.join(failed, keys, "left_semi").withColumn("third", (room * F.lit(2**attempt)).cast("int"))
+        # Joined by the key alone, the digests stay in the tasks they were dealt to.
+        again = failed.groupBy(key).agg(F.collect_set("pair").alias("__again"))
+        todo = todo.join(again, key).where(F.array_contains("__again", F.col("pair"))).drop("__again").withColumn("third", (room * F.lit(2**attempt)).cast("int"))
     else:
         raise RuntimeError("sketches did not peel")
     out = done[0]
@@ -266,9 +275,11 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ends = first_pass.where("is_last").select("doc_id", "range", "text").join(after, "range").join(firsts, "next_range")
     columns = ["doc_id", "n_chars", "edited_sha256", "own", "edit", "next"]
     every = first_pass.where("not is_last").select(*columns).unionByName(measured(ends.select("doc_id", "text", "following"), []))
-    base = written(every.withColumn("row", F.monotonically_increasing_id()), "digests")
+    held = F.size("own") + F.size("edit") + F.size("next")
+    base = written(every.withColumn("row", F.monotonically_increasing_id()).withColumn("held", held), "digests")
 
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+    n_digests = base.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_digests // TASK_DIGESTS))
     dealt = base.repartition(tasks, "row")
     pairs = dealt.select(
         "row",
