@@ -250,3 +250,17 @@ def test_speakers_needed_branches(spark):
     assert status([(4, 0.0), (8, 0.01), (9, 0.0)]) == "no_power"
     assert status([(4, 0.3), (8, 0.2), (9, 0.1)]) == "power_not_increasing"
     assert status([(4, 0.1), (9, 0.3), (16, 0.5)]) == "ok"
+
+
+def test_surprise_is_the_same_for_broadcast_and_joined_words(spark):
+    """Frequent pairs of speaker and word are looked up, rare ones joined; rows of the same keys are one statement."""
+    rows = [(i, f"s{i % 3}", "constrained" if i % 5 == 0 else "baseline", " ".join(f"w{'abcdefghij'[(i * j) % 10]}" for j in range(i % 7 + 1))) for i in range(40)]
+    rows += [(3, "s0", "baseline", "wa later wa"), (90, "alone", "baseline", "wa"), (91, None, "baseline", "wa wb"), (92, "s1", "constrained", None)]
+    st = spark.createDataFrame(rows, "id int, speaker string, window string, text string")
+    speakers = L.speaker_totals(st)
+    found = [{tuple(r[:3]): tuple(r[3:]) for r in L.statement_surprise(st, speakers, head=h).collect()} for h in (1, 20, 1 << 18)]
+    assert found[0].keys() == found[1].keys() == found[2].keys()
+    assert len(found[0]) == 40 and ("s0", 3, "baseline") in found[0]
+    assert found[0][("s0", 3, "baseline")][0] == 4 + 3
+    for k, v in found[0].items():
+        assert v == pytest.approx(found[1][k], abs=1e-12) and v == pytest.approx(found[2][k], abs=1e-12)

@@ -1,10 +1,11 @@
 """Per-speaker Dirichlet-smoothed unigram language models, surprisal and divergences.
 
-Counts, not tokens, move: tokens are summed to ``(statement, word)`` before the
-first shuffle.  The speaker and background tables are aggregates of that; they
-meet on the level of ``(speaker, word)``, so the statements' words are joined
-once (an equi-join whose hot keys the planner may split), and one exchange by
-statement serves both the support totals (a window) and the final sums.
+Counts, not tokens, move: tokens are summed to ``(speaker, word)`` before the
+first shuffle, and meet their background counts there.  A statement lies in one
+row, so its own counts need no shuffle.  Pairs of speaker and word that make up
+at least ``1 / HEAD`` of all tokens are at most ``HEAD`` pairs and are broadcast;
+only the other words of a statement meet their probabilities in an equi-join, in
+which no key is hot for that reason, and come back as one list a statement.
 
 ``world`` names leading columns (a simulated replicate, a grid point): each world
 has its own background and speakers.
@@ -12,14 +13,20 @@ has its own background and speakers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ALPHA, MIN_SD, MIN_TOKENS
 from .lineage import cut
 
+#: A pair of speaker and word is broadcast if it makes up at least one in so many tokens (so there are at most so many).
+HEAD = 1 << 18
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
@@ -44,42 +51,134 @@ def modelled_speakers(statements: DataFrame, world: Sequence[str] = (), min_stat
 
 def speaker_counts(terms: DataFrame, speakers: DataFrame, world: Sequence[str] = ()) -> DataFrame:
     """``(*world, speaker, word, c_s)`` over baseline statements of the modelled speakers."""
-    base = terms.where("window = 'baseline'").join(speakers, [*world, "speaker"], "left_semi")
-    return base.groupBy(*world, "speaker", "word").agg(F.sum("c").alias("c_s"))
+    base = terms.where("window = 'baseline'").groupBy(*world, "speaker", "word").agg(F.sum("c").alias("c_s"))
+    return base.join(small(speakers), [*world, "speaker"], "left_semi")
+
+
+def models_and_background(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(speaker, word, c_s)`` of modelled speakers and ``(word, c_bg)``, from one count of each speaker's words."""
+    used = cut(word_counts(statements))
+    models = used.where("c_s is not null").join(small(modelled_speakers(statements)), "speaker", "left_semi").select("speaker", "word", "c_s")
+    return models, used.groupBy("word").agg(F.sum("c_all").alias("c_bg"))
 
 
 def background_probability() -> Column:
     return (F.coalesce("c_bg", F.lit(0)) + 0.5) / (F.col("n_bg") + 0.5 * F.col("v_bg") + 1)
 
 
-def with_probabilities(terms: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = ()) -> DataFrame:
-    """``terms`` of modelled speakers plus ``c_s`` (null if the speaker's baseline never used the word) and ``p``."""
-    who = [*world, "speaker"]
-    used = terms.groupBy(*who, "word").agg(F.sum(F.when(F.col("window") == "baseline", F.col("c"))).alias("c_s"), F.sum("c").alias("_all"))
-    bg = used.groupBy(*world, "word").agg(F.sum("_all").alias("c_bg"))
-    shape = bg.groupBy(*world).agg(F.sum("c_bg").alias("n_bg"), F.count("*").alias("v_bg"))
-    own = used.join(speakers, who, "left_semi")
-    totals = own.groupBy(*who).agg(F.coalesce(F.sum("c_s"), F.lit(0)).alias("n_s"))
-    known = own.join(bg, [*world, "word"]).join(totals, who)
-    known = known.join(shape, list(world)) if world else known.crossJoin(F.broadcast(shape))  # one row
+def word_counts(statements: DataFrame, world: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """``(*world, speaker, word, c_s, c_all)``: uses in baseline statements (null if none) and in all."""
+    words = statements.select(*world, "speaker", "window", F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
+    return words.groupBy(*world, "speaker", "word").agg(F.nullif(F.count_if(F.col("window") == "baseline"), F.lit(0)).alias("c_s"), F.count("*").alias("c_all"))
+
+
+def small(df: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """``df`` cut and, if it has at most ``most`` rows, marked for broadcasting: a table by speaker is not shuffled against."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= most else held
+
+
+def speaker_totals(statements: DataFrame, world: Sequence[str] = (), text: str = "text", min_statements: int = 2) -> DataFrame:
+    """``(*world, speaker, n_s)`` of modelled speakers: tokens of their baseline statements."""
+    base = statements.where("window = 'baseline'").where(F.col("speaker").isNotNull())
+    size = F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long")
+    return base.groupBy(*world, "speaker").agg(F.count("*").alias("_n"), F.sum(size).alias("n_s")).where(F.col("_n") >= min_statements).drop("_n")
+
+
+def probabilities(statements: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """``(*world, speaker, word, c_all, novel, p)`` of every word that a modelled speaker uses; ``speakers`` has ``n_s``."""
+    same = Window.partitionBy(*world, "word")
+    used = word_counts(statements, world, text)
+    every = cut(used.withColumn("c_bg", F.sum("c_all").over(same)).withColumn("_first", F.row_number().over(same.orderBy("speaker")) == 1))
+    sums = [F.sum("c_all").alias("n_bg"), F.count_if("_first").alias("v_bg")]
+    known = every.join(speakers, [*world, "speaker"])
+    known = known.join(small(every.groupBy(*world).agg(*sums)), list(world)) if world else known.crossJoin(F.broadcast(every.agg(*sums)))  # one row
     p = (F.coalesce("c_s", F.lit(0)) + alpha * background_probability()) / (F.col("n_s") + alpha)
-    return terms.join(known.select(*who, "word", "c_s", p.alias("p")), [*who, "word"]).select(*terms.columns, "c_s", "p")
-
-
-def statement_surprise(scored: DataFrame, keys: Sequence[str] = ("id", "speaker", "window")) -> DataFrame:
-    """One row for each statement with tokens: their number, cross-entropy, KL, JSD (bits) and novel rate."""
-    own = Window.partitionBy(*keys)
-    q = F.col("c") / F.col("n")
-    pp = F.col("p") / F.col("mass")
-    m = (q + pp) / 2
-    seen = scored.withColumn("n", F.sum("c").over(own)).withColumn("mass", F.sum("p").over(own))
-    return seen.groupBy(*keys).agg(
-        F.first("n").alias("n_tokens"),
-        (-F.sum(F.col("c") * F.log2("p")) / F.first("n")).alias("ce"),
-        F.sum(q * F.log2(q / pp)).alias("kl"),
-        (F.sum(q * F.log2(q / m)) / 2 + F.sum(pp * F.log2(pp / m)) / 2).alias("jsd"),
-        (F.sum(F.when(F.col("c_s").isNull(), F.col("c")).otherwise(0)) / F.first("n")).alias("novel"),
-    )
+    return known.select(*world, "speaker", "word", "c_all", F.col("c_s").isNull().alias("novel"), p.alias("p"))
+
+
+def _dealt(shared, n_keys: int, n_who: int, names: list[str]):
+    """Batches of ``(*keys, words)`` -> counts and probabilities of frequent pairs, words and counts of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, p, novel = shared.value
+        for batch in batches:
+            who = zip(*[batch.column(i).to_pylist() for i in range(n_who)], strict=True)
+            own: list[tuple] = []
+            for w, text in zip(who, batch.column(n_keys).to_pylist(), strict=True):
+                counts = Counter(text.split(" ")) if text else Counter()
+                place = places.get(w, {})
+                at = np.fromiter((place.get(x, -1) for x in counts), dtype=np.int64, count=len(counts))
+                c = np.fromiter(counts.values(), dtype=np.int32, count=len(counts))
+                held = at >= 0
+                rest = [x for x, h in zip(counts, held.tolist(), strict=True) if not h]
+                own.append((int(c[held & novel[at]].sum()), c[held].tobytes(), p[at[held]].tobytes(), " ".join(rest), c[~held].tolist()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.int32()))
+            made = [pa.array([x[i] for x in own], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], *made], names=names)
+
+    return run
+
+
+def _surprised(n_keys: int, names: list[str]):
+    """Batches of ``(*keys, novel, c, p, rare_novel, rare_c, rare_p)`` -> the measures of each statement with tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, out = [], []
+            columns = [batch.column(n_keys + i).to_pylist() for i in range(6)]
+            for i, (novel, c, p, rare_novel, rare_c, rare_p) in enumerate(zip(*columns, strict=True)):
+                c = np.concatenate((np.frombuffer(c, dtype=np.int32), np.array(rare_c or [], dtype=np.int32))).astype(float)
+                if not len(c):
+                    continue
+                p = np.concatenate((np.frombuffer(p, dtype=float), np.array(rare_p or [], dtype=float)))
+                n = c.sum()
+                q, pp = c / n, p / p.sum()
+                m = (q + pp) / 2
+                ce = -(c * np.log2(p)).sum() / n
+                jsd = (q * np.log2(q / m)).sum() / 2 + (pp * np.log2(pp / m)).sum() / 2
+                kept.append(i)
+                out.append((int(n), ce, (q * np.log2(q / pp)).sum(), jsd, (novel + (rare_novel or 0)) / n))
+            keys = [batch.column(i).take(pa.array(kept, pa.int64())) for i in range(n_keys)]
+            made = [pa.array([float(x[i]) if i else x[0] for x in out], pa.float64() if i else pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([*keys, *made], names=names)
+
+    return run
+
+
+def statement_surprise(statements: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = (), text: str = "text", head: int = HEAD) -> DataFrame:
+    """One row for each statement with tokens of a modelled speaker: their number, cross-entropy, KL, JSD (bits) and novel rate.
+
+    Rows of the same keys are one statement.
+    """
+    who = [*world, "speaker"]
+    keys = [*who, "id", "window"]
+    kinds = {f.name: f.dataType.simpleString() for f in statements.select(*keys).schema.fields}
+    given = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    known = probabilities(statements, speakers, alpha, world, text)
+    total = known.agg(F.coalesce(F.sum("c_all"), F.lit(0))).first()[0]
+    least = max(1, -(-total // head))
+    often = known.where(F.col("c_all") >= least).select(*who, "word", "p", "novel").toArrow()
+    places: dict[tuple, dict[str, int]] = {}
+    for i, (word, *w) in enumerate(zip(often["word"].to_pylist(), *[often[x].to_pylist() for x in who], strict=True)):
+        places.setdefault(tuple(w), {})[word] = i
+    # One more, for the place -1 of words that are not there.
+    shared = statements.sparkSession.sparkContext.broadcast((places, often["p"].to_numpy(), np.append(often["novel"].to_numpy().astype(bool), False)))
+    words = F.array_join(tokens(F.coalesce(F.col(text), F.lit(""))), " ")
+    plain = statements.select(*keys, words.alias("_words"))
+    if not statements.groupBy(*keys).count().where("count > 1").isEmpty():
+        plain = plain.groupBy(*keys).agg(F.trim(F.array_join(F.collect_list("_words"), " ")).alias("_words"))
+        plain = plain.withColumn("_words", F.regexp_replace("_words", " +", " "))
+    names = [*keys, "_novel", "_c", "_p", "_rare", "_rare_c"]
+    dealt = plain.mapInArrow(_dealt(shared, len(keys), len(who), names), f"{given}, _novel long, _c binary, _p binary, _rare string, _rare_c array<int>")
+    held = cut(dealt.withColumn("_row", F.monotonically_increasing_id()))
+    pairs = F.explode(F.arrays_zip(F.split("_rare", " ").alias("w"), F.col("_rare_c").alias("c")))
+    asked = held.where("_rare <> ''").select("_row", *who, pairs.alias("x")).select("_row", *who, F.col("x.w").alias("word"), F.col("x.c").alias("c"))
+    met = asked.join(known.where(F.col("c_all") < least).drop("c_all"), [*who, "word"])
+    rare = met.groupBy("_row").agg(F.sum(F.when(F.col("novel"), F.col("c")).otherwise(0)).alias("_rn"), F.collect_list("c").alias("_rc"), F.collect_list("p").alias("_rp"))
+    joined = held.drop("_rare", "_rare_c").join(speakers, who, "left_semi").join(rare, "_row", "left").select(*keys, "_novel", "_c", "_p", "_rn", "_rc", "_rp")
+    measures = ["n_tokens", "ce", "kl", "jsd", "novel"]
+    return joined.mapInArrow(_surprised(len(keys), [*keys, *measures]), f"{given}, n_tokens long, ce double, kl double, jsd double, novel double")
 
 
 def baseline_entropy(surprise: DataFrame, world: Sequence[str] = ()) -> DataFrame:
@@ -89,28 +188,38 @@ def baseline_entropy(surprise: DataFrame, world: Sequence[str] = ()) -> DataFram
     )
 
 
+def _each(statements: DataFrame, world: Sequence[str], text: str, alpha: float) -> DataFrame:
+    """One row for each statement of a modelled speaker with its measures; no tokens: cross-entropy zero."""
+    keys = [*world, "id", "speaker", "window"]
+    speakers = small(speaker_totals(statements, world, text))
+    # One narrow row for each statement, read twice.
+    found = cut(statement_surprise(statements, speakers, alpha, world, text))
+    return statements.select(*keys).join(speakers, [*world, "speaker"], "left_semi").join(found, keys, "left").withColumn("ce", F.coalesce("ce", F.lit(0.0)))
+
+
 def baseline_entropy_table(statements: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """``(speaker, baseline_ce, baseline_ce_sd)`` of every modelled speaker."""
-    keys = ["id", "speaker", "window"]
-    speakers = modelled_speakers(statements)
-    found = statement_surprise(with_probabilities(term_counts(statements, keys, text), speakers, alpha), keys)
-    each = statements.select(*keys).join(speakers, "speaker", "left_semi").join(found, keys, "left").withColumn("ce", F.coalesce("ce", F.lit(0.0)))
-    return baseline_entropy(each)
+    return baseline_entropy(_each(statements, (), text, alpha))
 
 
 def surprisal(statements: DataFrame, text: str = "text", alpha: float = ALPHA, min_tokens: int = MIN_TOKENS, world: Sequence[str] = ()) -> DataFrame:
-    """``*world, id, speaker, window, n_tokens, cross_entropy, baseline_ce, surprisal_z, kl, jsd, novel_rate, insufficient``.
+    """The measures of :func:`surprisal_and_entropy`."""
+    return surprisal_and_entropy(statements, text, alpha, min_tokens, world)[0]
+
+
+def surprisal_and_entropy(
+    statements: DataFrame, text: str = "text", alpha: float = ALPHA, min_tokens: int = MIN_TOKENS, world: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """The speakers' baseline entropies second; first ``*world, id, speaker, window, n_tokens, cross_entropy, baseline_ce, surprisal_z, kl, jsd, novel_rate, insufficient``.
 
     Statements of speakers without a model, or under ``min_tokens`` tokens, get z
     zero and are flagged; a statement without tokens has cross-entropy zero in
     its speaker's baseline.
     """
     keys = [*world, "id", "speaker", "window"]
-    speakers = modelled_speakers(statements, world)
-    # One narrow row for each statement, read twice below.
-    found = cut(statement_surprise(with_probabilities(term_counts(statements, keys, text), speakers, alpha, world), keys))
-    each = statements.select(*keys).join(speakers, [*world, "speaker"], "left_semi").join(found, keys, "left").withColumn("ce", F.coalesce("ce", F.lit(0.0)))
-    joined = each.join(baseline_entropy(each, world), [*world, "speaker"], "left")
+    each = _each(statements, world, text, alpha)
+    entropy = small(baseline_entropy(each, world))
+    joined = each.join(entropy, [*world, "speaker"], "left")
     short = F.coalesce("n_tokens", F.lit(0)) < min_tokens
     z = (F.col("ce") - F.col("baseline_ce")) / F.greatest(F.col("baseline_ce_sd"), F.lit(MIN_SD))
     scored = joined.select(
@@ -124,7 +233,7 @@ def surprisal(statements: DataFrame, text: str = "text", alpha: float = ALPHA, m
         F.when(~short, F.round("jsd", 4)).alias("jsd"),
         F.when(~short, F.round("novel", 4)).alias("novel_rate"),
     )
-    return statements.select(*keys).join(scored, [*world, "id"], "left").select(
+    measured = statements.select(*keys).join(scored, [*world, "id"], "left").select(
         *keys,
         F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         "cross_entropy",
@@ -135,6 +244,7 @@ def surprisal(statements: DataFrame, text: str = "text", alpha: float = ALPHA, m
         "novel_rate",
         F.col("cross_entropy").isNull().alias("insufficient"),
     )
+    return measured, entropy
 
 
 def against_all_speakers(texts: DataFrame, statements: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -143,14 +253,13 @@ def against_all_speakers(texts: DataFrame, statements: DataFrame, alpha: float =
     ``texts(text_id, text)`` is the stated query set: only its words are looked
     up, so the models are filtered by them before anything is joined.
     """
-    terms, speakers = term_counts(statements), modelled_speakers(statements)
-    models, bg = speaker_counts(terms, speakers), background(terms)
+    used, totals = word_counts(statements), small(speaker_totals(statements))
     asked = F.broadcast(term_counts(texts, ("text_id",)))
-    totals = speakers.join(models.groupBy("speaker").agg(F.sum("c_s").alias("n_s")), "speaker", "left").withColumn("n_s", F.coalesce("n_s", F.lit(0)))
-    shape = bg.agg(F.sum("c_bg").alias("n_bg"), F.count("*").alias("v_bg"))
-    words = asked.select("word").distinct()
-    own = models.join(F.broadcast(words), "word", "left_semi")
-    common = bg.join(F.broadcast(words), "word", "left_semi")
+    words = F.broadcast(asked.select("word").distinct())
+    used = cut(used)
+    own = used.where("c_s is not null").join(words, "word", "left_semi").drop("c_all")
+    shape = used.agg(F.sum("c_all").alias("n_bg"), F.count_distinct("word").alias("v_bg"))
+    common = used.join(words, "word", "left_semi").groupBy("word").agg(F.sum("c_all").alias("c_bg"))
     grid = totals.crossJoin(asked).crossJoin(F.broadcast(shape))
     return (
         grid.join(own, ["speaker", "word"], "left")

@@ -35,11 +35,15 @@ def logistic(z: Column) -> Column:
 
 
 def features(statements: DataFrame, lexicon: X.Lexicon | None = None, world: Sequence[str] = ()) -> DataFrame:
-    """``*world, id, speaker, window``, the six features, ``words``, ``concrete_per_100w``, time index ``t`` and the surprisal record."""
+    return _features(statements, lexicon, world)[0]
+
+
+def _features(statements: DataFrame, lexicon: X.Lexicon | None, world: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The speakers' baseline entropies second; first ``*world, id, speaker, window``, the six features, ``words``, ``concrete_per_100w``, time index ``t`` and the surprisal record."""
     keys = [*world, "id"]
     scored = X.lexical_scores(statements.select(*keys, "speaker", "window", "date", "text"), lexicon=lexicon).withColumn("t", X.time_index(F.col("date"))).drop("text", "date")
-    surprise = L.surprisal(statements, world=world).drop("speaker", "window")
-    return scored.join(surprise, keys)
+    surprise, entropy = L.surprisal_and_entropy(statements, world=world)
+    return scored.join(surprise.drop("speaker", "window"), keys), entropy
 
 
 @dataclass
@@ -50,6 +54,7 @@ class Measured:
     baselines: DataFrame
     anomalies: DataFrame
     world: tuple[str, ...] = ()
+    entropy: DataFrame | None = None
 
 
 def measure(statements: DataFrame, lexicon: X.Lexicon | None = None, world: Sequence[str] = ()) -> Measured:
@@ -59,11 +64,12 @@ def measure(statements: DataFrame, lexicon: X.Lexicon | None = None, world: Sequ
     several times.
     """
     world = tuple(world)
-    rows = B.residualise(cut(features(statements, lexicon, world)), list(FEATURES), world=list(world))
+    found, entropy = _features(statements, lexicon, world)
+    rows = B.residualise(cut(found), list(FEATURES), world=list(world))
     who = [*world, "speaker"]
     base = cut(B.fit_baselines(rows.where("window = 'baseline'"), who, RESIDUALS))
     found = B.anomalies(rows.where("window = 'constrained'"), base, who, RESIDUALS, EVASION).withColumnRenamed("projection", "evasion")
-    return Measured(rows, base, found, world)
+    return Measured(rows, base, found, world, entropy)
 
 
 def named(columns: dict[str, Column]) -> Column:
@@ -236,7 +242,7 @@ def probe(texts: DataFrame, statements: DataFrame, measured: Measured, lexicon:
     shape = rows.agg(F.avg(B.log_words()).alias("_m"), F.greatest(F.stddev_pop(B.log_words()), F.lit(1e-6)).alias("_s"))
     design = B.standardised(rows, {"x1": B.log_words(), "x2": F.col("t")})
     beta = B.confound_fit(design.agg(*B.confound_sums(list(FEATURES))), list(FEATURES))
-    own = L.baseline_entropy_table(statements)
+    own = measured.entropy if measured.entropy is not None else L.baseline_entropy_table(statements)
     lexical = X.lexical_scores(texts, lexicon=lexicon)
     against = L.against_all_speakers(texts, statements).join(own, "speaker")
     enough = F.col("n_tokens") >= L.MIN_TOKENS

@@ -21,8 +21,7 @@ _PERMUTATIONS, _DRAWS = 200, 100
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements with the descriptive columns of a corpus and a made-up outcome move for constrained ones."""
     move = F.when(F.col("window") == "constrained", ((F.col("id") * 37) % 401 - 200) / F.lit(10.0))
-    extra = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("org"))
-    st = V.statements(spark, sf_dir).join(extra, "id")
+    st = V.statements(spark, sf_dir, {"lang": "org"})
     return st.select(
         "*",
         F.lit("documents").alias("domain"),

@@ -108,7 +108,7 @@ def q_min_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(f"with {V.TERMS} select word, c_bg::bigint as c_bg from bg")
 def q_bg_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.background(L.term_counts(V.statements(spark, sf_dir)))
+    return L.models_and_background(V.statements(spark, sf_dir))[1]
 
 
 @REGISTRY.query(
@@ -117,7 +117,7 @@ def q_bg_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_lm_top_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = V.statements(spark, sf_dir)
-    return L.top_vocabulary(L.speaker_counts(L.term_counts(st), L.modelled_speakers(st)), 50)
+    return L.top_vocabulary(L.models_and_background(st)[0], 50)
 
 
 @REGISTRY.query(

@@ -13,14 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as statements: speaker = source, one in seven constrained, a date by id."""
+def statements(spark: SparkSession, sf_dir: str, more: dict[str, str] | None = None) -> DataFrame:
+    """``documents`` as statements: speaker = source, one in seven constrained, a date by id; ``more`` names further columns."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("speaker"),
         "text",
         F.when(F.col("doc_id") % 7 == 0, "constrained").otherwise("baseline").alias("window"),
         F.date_add(F.lit("2021-02-01").cast("date"), (F.col("doc_id") % 2000).cast("int")).alias("date"),
+        *[F.col(c).alias(name) for c, name in (more or {}).items()],
     )
 
 

@@ -205,14 +205,13 @@ def runtime_model(statements: DataFrame, measured: Measured, lexicon: Lexicon |
     design = B.standardised(rows, {"x1": B.log_words(), "x2": F.col("t")})
     fit = B.confound_fit(design.agg(*B.confound_sums(features)), features).crossJoin(F.broadcast(moments))
     confounds = fit.select(F.lit("confounds").alias("part"), F.lit("residualiser").alias("name"), F.to_json(F.struct("*")).alias("value"))
-    entropy = L.baseline_entropy_table(statements)
+    entropy = measured.entropy if measured.entropy is not None else L.baseline_entropy_table(statements)
     base = measured.baselines.join(entropy, "speaker", "left")
     kept = ["n", "mean_shrinkage", "intensity", "precision", "factor", "deviation", "baseline_ce", "baseline_ce_sd", *[f"mean_resid_{f}" for f in features]]
     baselines = base.select(F.lit("baseline").alias("part"), F.col("speaker").alias("name"), F.to_json(F.struct(*kept)).alias("value"))
-    terms = L.term_counts(statements)
-    counts = L.speaker_counts(terms, L.modelled_speakers(statements))
+    counts, common = L.models_and_background(statements)
     return fixed_parts.unionByName(confounds).unionByName(baselines).unionByName(_vocabulary(counts, "speaker", "c_s", speaker_words, "language_model")).unionByName(
-        _vocabulary(L.background(terms).withColumn("speaker", F.lit("all")), "speaker", "c_bg", background_words, "background")
+        _vocabulary(common.withColumn("speaker", F.lit("all")), "speaker", "c_bg", background_words, "background")
     )
 
 
