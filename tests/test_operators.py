@@ -264,3 +264,16 @@ def test_surprise_is_the_same_for_broadcast_and_joined_words(spark):
     assert found[0][("s0", 3, "baseline")][0] == 4 + 3
     for k, v in found[0].items():
         assert v == pytest.approx(found[1][k], abs=1e-12) and v == pytest.approx(found[2][k], abs=1e-12)
+
+
+def test_blocks_are_shuffled_where_they_lie(spark, monkeypatch):
+    """The same sums as from rows shuffled in every replicate, also for blocks too large for one task; no replicate of rows is exchanged."""
+    rows = [(i, None if i == 7 else f"s{i % 4}", float((i * 37) % 101), float((i * i) % 53)) for i in range(200)] + [(300, "one", 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "id long, speaker string, a double, b double")
+    want = S.permuted(df, ["a"], "b", "id", 12, ["speaker"], 7).groupBy("_perm", "speaker").agg(F.sum(F.col("a") * F.col("shuffled")).alias("xy"), F.count("*").alias("n"))
+    want = {(r["_perm"], r["speaker"]): (r["n"], r["xy"]) for r in want.collect()}
+    for most in (1 << 16, 0):
+        monkeypatch.setattr(S, "_BLOCK_ROWS", most)
+        got = {(r["_perm"], r["speaker"]): (r["n"], r["xy"] + r["n"] * r["mx"] * r["my"]) for r in S.block_products(df, "a", "b", "id", 12, ["speaker"], 7).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .validate import auc, average_ranks, permutation_test, permuted
+from .validate import auc, average_ranks, block_correlations, permutation_test
 
 
 def binned_mean(df: DataFrame, x: str, y: str, edges: tuple[float, ...]) -> DataFrame:
@@ -45,13 +45,7 @@ def dose_response(df: DataFrame, speaker: str, row_id: str, x: str, days: str, n
     observed = enough.agg(F.median("rho").alias("observed"), F.count("*").alias("n_speakers"), F.avg((F.col("rho") > 1e-12).cast("double")).alias("share_positive"))
     own = held.join(enough.select(speaker), speaker, "left_semi")
     ranked = average_ranks(average_ranks(own, x, "_rx", [speaker]), "_near", "_ry", [speaker]).select(speaker, row_id, "_rx", "_ry")
-    null = (
-        permuted(ranked, ["_rx"], "_ry", row_id, n_perm, [speaker], seed)
-        .groupBy("_perm", speaker)
-        .agg(F.corr("_rx", "shuffled").alias("rho"))
-        .groupBy("_perm")
-        .agg(F.median("rho").alias("s"))
-    )
+    null = block_correlations(ranked, "_rx", "_ry", row_id, n_perm, [speaker], seed).groupBy("_perm").agg(F.median("rho").alias("s"))
     within = (
         null.crossJoin(F.broadcast(observed))
         .groupBy("observed", "n_speakers", "share_positive")
