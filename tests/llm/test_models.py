@@ -223,6 +223,30 @@ def test_every_context_is_found(monkeypatch):
         assert shape.parents[i] == (c // ctw.FAR if d == 4 else known[(d - 1, c // ctw.FAR)] - ctw.BASE)
 
 
+def test_contexts_are_chosen_over_all_training_text(spark, frame, monkeypatch):
+    """The most frequent contexts and their cells, whatever the chunks, their threshold and the number of documents."""
+    rng = np.random.default_rng(8)
+    texts = [rng.choice(list(b"abcd \n"), 400, p=[0.3, 0.25, 0.2, 0.1, 0.1, 0.05]).astype(np.uint8).tobytes() for _ in range(60)]
+    counts = Counter()
+    for t in texts:
+        _, base, far, at, _ = ctw.contexts_of([t])
+        codes = base.astype(np.int64)
+        for d in range(4, ctw.DEPTH + 1):
+            codes = codes * ctw.FAR + far[at - d]
+            counts.update((d, c) for c in codes.tolist())
+    rows = 500
+    best = sorted((x for x in counts if counts[x] >= ctw.LEAST), key=lambda x: (-counts[x], x))[:rows]
+    shape = ctw.Shape(np.array([d for d, _ in best]), np.array([c for _, c in best]))
+    cells, n = np.unique(np.concatenate([ctw.cells_of([t], shape)[0] for t in texts]), return_counts=True)
+    train = frame([t.decode() for t in texts]).select(F.col("text").cast("binary").alias("text")).repartition(3)
+    for size, rate in ((1 << 23, ctw.RATE), (900, 1 / 300), (900, 1 / 50)):
+        monkeypatch.setattr(ctw, "CHUNK_BYTES", size)
+        monkeypatch.setattr(ctw.candidates, "__defaults__", (ctw.DEEP_ROWS, 1200, rate))
+        got, table = ctw.counted(train, rows)
+        assert sorted(zip(got.depths.tolist(), got.codes.tolist())) == sorted(best)
+        assert dict(zip(table["cell"].to_pylist(), table["n"].to_pylist())) == dict(zip(cells.tolist(), n.tolist()))
+
+
 def test_language_scores_edges(frame):
     assert ctw.language_scores(frame([])).count() == 0
     got = {r["doc_id"]: r for r in ctw.language_scores(frame([(1, None), (2, ""), (None, "a b"), (4, "a a"), (4, "a a")])).collect()}
