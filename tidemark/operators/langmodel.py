@@ -1,7 +1,8 @@
 """Per-speaker Dirichlet-smoothed unigram language models, surprisal and divergences.
 
-Counts, not tokens, move: tokens are summed to ``(speaker, word)`` before the
-first shuffle, and meet their background counts there.  A statement lies in one
+Counts, not tokens, move: tokens are summed to ``(speaker, word)`` in the task that
+reads them, and meet their background counts there.  Texts are read twice, once for
+these counts and once for the statements' own.  A statement lies in one
 row, so its own counts need no shuffle.  Pairs of speaker and word that make up
 at least ``1 / HEAD`` of all tokens are at most ``HEAD`` pairs and are broadcast;
 only the other words of a statement meet their probabilities in an equi-join, in
@@ -20,12 +21,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.fixed import ALPHA, MIN_SD, MIN_TOKENS
 from .lineage import cut
 
 #: A pair of speaker and word is broadcast if it makes up at least one in so many tokens (so there are at most so many).
 HEAD = 1 << 18
+#: A task hands on its counts when it holds so many.
+_HELD = 1 << 18
+#: All bytes but those of words are blanks (no byte of a longer UTF-8 sequence is one of them).
+_BLANKED = bytes(b if b == ord("'") or ord("a") <= b <= ord("z") else 32 for b in range(256))
+
+
+def _words(text: str) -> list[bytes]:
+    """The same as :func:`tokens`, in a task."""
+    return text.lower().encode().translate(_BLANKED).split()
+
 
 
 def tokens(text: Column) -> Column:
@@ -66,10 +78,39 @@ def background_probability() -> Column:
     return (F.coalesce("c_bg", F.lit(0)) + 0.5) / (F.col("n_bg") + 0.5 * F.col("v_bg") + 1)
 
 
+def _own_counts(n_who: int, kinds: list[pa.DataType], names: list[str]):
+    """Batches of ``(*who, window, text)`` -> words with their uses in baseline statements (null if none) and in all."""
+
+    def given(held: dict[tuple, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for who, (base, rest) in held.items():
+            every = [*base, *[x for x in rest if x not in base]]
+            same = [pa.array([x] * len(every), kind) for x, kind in zip(who, kinds, strict=True)]
+            counts = (pa.array(every, pa.string()), pa.array([base.get(x) for x in every], pa.int64()), pa.array([base[x] + rest[x] for x in every], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*same, *counts], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            for *who, window, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if text:
+                    held.setdefault(tuple(who), (Counter(), Counter()))[window != "baseline"].update(_words(text))
+            if sum(len(base) + len(rest) for base, rest in held.values()) >= _HELD:
+                yield from given(held)
+                held = {}
+        yield from given(held)
+
+    return run
+
+
 def word_counts(statements: DataFrame, world: Sequence[str] = (), text: str = "text") -> DataFrame:
     """``(*world, speaker, word, c_s, c_all)``: uses in baseline statements (null if none) and in all."""
-    words = statements.select(*world, "speaker", "window", F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    return words.groupBy(*world, "speaker", "word").agg(F.nullif(F.count_if(F.col("window") == "baseline"), F.lit(0)).alias("c_s"), F.count("*").alias("c_all"))
+    who = [*world, "speaker"]
+    rows = statements.select(*who, "window", text)
+    fields = rows.schema.fields[: len(who)]
+    names = [*who, "word", "c_s", "c_all"]
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    job = _own_counts(len(who), [to_arrow_type(f.dataType) for f in fields], names)
+    return rows.mapInArrow(job, f"{given}, word string, c_s long, c_all long").groupBy(*who, "word").agg(F.sum("c_s").alias("c_s"), F.sum("c_all").alias("c_all"))
 
 
 def small(df: DataFrame, most: int = 1 << 17) -> DataFrame:
@@ -78,17 +119,17 @@ def small(df: DataFrame, most: int = 1 << 17) -> DataFrame:
     return F.broadcast(held) if held.count() <= most else held
 
 
-def speaker_totals(statements: DataFrame, world: Sequence[str] = (), text: str = "text", min_statements: int = 2) -> DataFrame:
-    """``(*world, speaker, n_s)`` of modelled speakers: tokens of their baseline statements."""
-    base = statements.where("window = 'baseline'").where(F.col("speaker").isNotNull())
-    size = F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long")
-    return base.groupBy(*world, "speaker").agg(F.count("*").alias("_n"), F.sum(size).alias("n_s")).where(F.col("_n") >= min_statements).drop("_n")
+def speaker_totals(statements: DataFrame, world: Sequence[str] = (), text: str = "text", min_statements: int = 2, used: DataFrame | None = None) -> DataFrame:
+    """``(*world, speaker, n_s)`` of modelled speakers: tokens of their baseline statements (``used``: the words' counts, where they are known)."""
+    who = [*world, "speaker"]
+    own = (word_counts(statements, world, text) if used is None else used).groupBy(*who).agg(F.sum("c_s").alias("n_s"))
+    held = modelled_speakers(statements.where(F.col("speaker").isNotNull()), world, min_statements)
+    return held.join(own, who, "left").select(*who, F.coalesce("n_s", F.lit(0)).alias("n_s"))
 
 
-def probabilities(statements: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """``(*world, speaker, word, c_all, novel, p)`` of every word that a modelled speaker uses; ``speakers`` has ``n_s``."""
+def probabilities(used: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = ()) -> DataFrame:
+    """``(*world, speaker, word, c_all, novel, p)`` of every word that a modelled speaker uses; ``speakers`` has ``n_s``, ``used`` are word counts."""
     same = Window.partitionBy(*world, "word")
-    used = word_counts(statements, world, text)
     every = cut(used.withColumn("c_bg", F.sum("c_all").over(same)).withColumn("_first", F.row_number().over(same.orderBy("speaker")) == 1))
     sums = [F.sum("c_all").alias("n_bg"), F.count_if("_first").alias("v_bg")]
     known = every.join(speakers, [*world, "speaker"])
@@ -98,7 +139,7 @@ def probabilities(statements: DataFrame, speakers: DataFrame, alpha: float = ALP
 
 
 def _dealt(shared, n_keys: int, n_who: int, names: list[str]):
-    """Batches of ``(*keys, words)`` -> counts and probabilities of frequent pairs, words and counts of the others."""
+    """Batches of ``(*keys, text)`` -> counts and probabilities of frequent pairs, words and counts of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, p, novel = shared.value
@@ -106,13 +147,13 @@ def _dealt(shared, n_keys: int, n_who: int, names: list[str]):
             who = zip(*[batch.column(i).to_pylist() for i in range(n_who)], strict=True)
             own: list[tuple] = []
             for w, text in zip(who, batch.column(n_keys).to_pylist(), strict=True):
-                counts = Counter(text.split(" ")) if text else Counter()
+                counts = Counter(_words(text)) if text else Counter()
                 place = places.get(w, {})
                 at = np.fromiter((place.get(x, -1) for x in counts), dtype=np.int64, count=len(counts))
                 c = np.fromiter(counts.values(), dtype=np.int32, count=len(counts))
                 held = at >= 0
                 rest = [x for x, h in zip(counts, held.tolist(), strict=True) if not h]
-                own.append((int(c[held & novel[at]].sum()), c[held].tobytes(), p[at[held]].tobytes(), " ".join(rest), c[~held].tolist()))
+                own.append((int(c[held & novel[at]].sum()), c[held].tobytes(), p[at[held]].tobytes(), b" ".join(rest), c[~held].tolist()))
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.int32()))
             made = [pa.array([x[i] for x in own], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], *made], names=names)
@@ -146,7 +187,7 @@ def _surprised(n_keys: int, names: list[str]):
     return run
 
 
-def statement_surprise(statements: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = (), text: str = "text", head: int = HEAD) -> DataFrame:
+def statement_surprise(statements: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = (), text: str = "text", head: int = HEAD, used: DataFrame | None = None) -> DataFrame:
     """One row for each statement with tokens of a modelled speaker: their number, cross-entropy, KL, JSD (bits) and novel rate.
 
     Rows of the same keys are one statement.
@@ -155,20 +196,18 @@ def statement_surprise(statements: DataFrame, speakers: DataFrame, alpha: float
     keys = [*who, "id", "window"]
     kinds = {f.name: f.dataType.simpleString() for f in statements.select(*keys).schema.fields}
     given = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    known = probabilities(statements, speakers, alpha, world, text)
+    known = probabilities(word_counts(statements, world, text) if used is None else used, speakers, alpha, world)
     total = known.agg(F.coalesce(F.sum("c_all"), F.lit(0))).first()[0]
     least = max(1, -(-total // head))
     often = known.where(F.col("c_all") >= least).select(*who, "word", "p", "novel").toArrow()
     places: dict[tuple, dict[str, int]] = {}
     for i, (word, *w) in enumerate(zip(often["word"].to_pylist(), *[often[x].to_pylist() for x in who], strict=True)):
-        places.setdefault(tuple(w), {})[word] = i
+        places.setdefault(tuple(w), {})[word.encode()] = i
     # One more, for the place -1 of words that are not there.
     shared = statements.sparkSession.sparkContext.broadcast((places, often["p"].to_numpy(), np.append(often["novel"].to_numpy().astype(bool), False)))
-    words = F.array_join(tokens(F.coalesce(F.col(text), F.lit(""))), " ")
-    plain = statements.select(*keys, words.alias("_words"))
+    plain = statements.select(*keys, F.col(text).alias("_text"))
     if not statements.groupBy(*keys).count().where("count > 1").isEmpty():
-        plain = plain.groupBy(*keys).agg(F.trim(F.array_join(F.collect_list("_words"), " ")).alias("_words"))
-        plain = plain.withColumn("_words", F.regexp_replace("_words", " +", " "))
+        plain = plain.groupBy(*keys).agg(F.array_join(F.collect_list("_text"), " ").alias("_text"))
     names = [*keys, "_novel", "_c", "_p", "_rare", "_rare_c"]
     dealt = plain.mapInArrow(_dealt(shared, len(keys), len(who), names), f"{given}, _novel long, _c binary, _p binary, _rare string, _rare_c array<int>")
     held = cut(dealt.withColumn("_row", F.monotonically_increasing_id()))
@@ -191,9 +230,10 @@ def baseline_entropy(surprise: DataFrame, world: Sequence[str] = ()) -> DataFram
 def _each(statements: DataFrame, world: Sequence[str], text: str, alpha: float) -> DataFrame:
     """One row for each statement of a modelled speaker with its measures; no tokens: cross-entropy zero."""
     keys = [*world, "id", "speaker", "window"]
-    speakers = small(speaker_totals(statements, world, text))
+    used = cut(word_counts(statements, world, text))
+    speakers = small(speaker_totals(statements, world, text, used=used))
     # One narrow row for each statement, read twice.
-    found = cut(statement_surprise(statements, speakers, alpha, world, text))
+    found = cut(statement_surprise(statements, speakers, alpha, world, text, used=used))
     return statements.select(*keys).join(speakers, [*world, "speaker"], "left_semi").join(found, keys, "left").withColumn("ce", F.coalesce("ce", F.lit(0.0)))
 
 
@@ -253,10 +293,10 @@ def against_all_speakers(texts: DataFrame, statements: DataFrame, alpha: float =
     ``texts(text_id, text)`` is the stated query set: only its words are looked
     up, so the models are filtered by them before anything is joined.
     """
-    used, totals = word_counts(statements), small(speaker_totals(statements))
+    used = cut(word_counts(statements))
+    totals = small(speaker_totals(statements, used=used))
     asked = F.broadcast(term_counts(texts, ("text_id",)))
     words = F.broadcast(asked.select("word").distinct())
-    used = cut(used)
     own = used.where("c_s is not null").join(words, "word", "left_semi").drop("c_all")
     shape = used.agg(F.sum("c_all").alias("n_bg"), F.count_distinct("word").alias("v_bg"))
     common = used.join(words, "word", "left_semi").groupBy("word").agg(F.sum("c_all").alias("c_bg"))
