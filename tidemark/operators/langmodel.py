@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,29 @@ from .lineage import cut
 HEAD = 1 << 18
 
 
+#: A task holds so many counts of words, then passes them on; statements whose words are measured at once.
+_TALLIED, _AT_ONCE = 1 << 19, 512
+#: Bytes of words as they are in lower case, blanks for all others.
+_PLAIN = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz'" else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
 
 
+def _split(text: bytes | None) -> list[bytes]:
+    """The words that :func:`tokens` finds in UTF-8; two letters beyond ASCII have a lower case within it."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = text.replace(b"\xe2\x84\xaa", b"k").replace(b"\xc4\xb0", b"i ")
+    return text.translate(_PLAIN).split()
+
+
+def _bytes(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
+
+
 def term_counts(statements: DataFrame, keys: Sequence[str] = ("id", "speaker", "window"), text: str = "text") -> DataFrame:
     """``(*keys, word, c)``."""
     words = statements.select(*keys, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
@@ -66,10 +86,48 @@ def background_probability() -> Column:
     return (F.coalesce("c_bg", F.lit(0)) + 0.5) / (F.col("n_bg") + 0.5 * F.col("v_bg") + 1)
 
 
+def _tallied(n_who: int, names: list[str]):
+    """Batches of ``(*who, base, text)`` -> uses of each word in baseline statements and in all, summed over a task's batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, tuple[Counter, Counter]] = {}
+        kinds: list[pa.DataType] = []
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for who, (base, other) in found.items():
+                words = list(base.keys() | other.keys())
+                c_s = np.fromiter(map(base.get, words, repeat(0)), dtype=np.int64, count=len(words))
+                c_all = c_s + np.fromiter(map(other.get, words, repeat(0)), dtype=np.int64, count=len(words))
+                same = [pa.repeat(pa.scalar(w, kind), len(words)) for w, kind in zip(who, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(words, pa.binary()).cast(pa.string()), pa.array(c_s), pa.array(c_all)], names=names)
+            found.clear()
+
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(n_who)]
+            who = zip(*[batch.column(i).to_pylist() for i in range(n_who)], strict=True)
+            for w, base, text in zip(who, batch.column(n_who).to_pylist(), _bytes(batch.column(n_who + 1)), strict=True):
+                found.setdefault(w, (Counter(), Counter()))[0 if base else 1].update(_split(text))
+            if sum(len(base) + len(other) for base, other in found.values()) > _TALLIED:
+                yield from passed()
+        yield from passed()
+
+    return run
+
+
 def word_counts(statements: DataFrame, world: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """``(*world, speaker, word, c_s, c_all)``: uses in baseline statements (null if none) and in all."""
-    words = statements.select(*world, "speaker", "window", F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    return words.groupBy(*world, "speaker", "word").agg(F.nullif(F.count_if(F.col("window") == "baseline"), F.lit(0)).alias("c_s"), F.count("*").alias("c_all"))
+    """``(*world, speaker, word, c_s, c_all)``: uses in baseline statements (null if none) and in all, dealt by word.
+
+    A task sums its words before they move, so a frequent word is a row for each task and speaker.
+    """
+    who = [*world, "speaker"]
+    given = _given(statements, who)
+    narrow = statements.select(*who, (F.col("window") == "baseline").alias("_base"), F.col(text).alias("_text"))
+    found = narrow.mapInArrow(_tallied(len(who), [*who, "word", "_s", "_all"]), f"{given}, word string, _s long, _all long")
+    return found.repartition(*world, "word").groupBy(*who, "word").agg(F.nullif(F.sum("_s"), F.lit(0)).alias("c_s"), F.sum("_all").alias("c_all"))
+
+
+def _given(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
 
 
 def small(df: DataFrame, most: int = 1 << 17) -> DataFrame:
@@ -78,18 +136,28 @@ def small(df: DataFrame, most: int = 1 << 17) -> DataFrame:
     return F.broadcast(held) if held.count() <= most else held
 
 
-def speaker_totals(statements: DataFrame, world: Sequence[str] = (), text: str = "text", min_statements: int = 2) -> DataFrame:
-    """``(*world, speaker, n_s)`` of modelled speakers: tokens of their baseline statements."""
-    base = statements.where("window = 'baseline'").where(F.col("speaker").isNotNull())
-    size = F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long")
-    return base.groupBy(*world, "speaker").agg(F.count("*").alias("_n"), F.sum(size).alias("n_s")).where(F.col("_n") >= min_statements).drop("_n")
+def speaker_totals(statements: DataFrame, world: Sequence[str] = (), text: str = "text", min_statements: int = 2, used: DataFrame | None = None) -> DataFrame:
+    """``(*world, speaker, n_s)`` of modelled speakers: tokens of their baseline statements; ``used``: their :func:`word_counts`, if at hand."""
+    who = [*world, "speaker"]
+    used = word_counts(statements, world, text) if used is None else used
+    sums = used.groupBy(*who).agg(F.sum("c_s").alias("n_s"))
+    own = modelled_speakers(statements.where(F.col("speaker").isNotNull()), world, min_statements)
+    return own.join(small(sums), who, "left").withColumn("n_s", F.coalesce("n_s", F.lit(0)))
 
 
-def probabilities(statements: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """``(*world, speaker, word, c_all, novel, p)`` of every word that a modelled speaker uses; ``speakers`` has ``n_s``."""
+def _known(statements: DataFrame, world: Sequence[str], text: str) -> DataFrame:
+    """:func:`word_counts` plus the uses by all speakers, ``c_bg``, and one row marked ``_first`` for each word; cut."""
     same = Window.partitionBy(*world, "word")
     used = word_counts(statements, world, text)
-    every = cut(used.withColumn("c_bg", F.sum("c_all").over(same)).withColumn("_first", F.row_number().over(same.orderBy("speaker")) == 1))
+    # A word has one row for each speaker; one window of one order serves both.
+    return cut(used.select("*", F.sum("c_all").over(same).alias("c_bg"), F.col("speaker").eqNullSafe(F.min("speaker").over(same)).alias("_first")))
+
+
+def probabilities(
+    statements: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = (), text: str = "text", used: DataFrame | None = None
+) -> DataFrame:
+    """``(*world, speaker, word, c_all, novel, p)`` of every word that a modelled speaker uses; ``speakers`` has ``n_s``, ``used`` is :func:`_known`."""
+    every = _known(statements, world, text) if used is None else used
     sums = [F.sum("c_all").alias("n_bg"), F.count_if("_first").alias("v_bg")]
     known = every.join(speakers, [*world, "speaker"])
     known = known.join(small(every.groupBy(*world).agg(*sums)), list(world)) if world else known.crossJoin(F.broadcast(every.agg(*sums)))  # one row
@@ -98,21 +166,20 @@ def probabilities(statements: DataFrame, speakers: DataFrame, alpha: float = ALP
 
 
 def _dealt(shared, n_keys: int, n_who: int, names: list[str]):
-    """Batches of ``(*keys, words)`` -> counts and probabilities of frequent pairs, words and counts of the others."""
+    """Batches of ``(*keys, text)`` -> counts and probabilities of frequent pairs, words and counts of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, p, novel = shared.value
         for batch in batches:
             who = zip(*[batch.column(i).to_pylist() for i in range(n_who)], strict=True)
             own: list[tuple] = []
-            for w, text in zip(who, batch.column(n_keys).to_pylist(), strict=True):
-                counts = Counter(text.split(" ")) if text else Counter()
-                place = places.get(w, {})
-                at = np.fromiter((place.get(x, -1) for x in counts), dtype=np.int64, count=len(counts))
+            for w, text in zip(who, _bytes(batch.column(n_keys)), strict=True):
+                counts = Counter(_split(text))
+                at = np.fromiter(map(places.get(w, {}).get, counts, repeat(-1)), dtype=np.int64, count=len(counts))
                 c = np.fromiter(counts.values(), dtype=np.int32, count=len(counts))
                 held = at >= 0
-                rest = [x for x, h in zip(counts, held.tolist(), strict=True) if not h]
-                own.append((int(c[held & novel[at]].sum()), c[held].tobytes(), p[at[held]].tobytes(), " ".join(rest), c[~held].tolist()))
+                rest = b" ".join(compress(counts, (~held).tolist())).decode()
+                own.append((int(c[held & novel[at]].sum()), c[held].tobytes(), p[at[held]].tobytes(), rest, c[~held]))
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.int32()))
             made = [pa.array([x[i] for x in own], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], *made], names=names)
@@ -124,51 +191,62 @@ def _surprised(n_keys: int, names: list[str]):
     """Batches of ``(*keys, novel, c, p, rare_novel, rare_c, rare_p)`` -> the measures of each statement with tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, out = [], []
-            columns = [batch.column(n_keys + i).to_pylist() for i in range(6)]
-            for i, (novel, c, p, rare_novel, rare_c, rare_p) in enumerate(zip(*columns, strict=True)):
-                c = np.concatenate((np.frombuffer(c, dtype=np.int32), np.array(rare_c or [], dtype=np.int32))).astype(float)
-                if not len(c):
-                    continue
-                p = np.concatenate((np.frombuffer(p, dtype=float), np.array(rare_p or [], dtype=float)))
-                n = c.sum()
-                q, pp = c / n, p / p.sum()
+        for whole in batches:
+            for first in range(0, whole.num_rows, _AT_ONCE):
+                batch = whole.slice(first, _AT_ONCE)
+                novel, c, p, rare_novel, rare_c, rare_p = (batch.column(n_keys + i) for i in range(6))
+                row, c, p = _flat(c, p, rare_c, rare_p)
+                total = lambda x: np.bincount(row, weights=x, minlength=batch.num_rows)  # noqa: B023, E731
+                n = total(c)
+                kept = np.flatnonzero(n)
+                q, pp = c / n[row], p / total(p)[row]
                 m = (q + pp) / 2
-                ce = -(c * np.log2(p)).sum() / n
-                jsd = (q * np.log2(q / m)).sum() / 2 + (pp * np.log2(pp / m)).sum() / 2
-                kept.append(i)
-                out.append((int(n), ce, (q * np.log2(q / pp)).sum(), jsd, (novel + (rare_novel or 0)) / n))
-            keys = [batch.column(i).take(pa.array(kept, pa.int64())) for i in range(n_keys)]
-            made = [pa.array([float(x[i]) if i else x[0] for x in out], pa.float64() if i else pa.int64()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*keys, *made], names=names)
+                jsd = total(q * np.log2(q / m)) / 2 + total(pp * np.log2(pp / m)) / 2
+                new = novel.to_numpy(zero_copy_only=False) + rare_novel.fill_null(0).to_numpy(zero_copy_only=False)
+                made = [-total(c * np.log2(p))[kept] / n[kept], total(q * np.log2(q / pp))[kept], jsd[kept], new[kept] / n[kept]]
+                keys = [batch.column(i).take(pa.array(kept)) for i in range(n_keys)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(n[kept].astype(np.int64)), *[pa.array(x) for x in made]], names=names)
 
     return run
 
 
-def statement_surprise(statements: DataFrame, speakers: DataFrame, alpha: float = ALPHA, world: Sequence[str] = (), text: str = "text", head: int = HEAD) -> DataFrame:
+def _flat(c: pa.Array, p: pa.Array, rare_c: pa.Array, rare_p: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, count and probability of every word of a batch; frequent words lie in bytes, rare ones in lists (null: none)."""
+    often = np.array([len(x) // 8 for x in p.to_pylist()], dtype=np.int64)
+    rare = rare_c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.arange(len(often))
+    flat = lambda kind, inside, lists: np.concatenate((np.frombuffer(b"".join(inside.to_pylist()), dtype=kind), lists.flatten().to_numpy(zero_copy_only=False))).astype(float)
+    return np.concatenate((np.repeat(rows, often), np.repeat(rows, rare))), flat(np.int32, c, rare_c), flat(float, p, rare_p)
+
+
+def statement_surprise(
+    statements: DataFrame,
+    speakers: DataFrame,
+    alpha: float = ALPHA,
+    world: Sequence[str] = (),
+    text: str = "text",
+    head: int = HEAD,
+    used: DataFrame | None = None,
+) -> DataFrame:
     """One row for each statement with tokens of a modelled speaker: their number, cross-entropy, KL, JSD (bits) and novel rate.
 
     Rows of the same keys are one statement.
     """
     who = [*world, "speaker"]
     keys = [*who, "id", "window"]
-    kinds = {f.name: f.dataType.simpleString() for f in statements.select(*keys).schema.fields}
-    given = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    known = probabilities(statements, speakers, alpha, world, text)
+    given = _given(statements, keys)
+    known = probabilities(statements, speakers, alpha, world, text, used)
     total = known.agg(F.coalesce(F.sum("c_all"), F.lit(0))).first()[0]
     least = max(1, -(-total // head))
     often = known.where(F.col("c_all") >= least).select(*who, "word", "p", "novel").toArrow()
     places: dict[tuple, dict[str, int]] = {}
     for i, (word, *w) in enumerate(zip(often["word"].to_pylist(), *[often[x].to_pylist() for x in who], strict=True)):
-        places.setdefault(tuple(w), {})[word] = i
+        places.setdefault(tuple(w), {})[word.encode()] = i
     # One more, for the place -1 of words that are not there.
     shared = statements.sparkSession.sparkContext.broadcast((places, often["p"].to_numpy(), np.append(often["novel"].to_numpy().astype(bool), False)))
-    words = F.array_join(tokens(F.coalesce(F.col(text), F.lit(""))), " ")
-    plain = statements.select(*keys, words.alias("_words"))
+    plain = statements.select(*keys, F.col(text).alias("_text"))
     if not statements.groupBy(*keys).count().where("count > 1").isEmpty():
-        plain = plain.groupBy(*keys).agg(F.trim(F.array_join(F.collect_list("_words"), " ")).alias("_words"))
-        plain = plain.withColumn("_words", F.regexp_replace("_words", " +", " "))
+        plain = plain.groupBy(*keys).agg(F.array_join(F.collect_list("_text"), " ").alias("_text"))
     names = [*keys, "_novel", "_c", "_p", "_rare", "_rare_c"]
     dealt = plain.mapInArrow(_dealt(shared, len(keys), len(who), names), f"{given}, _novel long, _c binary, _p binary, _rare string, _rare_c array<int>")
     held = cut(dealt.withColumn("_row", F.monotonically_increasing_id()))
@@ -191,9 +269,10 @@ def baseline_entropy(surprise: DataFrame, world: Sequence[str] = ()) -> DataFram
 def _each(statements: DataFrame, world: Sequence[str], text: str, alpha: float) -> DataFrame:
     """One row for each statement of a modelled speaker with its measures; no tokens: cross-entropy zero."""
     keys = [*world, "id", "speaker", "window"]
-    speakers = small(speaker_totals(statements, world, text))
+    used = _known(statements, world, text)
+    speakers = small(speaker_totals(statements, world, text, used=used))
     # One narrow row for each statement, read twice.
-    found = cut(statement_surprise(statements, speakers, alpha, world, text))
+    found = cut(statement_surprise(statements, speakers, alpha, world, text, used=used))
     return statements.select(*keys).join(speakers, [*world, "speaker"], "left_semi").join(found, keys, "left").withColumn("ce", F.coalesce("ce", F.lit(0.0)))
 
 
@@ -253,10 +332,10 @@ def against_all_speakers(texts: DataFrame, statements: DataFrame, alpha: float =
     ``texts(text_id, text)`` is the stated query set: only its words are looked
     up, so the models are filtered by them before anything is joined.
     """
-    used, totals = word_counts(statements), small(speaker_totals(statements))
+    used = cut(word_counts(statements))
+    totals = small(speaker_totals(statements, used=used))
     asked = F.broadcast(term_counts(texts, ("text_id",)))
     words = F.broadcast(asked.select("word").distinct())
-    used = cut(used)
     own = used.where("c_s is not null").join(words, "word", "left_semi").drop("c_all")
     shape = used.agg(F.sum("c_all").alias("n_bg"), F.count_distinct("word").alias("v_bg"))
     common = used.join(words, "word", "left_semi").groupBy("word").agg(F.sum("c_all").alias("c_bg"))
