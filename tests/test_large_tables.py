@@ -1,8 +1,12 @@
 """Steps that were too dear on large tables: what they move and read, and that results stay."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import langmodel as L
+from tidemark.operators import lexical as X
+from tidemark.operators import scoring as P
 
 TEXTS = ["", None, "It's  12,5% of\tQ3's", "\u212aelvin \u0130stanbul \u00c4rger na\u00efve", "''quoted'' MAY 2024may", "\u65e5\u672c x\u00a0y\u2019s", "first quarter 5m 7 bps 1st"]
 
@@ -37,3 +41,32 @@ def test_small_tallies_pass_on_what_they_hold(spark, monkeypatch):
     found = list(L._tallied(1, ["speaker", "word", "s", "n"])(iter(batches)))
     rows = [r for b in found for r in b.to_pylist()]
     assert len(rows) == 9 and sum(r["n"] for r in rows) == 12 and sum(r["s"] for r in rows) == 9
+
+
+def test_markers_match_as_their_patterns(spark):
+    rows = spark.createDataFrame([(t,) for t in TEXTS if t is not None], "text string")
+    plain = [F.regexp_count("text", F.lit("(?i)" + p)) for p in (X.fixed.NUMERIC_PATTERN, X.fixed.PERIOD_PATTERN)]
+    for r in rows.select(X.numeric_markers(F.col("text")), X.period_markers(F.col("text")), *plain).collect():
+        assert (r[0], r[1]) == (r[2], r[3])
+
+
+def test_hits_of_phrases_beyond_ascii(spark):
+    rows = spark.createDataFrame([("caf\u00e9 caf\u00e9 cafe",)], "text string")
+    assert rows.select(X.phrase_hits(F.col("text"), ["caf\u00e9"])).first()[0] == 2
+
+
+def test_baseline_view_moves_no_texts_but_the_representatives(spark, sf):
+    from tidemark.plans.flagship_queries import _measured
+
+    st, m = _measured(spark, sf)
+    view = P.baseline_view(st, m, X.PROXY)
+    made = view._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"regexp_count|split\(", made), "markers and words are those of the feature rows"
+    texts = {r["id"]: r["text"] for r in st.select("id", "text").collect()}
+    for r in view.collect():
+        own = [s for s in r["statements"] if s["representative"]]
+        assert len(own) == 1 and own[0]["text"] == texts[own[0]["id"]]
+        assert all(s["text"] is None for s in r["statements"] if not s["representative"])
+    wanted = P.evidence_record(F.coalesce(F.col("text"), F.lit("")), X.PROXY)
+    want = {r["id"]: r["e"] for r in st.select("id", wanted.alias("e")).collect()}
+    assert all(s["evidence"] == want[s["id"]] for r in view.collect() for s in r["statements"])

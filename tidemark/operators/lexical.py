@@ -37,7 +37,7 @@ def phrase_hits(text: Column, phrases: list[str]) -> Column:
     hay = padded(text)
     total = F.lit(0)
     for p in phrases:
-        total = total + (F.length(hay) - F.length(F.replace(hay, F.lit(p), F.lit("")))) / F.lit(len(p))
+        total = total + (F.octet_length(hay) - F.octet_length(F.replace(hay, F.lit(p), F.lit("")))) / F.lit(len(p.encode()))
     return total.cast("int")
 
 
@@ -49,12 +49,15 @@ def unit(x: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 4)
 
 
+# A look at the first letter comes before the dearer look for a word's border; what matches is the same.
+
+
 def numeric_markers(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("(?i)" + fixed.NUMERIC_PATTERN))
+    return F.regexp_count(text, F.lit(r"(?i)(?=\d)" + fixed.NUMERIC_PATTERN))
 
 
 def period_markers(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("(?i)" + fixed.PERIOD_PATTERN))
+    return F.regexp_count(text, F.lit("(?i)(?=[adfjmnoqsty])" + fixed.PERIOD_PATTERN))
 
 
 def concrete_rate(text: Column) -> Column:
@@ -64,14 +67,15 @@ def concrete_rate(text: Column) -> Column:
 def evidence(text: Column, phrases: list[str], limit: int = 6) -> Column:
     """The phrases that occur, trimmed, longest first (then alphabetical), at most ``limit``."""
     hay = padded(text)
-    found = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(hay, p))
+    # Not a filter over the phrases: in its lambda the text would be put into lower case once for each phrase.
+    found = F.array_compact(F.array(*[F.when(F.contains(hay, F.lit(p)), F.lit(p)) for p in phrases]))
     named = F.array_distinct(F.transform(found, lambda p: F.trim(p)))
     ordered = F.array_sort(F.transform(named, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
     return F.transform(F.slice(ordered, 1, limit), lambda s: s["p"])
 
 
-def lexical_scores(statements: DataFrame, text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
-    """``statements`` plus the five dimensions (0 to 1, four decimals), ``words`` and ``concrete_per_100w``.
+def lexical_scores(statements: DataFrame, text: str = "text", lexicon: Lexicon | None = None, markers: bool = False) -> DataFrame:
+    """``statements`` plus the five dimensions (0 to 1, four decimals), ``words`` and ``concrete_per_100w``; ``markers``: and ``numeric``, ``period``.
 
     Hits and word counts are projected first so that no expression is computed twice.
     """
@@ -85,8 +89,9 @@ def lexical_scores(statements: DataFrame, text: str = "text", lexicon: Lexicon |
         phrase_hits(t, lx.confidence).alias("_c"),
         phrase_hits(t, lx.first_person).alias("_f"),
         phrase_hits(t, lx.impersonal).alias("_i"),
-        (numeric_markers(t) + period_markers(t)).alias("_n"),
-    )
+        numeric_markers(t).alias("numeric"),
+        period_markers(t).alias("period"),
+    ).withColumn("_n", F.col("numeric") + F.col("period"))
     per = lambda c: F.col(c) / F.col("words") * F.lit(100.0)
     return counted.select(
         *statements.columns,
@@ -97,15 +102,20 @@ def lexical_scores(statements: DataFrame, text: str = "text", lexicon: Lexicon |
         unit(per("_c") / fixed.CONFIDENCE_SCALE).alias("confidence_language"),
         "words",
         F.round(per("_n"), 2).alias("concrete_per_100w"),
+        *(["numeric", "period"] if markers else []),
     )
 
 
 def marker_evidence(text: Column) -> Column:
     """Formatted evidence strings of the concrete markers."""
+    return marker_strings(numeric_markers(text), period_markers(text), word_count(text))
+
+
+def marker_strings(numeric: Column, period: Column, words: Column) -> Column:
     return F.array(
-        F.format_string("%d numeric markers", numeric_markers(text)),
-        F.format_string("%d period markers", period_markers(text)),
-        F.format_string("%.1f concrete markers / 100 words", concrete_rate(text)),
+        F.format_string("%d numeric markers", numeric),
+        F.format_string("%d period markers", period),
+        F.format_string("%.1f concrete markers / 100 words", (numeric + period) / words * F.lit(100.0)),
     )
 
 

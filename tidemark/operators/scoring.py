@@ -39,9 +39,9 @@ def features(statements: DataFrame, lexicon: X.Lexicon | None = None, world: Seq
 
 
 def _features(statements: DataFrame, lexicon: X.Lexicon | None, world: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The speakers' baseline entropies second; first ``*world, id, speaker, window``, the six features, ``words``, ``concrete_per_100w``, time index ``t`` and the surprisal record."""
+    """The speakers' baseline entropies second; first ``*world, id, speaker, window``, the six features, ``words``, ``concrete_per_100w``, counts of markers, time index ``t`` and the surprisal record."""
     keys = [*world, "id"]
-    scored = X.lexical_scores(statements.select(*keys, "speaker", "window", "date", "text"), lexicon=lexicon).withColumn("t", X.time_index(F.col("date"))).drop("text", "date")
+    scored = X.lexical_scores(statements.select(*keys, "speaker", "window", "date", "text"), lexicon=lexicon, markers=True).withColumn("t", X.time_index(F.col("date"))).drop("text", "date")
     surprise, entropy = L.surprisal_and_entropy(statements, world=world)
     return scored.join(surprise.drop("speaker", "window"), keys), entropy
 
@@ -158,25 +158,31 @@ def baseline_view(statements: DataFrame, measured: Measured, lexicon: X.Lexicon
     """``(speaker, statements)``: each speaker's baseline statements by date, with the text of one of them.
 
     The representative is the statement whose *raw* scores are closest to the
-    speaker's mean in residual space, in units of its deviations.  All other
-    texts stay behind before rows are gathered, so a speaker's row holds
+    speaker's mean in residual space, in units of its deviations.  Only its text is
+    joined; of all others the phrases found in them move, so a speaker's row holds
     metadata and one text.
     """
+    lx = lexicon or X.Lexicon()
     rows = measured.rows.where("window = 'baseline'").join(measured.baselines.select("speaker"), "speaker", "left_semi")
-    chosen = B.representative(rows, measured.baselines, "speaker", list(FEATURES), "id", RESIDUALS).select("speaker", F.col("id").alias("rep"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    described = statements.where("window = 'baseline'").select("id", "date", evidence_record(text, lexicon).alias("evidence"), "text")
+    chosen = L.small(B.representative(rows, measured.baselines, "speaker", list(FEATURES), "id", RESIDUALS).select("speaker", F.col("id").alias("rep")))
+    base, text = statements.where("window = 'baseline'"), F.coalesce(F.col("text"), F.lit(""))
+    told = base.join(L.small(chosen.select(F.col("rep").alias("id"))), "id").select(F.col("id").alias("rep"), F.col("text").alias("_told"))
+    phrases = {"_h": lx.hedges, "_p": lx.impersonal, "_d": lx.deflectors, "_c": lx.confidence}
+    described = base.select("id", "date", *[X.evidence(text, p).alias(name) for name, p in phrases.items()])
+    markers = X.marker_strings(F.col("numeric"), F.col("period"), F.col("words"))
+    evidence = named({"hedging": F.col("_h"), "specificity_avoidance": markers, "pronoun_distancing": F.col("_p"), "topic_deflection": F.col("_d"), "confidence_language": F.col("_c")})
     item = F.struct(
         "date",
         "id",
         "words",
         named({f: F.round(f, 4) for f in FEATURES}).alias("scores"),
-        "evidence",
+        evidence.alias("evidence"),
         (F.col("id") == F.col("rep")).alias("representative"),
-        F.when(F.col("id") == F.col("rep"), F.col("text")).alias("text"),
+        F.when(F.col("id") == F.col("rep"), F.col("_told")).alias("text"),
     )
     by_date = lambda a, b: F.when(a["date"] < b["date"], -1).when(a["date"] > b["date"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
-    gathered = rows.join(chosen, "speaker").join(described, "id").select("speaker", item.alias("s"))
+    wanted = rows.select("speaker", "id", "words", "numeric", "period", *FEATURES).join(chosen.join(L.small(told), "rep"), "speaker")
+    gathered = wanted.join(described, "id").select("speaker", item.alias("s"))
     return gathered.groupBy("speaker").agg(F.array_sort(F.collect_list("s"), by_date).alias("statements"))
 
 
