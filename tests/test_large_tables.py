@@ -2,11 +2,13 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import langmodel as L
 from tidemark.operators import lexical as X
 from tidemark.operators import scoring as P
+from tidemark.operators import validate as S
 
 TEXTS = ["", None, "It's  12,5% of\tQ3's", "\u212aelvin \u0130stanbul \u00c4rger na\u00efve", "''quoted'' MAY 2024may", "\u65e5\u672c x\u00a0y\u2019s", "first quarter 5m 7 bps 1st"]
 
@@ -70,3 +72,22 @@ def test_baseline_view_moves_no_texts_but_the_representatives(spark, sf):
     wanted = P.evidence_record(F.coalesce(F.col("text"), F.lit("")), X.PROXY)
     want = {r["id"]: r["e"] for r in st.select("id", wanted.alias("e")).collect()}
     assert all(s["evidence"] == want[s["id"]] for r in view.collect() for s in r["statements"])
+
+
+@pytest.mark.parametrize("share, pairs", [(1 << 15, 1 << 21), (16, 64), (7, 1)])
+def test_whole_shuffles_are_those_of_permuted(spark, monkeypatch, share, pairs):
+    """In any cut into parts and packets; rows do not move in each replicate."""
+    monkeypatch.setattr(S, "_SHARE", share)
+    monkeypatch.setattr(S, "_PAIRS", pairs)
+    df = spark.range(0, 150).select((F.col("id") * 7 + 3).alias("id"), (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 11 % 13).cast("double").alias("y"))
+    ranked = S.average_ranks(S.average_ranks(df, "x", "_rx"), "y", "_ry").select("id", "_rx", "_ry")
+    want = {r[0]: r[1] for r in S.permuted(ranked, ["_rx"], "_ry", "id", 9).groupBy("_perm").agg(F.corr("_rx", "shuffled")).collect()}
+    null = S._whole_null(ranked.repartition(5), "id", 9, 7)
+    assert {r["_perm"]: r["s"] for r in null.collect()} == pytest.approx(want, abs=1e-12) and len(want) == 9
+
+
+def test_whole_permutations_move_packets(spark):
+    df = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    assert "shuffled" not in plan(S.permutation_test(df, "x", "y", "id", 20))
+    assert S.permutation_test(df.where("id < 0"), "x", "y", "id", 20).collect() == []
+    assert S.permutation_test(df.where("id < 1"), "x", "y", "id", 20).collect() == []
