@@ -1,7 +1,9 @@
 """Steps that were too dear on large tables: what they move and read, and that results stay."""
 
+import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,44 @@ def test_whole_permutations_move_packets(spark):
     assert "shuffled" not in plan(S.permutation_test(df, "x", "y", "id", 20))
     assert S.permutation_test(df.where("id < 0"), "x", "y", "id", 20).collect() == []
     assert S.permutation_test(df.where("id < 1"), "x", "y", "id", 20).collect() == []
+
+
+def resampled(rows, n_boot):
+    """The interval by its definition."""
+    rows = sorted(rows)
+    rank = lambda v: (lambda u: (np.cumsum(u[2]) - (u[2] - 1) / 2)[u[1]])(np.unique(v, return_inverse=True, return_counts=True))
+    found = []
+    for rep in range(n_boot):
+        drawn = [rows[int(hashlib.md5(f"{rep}-{i}-7".encode()).hexdigest()[:8], 16) % len(rows)] for i in range(len(rows))]
+        x, y = rank([r[1] for r in drawn]), rank([r[2] for r in drawn])
+        found.append(0.0 if x.std() * y.std() < 1e-12 else np.corrcoef(x, y)[0, 1])
+    return np.quantile(found, [0.025, 0.975])
+
+
+_SIDES = [("id * 37 % 101", "id * 11 % 13"), ("id * 89 % 307 / 7", "if(id % 3 = 0, 1, id * 53 % 211)"), ("id % 2", "if(id % 10 = 0, double('NaN'), -id)"), ("1", "id")]
+
+
+@pytest.mark.parametrize("places, pairs, x, y", [(1 << 16, 1 << 21, *_SIDES[1]), (16, 64, *_SIDES[0]), (7, 1, *_SIDES[0]), (16, 64, *_SIDES[1]), (16, 64, *_SIDES[2]), (50, 1 << 10, *_SIDES[3])])
+def test_resampled_ranks_in_any_cut(spark, monkeypatch, places, pairs, x, y):
+    """Parts, packets and ties across them do not change the interval; a pair with a null takes no part."""
+    monkeypatch.setattr(S, "_PLACES", places)
+    monkeypatch.setattr(S, "_PAIRS", pairs)
+    df = spark.range(150).selectExpr("id * 7 + 3 as id", f"cast({x} as double) as x", f"cast({y} as double) as y")
+    want = resampled([tuple(np.nan_to_num(r, nan=1e9)) for r in df.collect()], 12)
+    got = S.bootstrap_ci(df.unionByName(spark.sql("select 5L as id, cast(null as double) as x, 1d as y")).repartition(5), "x", "y", "id", 12).first()
+    assert [got["lo"], got["hi"]] == pytest.approx(want, abs=1e-9) and got["n_boot"] == 12
+
+
+def test_resampled_rows_do_not_move_in_each_replicate(spark):
+    df = spark.range(400).selectExpr("id", "cast(id * 37 % 101 as double) as x", "cast(id % 13 as double) as y")
+    made = S.bootstrap_ci(df, "x", "y", "id", 20)
+    assert "md5" not in plan(made) and "Window" not in plan(made)
+    assert made.first()["n_boot"] == 20
+    none = S.bootstrap_ci(df.where("id < 0"), "x", "y", "id", 20).first()
+    assert (none["lo"], none["hi"], none["n_boot"]) == (None, None, 0)
+    assert tuple(S.bootstrap_ci(df.where("id < 1"), "x", "y", "id", 20).first()) == (0.0, 0.0, 20)
+
+
+def test_rows_drawn_more_often_than_a_byte_holds():
+    for counts in (np.array([[3, 255]]), np.array([[3, 256]])):
+        assert (S._wide(S._narrow(counts), 1, 2) == counts).all()
