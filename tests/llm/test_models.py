@@ -247,6 +247,29 @@ def test_contexts_are_chosen_over_all_training_text(spark, frame, monkeypatch):
         assert dict(zip(table["cell"].to_pylist(), table["n"].to_pylist())) == dict(zip(cells.tolist(), n.tolist()))
 
 
+def test_sums_of_contexts_and_cells_move_as_arrays(spark, frame, monkeypatch):
+    """Few rows leave a task, with the sums of all that was counted."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = [bytes(np.random.default_rng(i).choice(list(b"abc d\n"), 700).tolist()) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(ctw, "HELD_KEYS", 20_000)
+    want = Counter()
+    for b in ctw._count_contexts(iter([batch]), 1 / 500):
+        for d, c, n, least in zip(*(x.to_pylist() for x in b.columns)):
+            want[(c << 4) + d] += complex(n, least - 1)
+    got, packets = {}, list(ctw._packed_contexts(iter([batch]), 1 / 500))
+    assert max(Counter(x for b in packets for x in b["bucket"].to_pylist()).values()) <= 3
+    for bucket in range(1 << ctw.BUCKET_BITS):
+        own = [b.filter(pc.equal(b["bucket"], bucket)) for b in packets]
+        if sum(map(len, own)):
+            sums = ctw._bucket_sums(pa.Table.from_batches(own))
+            got |= {k: complex(n, less) for k, n, less in zip(*(sums[c].to_pylist() for c in ("key", "n", "less")))}
+    assert got == dict(want)
+
+
 def test_language_scores_edges(frame):
     assert ctw.language_scores(frame([])).count() == 0
     got = {r["doc_id"]: r for r in ctw.language_scores(frame([(1, None), (2, ""), (None, "a b"), (4, "a a"), (4, "a a")])).collect()}
