@@ -1,6 +1,9 @@
 """The flagship against plain numpy, worlds against single worlds, and properties of the studies."""
 
+import json
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,9 +17,11 @@ from tidemark.operators import scoring as P
 from tidemark.operators import validate as S
 from tidemark.operators import worldstudies as W
 from tidemark.operators.lineage import cut
-from tidemark.plans.flagship_queries import described
+from tidemark.plans.flagship_queries import described, q_runtime_model
 from tidemark.sources import corpus
 
+from .conftest import SF
+
 
 def ledoit_wolf(x):
     n, p = x.shape
@@ -226,3 +231,25 @@ def test_nulls_have_no_rank(spark):
     ranks = {r["id"]: r["r"] for r in S.average_ranks(df, "x", "r").collect()}
     assert ranks == {1: 1.0, 2: None, 3: 3.0, 4: 2.0, 5: 5.0, 6: 4.0}
     assert S.spearman(df, "x", "y").first()["n"] == 4
+
+
+def test_runtime_model_holds_every_word(measured):
+    """The counts of all words of every modelled speaker and of all statements, in one document or dealt over several."""
+    st, m = measured
+    everyone, own, n = Counter(), {}, Counter()
+    for r in st.select("speaker", "window", "text").collect():
+        words = re.findall("[a-z']+", (r["text"] or "").lower())
+        everyone.update(words)
+        if r["window"] == "baseline":
+            n[r["speaker"]] += 1
+            own.setdefault(r["speaker"], Counter()).update(words)
+    want = {("background", "all"): everyone} | {("language_model", s): c for s, c in own.items() if n[s] >= 2 and c}
+    for model, most in ((q_runtime_model(st.sparkSession, SF), 1 << 16), (corpus.runtime_model(st, m, X.PROXY, words=1000), 1000)):
+        got, pieces = {}, Counter()
+        for r in model.where("part in ('background', 'language_model')").collect():
+            value, key = json.loads(r["value"]), (r["part"], r["name"])
+            assert not value["truncated"] and not value["words"].keys() & got.get(key, {}).keys() and len(value["words"]) < 1.2 * most
+            assert (value["total"], value["vocabulary"], value["pieces"]) == (sum(want[key].values()), len(want[key]), -(-len(want[key]) // most))
+            got.setdefault(key, {}).update(value["words"])
+            pieces[key] += 1
+        assert got == want and all(pieces[k] == -(-len(want[k]) // most) for k in want)

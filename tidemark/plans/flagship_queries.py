@@ -101,7 +101,7 @@ def q_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_runtime_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a scorer needs at run time, one JSON document for each part."""
     st, m = _measured(spark, sf_dir)
-    return corpus.runtime_model(st, m, X.PROXY, 200, 500)
+    return corpus.runtime_model(st, m, X.PROXY)
 
 
 # Two residual text features: the inverse has a closed form, so the whole chain fits into SQL.

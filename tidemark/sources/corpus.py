@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,16 +179,17 @@ def save_star(tables: dict[str, DataFrame], path: str) -> None:
         table.write.mode("overwrite").option("header", True).option("nullValue", "").csv(f"{path}/{name}")
 
 
-SPEAKER_WORDS, BACKGROUND_WORDS = 60_000, 200_000
+#: A document of word counts holds about so many words; larger vocabularies take several.
+WORDS = 1 << 16
 
 
-def runtime_model(statements: DataFrame, measured: Measured, lexicon: Lexicon | None = None, speaker_words: int = SPEAKER_WORDS, background_words: int = BACKGROUND_WORDS) -> DataFrame:
+def runtime_model(statements: DataFrame, measured: Measured, lexicon: Lexicon | None = None, words: int = WORDS) -> DataFrame:
     """``(part, name, value)``: what a scorer needs at run time, each row one JSON document.
 
     Parts: the lexicon, thresholds, the confound fit with its moments, every
-    speaker's baseline, and word counts: the ``speaker_words`` most frequent of
-    each speaker and the ``background_words`` most frequent of all.  A part whose
-    vocabulary was cut says so (``truncated``), with the totals over all words.
+    speaker's baseline, and the counts of all words, of each speaker and of all.
+    A vocabulary of more than ``words`` is dealt by hash over ``pieces`` documents
+    of the same name, each with the totals over all of them, so no row grows with the corpus.
     """
     spark = statements.sparkSession
     lx = lexicon or Lexicon()
@@ -210,16 +211,15 @@ def runtime_model(statements: DataFrame, measured: Measured, lexicon: Lexicon |
     kept = ["n", "mean_shrinkage", "intensity", "precision", "factor", "deviation", "baseline_ce", "baseline_ce_sd", *[f"mean_resid_{f}" for f in features]]
     baselines = base.select(F.lit("baseline").alias("part"), F.col("speaker").alias("name"), F.to_json(F.struct(*kept)).alias("value"))
     counts, common = L.models_and_background(statements)
-    return fixed_parts.unionByName(confounds).unionByName(baselines).unionByName(_vocabulary(counts, "speaker", "c_s", speaker_words, "language_model")).unionByName(
-        _vocabulary(common.withColumn("speaker", F.lit("all")), "speaker", "c_bg", background_words, "background")
+    return fixed_parts.unionByName(confounds).unionByName(baselines).unionByName(_vocabulary(counts, "speaker", "c_s", words, "language_model")).unionByName(
+        _vocabulary(common.withColumn("speaker", F.lit("all")), "speaker", "c_bg", words, "background")
     )
 
 
-def _vocabulary(counts: DataFrame, key: str, n: str, k: int, part: str) -> DataFrame:
-    """The ``k`` most frequent words of each key as one document with the totals over all its words."""
-    totals = counts.groupBy(key).agg(F.sum(n).alias("total"), F.count("*").alias("vocabulary"))
-    order = Window.partitionBy(key).orderBy(F.desc(n), "word")
-    top = counts.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
-    words = top.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", F.col(n).alias("c"))))).alias("words"))
-    value = F.to_json(F.struct("total", "vocabulary", (F.col("vocabulary") > k).alias("truncated"), "words"))
-    return totals.join(words, key).select(F.lit(part).alias("part"), F.col(key).alias("name"), value.alias("value"))
+def _vocabulary(counts: DataFrame, key: str, n: str, words: int, part: str) -> DataFrame:
+    """All words of each key with their counts, about ``words`` in a document, with the totals over all its words."""
+    totals = L.small(counts.groupBy(key).agg(F.sum(n).alias("total"), F.count("*").alias("vocabulary")).withColumn("pieces", F.ceil(F.col("vocabulary") / words)))
+    dealt = counts.join(totals, key).withColumn("piece", F.pmod(F.xxhash64("word"), F.col("pieces")))
+    held = dealt.groupBy(key, "total", "vocabulary", "piece", "pieces").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", F.col(n).alias("c"))))).alias("words"))
+    value = F.to_json(F.struct("total", "vocabulary", F.lit(False).alias("truncated"), "piece", "pieces", "words"))
+    return held.select(F.lit(part).alias("part"), F.col(key).alias("name"), value.alias("value"))
