@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, cotrain, ctw, latent_leaks, toxicity
+from tidemark.llm import bpe, cotrain, ctw, latent_leaks, tails, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -270,6 +270,33 @@ def test_sums_of_contexts_and_cells_move_as_arrays(spark, frame, monkeypatch):
     assert got == dict(want)
 
 
+def test_every_context_of_the_training_text_is_in_the_model(spark, frame, monkeypatch):
+    """Scores are those of the tree of all contexts, however few of them are known to all tasks."""
+    rng = np.random.default_rng(11)
+    words = ["the", "cat", "Sat", "on", "a", "mat", "wherever", "12", "caf\u00e9", "it", "was\n", "\u4e2d"]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 40))).tolist())) for i in range(120)] + [(None, "the cat"), (500, None), (501, "zq!")]
+    rows += [(600 + i, "only here: one-off text that occurs just twice") for i in range(2)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    train = [(t or "").encode() for i, t in rows if not held(i)]
+    _, base, far, at, _ = ctw.contexts_of(train)
+    codes, every = base.astype(np.int64), []
+    for d in range(4, ctw.DEPTH + 1):
+        codes = codes * ctw.FAR + far[at - d]
+        every.append(np.unique(codes))
+    whole = ctw.Shape(np.repeat(np.arange(4, ctw.DEPTH + 1), [len(x) for x in every]), np.concatenate(every))
+    assert len(whole.codes) == sum(map(len, every))
+    cells, n = np.unique(ctw.cells_of(train, whole)[0], return_counts=True)
+    want = sorted(zip([str(i) for i, _ in rows], ctw.fit(cells, n, whole).score([(t or "").encode() for _, t in rows])))
+    docs = frame(rows)
+    for known, bucket, sent in ((ctw.DEEP_ROWS, tails.BUCKET, tails.SENT), (60, 500, 700)):
+        monkeypatch.setattr(ctw.counted, "__defaults__", (known,))
+        monkeypatch.setattr(tails, "BUCKET", bucket)
+        monkeypatch.setattr(tails, "SENT", sent)
+        got = sorted((str(r["doc_id"]), r["score"]) for r in ctw.language_scores(docs.repartition(3)).collect())
+        for (i, x), (j, y) in zip(want, got, strict=True):
+            assert i == j and math.isclose(x, y, rel_tol=2e-3, abs_tol=0.02), (i, x, y, known)
+
+
 def test_language_scores_edges(frame):
     assert ctw.language_scores(frame([])).count() == 0
     got = {r["doc_id"]: r for r in ctw.language_scores(frame([(1, None), (2, ""), (None, "a b"), (4, "a a"), (4, "a a")])).collect()}
